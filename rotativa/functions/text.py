@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from string import Formatter
 
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def strip_space(c: Column | str) -> Column:
     """Remove whitespace of any kind at both ends."""
     return F.regexp_replace(as_col(c), rf"(?U)^{SPACE}+|{SPACE}+$", "")

@@ -46,15 +46,9 @@ def first_element(elements: Column, tag: str, css: list[str] | None = None) -> C
     return F.get(all_elements(elements, tag, css), F.lit(0))
 
 
-def raw_text(element: Column) -> Column:
-    """All text nodes, unchanged."""
-    return F.array_join(element["texts"], "")
-
-
 def node_text(element: Column, separator: str = "") -> Column:
-    """Text nodes stripped one by one, empty ones dropped, joined by ``separator``."""
-    nodes = F.filter(F.transform(element["texts"], strip_space), lambda t: t != "")
-    return F.array_join(nodes, separator)
+    """The text nodes of an element joined by ``separator``."""
+    return F.array_join(element["texts"], separator)
 
 
 def meta_content(elements: Column, key: str) -> Column:
@@ -165,9 +159,9 @@ def headline_records(pages: DataFrame, seccion: str) -> DataFrame:
         node_text(first_element(els, "span", ["news-headline__publication-date"])), F.lit(NO_FEM)
     )
     title = node_text(first_element(els, "h1", ["news-headline__title"]))
-    summary = raw_text(first_element(els, "h2", ["news-headline__article-summary"]))
+    summary = node_text(first_element(els, "h2", ["news-headline__article-summary"]))
     bodies = all_elements(els, "article", ["article-body"])
-    body = F.when(F.size(bodies) > 0, F.array_join(F.transform(bodies, raw_text), " "))
+    body = F.when(F.size(bodies) > 0, F.array_join(F.transform(bodies, lambda b: node_text(b)), " "))
     return (
         parse_pages(pages, nest_paragraphs=True)
         .filter(F.col("error").isNull() & ~live)
@@ -188,7 +182,7 @@ def linked_items(elements: Column) -> Column:
     scripts = F.filter(elements, lambda e: (e["tag"] == "script") & e["key"].contains("ld+json"))
 
     def objects(script: Column) -> Column:
-        doc = F.try_parse_json(raw_text(script))
+        doc = F.try_parse_json(node_text(script))
         many = F.try_variant_get(doc, "$", "array<variant>")
         return F.coalesce(many, F.array(doc))
 

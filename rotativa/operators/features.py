@@ -73,6 +73,8 @@ def score(df: DataFrame, load_scorer: Callable[[], Scorer], prompt: str = "user_
                     errors.append(f"{type(error).__name__}: {error}")
             yield pd.DataFrame({"response": answers, "error": errors}, dtype=object)
 
+    # Otherwise a filter on the answer is pushed below the projection and asks everything twice.
+    ask = ask.asNondeterministic()
     return spread.withColumn("_answer", ask(prompt)).select(*df.columns, "_answer.response", "_answer.error")
 
 

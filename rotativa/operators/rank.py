@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotativa.constants import LOCAL_ZONE, RSS_COLUMNS
-from rotativa.functions.dates import feed_instant, local_iso, local_wall
+from rotativa.functions.dates import feed_utc, local_iso, local_wall
 from rotativa.operators.dedup import first_title
 
 
@@ -30,13 +30,13 @@ def top_n(
 def rss_ranked(
     entries: DataFrame, n: int = 10, ingested_at: str = "ingested_at", seen_order: tuple[str, ...] = ("feed_pos", "entry_pos")
 ) -> DataFrame:
-    """Top ``n`` entries per source, newest first, with ``published_at`` and ``rank_in_source``.
+    """Top ``n`` entries per source, newest first, with ``published_at`` (UTC) and ``rank_in_source``.
 
     Copies of a title are removed first and the one read first stays, even if a later copy is
     newer. Entries without a readable date count as published when the feed was read.
     """
     titled = first_title(entries, order=list(seen_order))
-    dated = titled.withColumn("published_at", feed_instant("published", ingested_at))
+    dated = titled.withColumn("published_at", feed_utc("published", ingested_at))
     order = [F.col("published_at").desc(), *map(F.col, seen_order)]
     return top_n(dated, ["source"], order, n, "rank_in_source")
 

@@ -36,7 +36,8 @@ def embed(
                 vectors.extend(block / np.where(norms == 0, 1, norms))
             yield pd.Series(vectors, dtype=object)
 
-    return df.withColumn(out, encode(or_default(text)))
+    # Otherwise a filter on the vector is pushed below the projection and encodes everything twice.
+    return df.withColumn(out, encode.asNondeterministic()(or_default(text)))
 
 
 def embed_hashed(df: DataFrame, text: str, dims: int = 256, out: str = "embedding") -> DataFrame:
@@ -55,9 +56,13 @@ def embed_hashed(df: DataFrame, text: str, dims: int = 256, out: str = "embeddin
 
 
 def mean_vectors(df: DataFrame, keys: list[str], vector: str = "embedding", count: str = "count_noticias") -> DataFrame:
-    """Element-wise mean vector and row count per group, not normalised again; null keys are dropped."""
+    """Element-wise mean vector and row count per group, not normalised again.
+
+    Rows with a null key are dropped; vectors must not be null. Each task adds up its own rows
+    first, so a group with very many rows sends one vector per task through the shuffle.
+    """
     return (
-        df.dropna(subset=[*keys, vector])
+        df.dropna(subset=keys)
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias(count), Summarizer.mean(array_to_vector(as_doubles(vector))).alias("_mean"))
         .select(*keys, count, vector_to_array("_mean").alias(vector))

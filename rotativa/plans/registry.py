@@ -88,7 +88,7 @@ def q_publication_iso(spark, sf):
 def q_feed_dates(spark, sf):
     entries = data.entries_of(data.table(spark, sf, "events"))
     return entries.select(
-        "entry_pos", dates.local_iso(dates.feed_instant("published", "ingested_at")).alias("published_at_local"),
+        "entry_pos", dates.local_iso(dates.feed_utc("published", "ingested_at")).alias("published_at_local"),
         dates.day_or_raw("published").alias("written"),
     )
 
@@ -506,10 +506,10 @@ def q_csv_roundtrip(spark, sf):
 
 
 def q_page_files(spark, sf):
-    """One directory per listing page, read back as counts per page."""
+    """Listing pages kept apart on disk, read back as counts per page."""
     path = shared_dir(spark, "pages")
     sinks.write_by_page(data.news(spark, sf).select("doc_id", "pagina", "diario"), path)
-    return aggregates.counts_by(spark.read.parquet(path).withColumn("pagina", F.col("pagina").cast("long")), "pagina")
+    return aggregates.counts_by(spark.read.parquet(path), "pagina")
 
 
 def _event_stream(spark, sf):

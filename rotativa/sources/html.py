@@ -2,6 +2,9 @@
 
 Python only tokenises. Which element holds the title, date or body is decided by column
 expressions in ``rotativa.operators.articles``, so only the HTML column crosses to Python.
+
+``texts`` holds the text nodes of an element: stripped and without empty ones, but as they are
+for ``h2``, ``script`` and article bodies. ``inside`` holds the positions of the elements around it.
 """
 
 from __future__ import annotations
@@ -45,8 +48,9 @@ _ARROW_PAGE = pa.struct(
     ]
 )
 
-_WITH_TEXT = {"title", "h1", "h2", "time", "p", "a", "span", "script"}
-_KEPT = _WITH_TEXT | {"meta", "article", "div"}
+_STRIPPED = {"title", "h1", "time", "p", "a", "span"}
+_AS_IS = {"h2", "script"}
+_KEPT = _STRIPPED | _AS_IS | {"meta", "article", "div"}
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _BLOCKS = {"div", "article", "section", "li", "td", "body", "blockquote", "aside", "footer"}
 
@@ -70,9 +74,14 @@ class _ElementReader(HTMLParser):
             owners = self.stack[-1:]
         else:
             owners = self.stack
-        for _, row in owners:
-            if row is not None and row["texts"] is not None:
+        stripped = text.strip()
+        for tag, row in owners:
+            if row is None or row["texts"] is None:
+                continue
+            if tag not in _STRIPPED:
                 row["texts"].append(text)
+            elif stripped:
+                row["texts"].append(stripped)
 
     def handle_data(self, data: str) -> None:
         self.pending.append(data)
@@ -107,7 +116,7 @@ class _ElementReader(HTMLParser):
 
     def _row(self, tag: str, attrs: dict) -> dict:
         css = (attrs.get("class") or "").split()
-        keeps_text = tag in _WITH_TEXT or (tag == "article" and "article-body" in css)
+        keeps_text = tag in _STRIPPED | _AS_IS or (tag == "article" and "article-body" in css)
         return {
             "pos": len(self.rows),
             "tag": tag,
@@ -148,4 +157,5 @@ def page_elements(html: Column | str, nest_paragraphs: bool = False) -> Column:
             [_read_page(page.as_py(), nest_paragraphs) for page in batch], type=_ARROW_PAGE
         )
 
-    return read_pages(as_col(html))
+    # Otherwise a filter on the result is pushed below the projection and reads every page twice.
+    return read_pages.asNondeterministic()(as_col(html))

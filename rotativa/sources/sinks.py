@@ -36,12 +36,23 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         )
 
 
-def write_by_page(df: DataFrame, path: str, page_col: str = "pagina", mode: str = "overwrite") -> None:
-    """One directory per listing page.
+def write_by_page(
+    df: DataFrame, path: str, page_col: str = "pagina", pages_per_dir: int = 1000, mode: str = "overwrite"
+) -> None:
+    """Listing pages kept apart on disk: a directory per run of pages, rows sorted by page inside.
 
-    The rebalance hint gathers a page into few files, and AQE splits a page too large for a task.
+    A filter on ``page_group`` and the page column opens only the row groups of that page. With
+    ``pages_per_dir=1`` each page has its own directory, which suits a few thousand pages. The
+    rebalance hint gathers a directory into few files; AQE splits one too large for a task.
     """
-    df.hint("rebalance", page_col).write.mode(mode).partitionBy(page_col).parquet(path)
+    grouped = df.withColumn("page_group", F.floor(F.col(page_col) / pages_per_dir))
+    (
+        grouped.hint("rebalance", "page_group")
+        .sortWithinPartitions("page_group", page_col)
+        .write.mode(mode)
+        .partitionBy("page_group")
+        .parquet(path)
+    )
 
 
 def append(df: DataFrame, path: str) -> None:

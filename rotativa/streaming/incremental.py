@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rotativa.functions.dates import utc_instant, utc_wall
 from rotativa.operators.dedup import unseen
 from rotativa.operators.rank import rss_ranked
 from rotativa.sources.readers import table_or_empty
@@ -31,10 +32,16 @@ def _start(writer, checkpoint: str, every: str | None) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def _event_time(stream: DataFrame, time: str) -> DataFrame:
+    """The stream with ``time`` as an instant, which watermarks need; wall clocks are taken as UTC."""
+    if stream.schema[time].dataType.typeName() == "timestamp_ntz":
+        return stream.withColumn(time, utc_instant(time))
+    return stream
+
+
 def drop_repeats(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """First row of each key within ``delay`` of event time; state older than that is dropped."""
-    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return _event_time(stream, time).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def append_unseen(
@@ -53,11 +60,11 @@ def daily_counts(
     stream: DataFrame, path: str, checkpoint: str, time: str, delay: str = "2 days", every: str | None = None
 ) -> StreamingQuery:
     """Keep ``fecha_dia, count_noticias`` in ``path``, the still open last day included."""
-    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    timed = _event_time(stream, time).withWatermark(time, delay)
     days = timed.groupBy(F.window(time, "1 day")).agg(F.count(F.lit(1)).alias("count_noticias"))
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        table = batch.select(F.col("window.start").cast("date").alias("fecha_dia"), "count_noticias")
+        table = batch.select(utc_wall("window.start").cast("date").alias("fecha_dia"), "count_noticias")
         table.coalesce(1).write.mode("overwrite").parquet(path)
 
     return _start(days.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, every)
