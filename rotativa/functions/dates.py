@@ -42,8 +42,10 @@ def utc_wall(instant: Column | str) -> Column:
 
 def utc_instant(wall: Column | str) -> Column:
     """TIMESTAMP of a TIMESTAMP_NTZ that shows UTC; the inverse of ``utc_wall``."""
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, as_col(wall)))
+    w = as_col(wall)
+    seconds = F.datediff(w.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400
+    seconds = seconds + F.hour(w) * 3600 + F.minute(w) * 60
+    return F.timestamp_micros(seconds * 1_000_000 + (F.extract(F.lit("SECOND"), w) * 1_000_000).cast("long"))
 
 
 def local_wall(utc: Column | str, zone: str = LOCAL_ZONE) -> Column:
@@ -198,7 +200,8 @@ def local_iso(utc: Column | str, zone: str = LOCAL_ZONE) -> Column:
     """ISO text of a UTC wall clock on the wall clock of ``zone``, with its offset."""
 
     def made(utc: Column, wall: Column) -> Column:
-        minutes = F.timestamp_diff("MINUTE", utc, wall)
+        apart = wall - utc
+        minutes = F.extract(F.lit("HOUR"), apart) * 60 + F.extract(F.lit("MINUTE"), apart)
         size = F.abs(minutes)
         return F.concat(
             F.replace(wall.cast("string"), F.lit(" "), F.lit("T")),
