@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, StandardScaler, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -87,26 +88,24 @@ def cosine_matrix(df: DataFrame, key: str, vector: str = "embedding", tile_rows:
     )
     key_type = df.schema[key].dataType.simpleString()
 
-    def unit(block: pd.Series) -> np.ndarray:
-        matrix = np.stack(block.to_list())
+    def unit(block: pa.Table, name: str) -> np.ndarray:
+        flat = block[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        matrix = flat.reshape(block.num_rows, -1)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
         return matrix / np.where(norms == 0, 1, norms)
 
-    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"key_a": [], "key_b": [], "cosine": []})
-        return pd.DataFrame(
-            {
-                "key_a": a["key"].repeat(len(b)).to_numpy(),
-                "key_b": np.tile(b["other_key"].to_numpy(), len(a)),
-                "cosine": (unit(a["vector"]) @ unit(b["other_vector"]).T).ravel(),
-            }
-        )
+    def product(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = pa.schema([("key_a", a.schema.field("key").type), ("key_b", b.schema.field("other_key").type), ("cosine", pa.float64())])
+        if a.num_rows == 0 or b.num_rows == 0:
+            return out.empty_table()
+        row, col = np.indices((a.num_rows, b.num_rows)).reshape(2, -1)
+        cosine = unit(a, "vector") @ unit(b, "other_vector").T
+        return pa.table([a["key"].take(pa.array(row)), b["other_key"].take(pa.array(col)), pa.array(cosine.ravel())], schema=out)
 
     return (
         left.groupBy("row_tile", "col_tile")
         .cogroup(right.groupBy("other_row", "other_col"))
-        .applyInPandas(product, f"key_a {key_type}, key_b {key_type}, cosine double")
+        .applyInArrow(product, f"key_a {key_type}, key_b {key_type}, cosine double")
         .withColumnsRenamed({"key_a": f"{key}_a", "key_b": f"{key}_b"})
     )
 
