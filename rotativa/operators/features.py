@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from rotativa.constants import ENUMS, MAX_QUOTES, PROMPT_CHARS, QUALITY_BANDS
 from rotativa.functions.text import fill_template, or_default, truncate_chars
+from rotativa.operators.joins import join_one
 from rotativa.schemas import FEATURES
 from rotativa.sources.readers import table_or_empty
 
@@ -103,7 +104,7 @@ def score_missing(
     for part in range(rounds):
         done = table_or_empty(spark, answers_path, ANSWERS).select("url", "prompt_sha").distinct()
         todo = (
-            keyed.filter(F.pmod(F.xxhash64("url", "prompt_sha"), F.lit(rounds)) == part)
+            keyed.filter(F.pmod(F.xxhash64("url"), F.lit(rounds)) == part)
             .select("url", "prompt_sha", "user_prompt")
             .dropDuplicates(["url", "prompt_sha"])
             .join(done, ["url", "prompt_sha"], "left_anti")
@@ -111,7 +112,7 @@ def score_missing(
         answered = score(todo, load_scorer, tasks=tasks).filter(F.col("error").isNull())
         answered.select(*ANSWERS.names).write.mode("append").parquet(answers_path)
     answers = table_or_empty(spark, answers_path, ANSWERS).dropDuplicates(["url", "prompt_sha"]).drop("error")
-    return keyed.join(answers, ["url", "prompt_sha"], "left")
+    return join_one(keyed, answers, ["url", "prompt_sha"], "left")
 
 
 # Parsing. Scalars are read as text first, because a quoted number or boolean would otherwise be

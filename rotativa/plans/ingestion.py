@@ -13,6 +13,7 @@ from rotativa.operators.dedup import first_url, unseen
 from rotativa.operators.filters import date_window, month_from_text, months_overlapping
 from rotativa.operators.joins import lookup_pages
 from rotativa.operators.schema_ops import select_present
+from rotativa.session import cut_lineage
 from rotativa.sources.xml_feeds import sitemap_children, sitemap_urls
 
 
@@ -45,9 +46,9 @@ def sitemap_articles(
     """Articles listed in ``sitemaps`` (sitemap_url, xml) and published inside the window.
 
     URL filters come before the join and the join before the HTML is parsed, so only wanted
-    pages reach Python.
+    pages reach Python. The list of URLs is checkpointed, as the join reads it more than once.
     """
-    wanted = sitemap_candidates(sitemaps, base, sections).select(F.col("url").alias("link"))
+    wanted = cut_lineage(sitemap_candidates(sitemaps, base, sections).select(F.col("url").alias("link")))
     found = fetched(lookup_pages(wanted, pages)).drop("link")
     records = linked_records(found, site, with_text).withColumn("_day", written_day("fecha_publicacion"))
     inside = date_window(records, "_day", start, end)
@@ -57,8 +58,11 @@ def sitemap_articles(
 def story_articles(
     listings: DataFrame, pages: DataFrame, diario: str, host: str, title_css: str | None = None, title_from: str = "text"
 ) -> DataFrame:
-    """Raw article rows for every link of the listing pages (url, html); repeated links stay."""
-    links = listing_links(parse_pages(listings), host, title_from=title_from).select("link")
+    """Raw article rows for every link of the listing pages (html and other columns); repeated links stay.
+
+    Each listing page is parsed once: its links are checkpointed before the join.
+    """
+    links = cut_lineage(listing_links(parse_pages(listings), host, title_from=title_from).drop("title"))
     return story_records(fetched(lookup_pages(links, pages)).drop("link"), diario, title_css)
 
 
@@ -67,5 +71,5 @@ def headline_articles(
 ) -> DataFrame:
     """Articles linked from listing pages (pagina, html) whose URL is not stored yet."""
     links = listing_links(parse_pages(listings), article_css="news-article").select("pagina", "pos", F.col("link").alias("url"))
-    new = unseen(links, stored, list(order)).select(F.col("url").alias("link"))
+    new = cut_lineage(unseen(links, stored, list(order)).select(F.col("url").alias("link")))
     return headline_records(fetched(lookup_pages(new, pages)).drop("link"), seccion)

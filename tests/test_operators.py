@@ -272,3 +272,31 @@ def test_backfill_by_key(spark):
     df = spark.createDataFrame([("1", "", None), ("2", "d", "s")], "url string, diario string, seccion string")
     source = spark.createDataFrame([("1", "D", "S"), ("2", "D", "S")], "url string, diario string, seccion string")
     assert sorted(rows(joins.backfill(df, source, "url", ["diario", "seccion"]))) == [("1", "D", "S"), ("2", "d", "s")]
+
+
+@pytest.mark.parametrize("small", [50, 100_000])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_join_with_a_hot_key_matches_brute_force(spark, skewed, skewed_df, how, small):
+    one = {key: i for i, key in enumerate(sorted({k for k, _, _ in skewed})) if i % 2 == 0 or key == "hot"}
+    other = spark.createDataFrame(list(one.items()), "url string, n int")
+    found = Counter(rows(joins.join_one(skewed_df, other, ["url"], how, small)))
+    if how == "left_semi":
+        expected = Counter(r for r in skewed if r[0] in one)
+    else:
+        expected = Counter((*r, one.get(r[0])) for r in skewed if how == "left" or r[0] in one)
+    assert found == expected
+
+
+def test_hot_keys_are_split(skewed_df):
+    hot = joins.hot_keys(skewed_df, ["url"], small=50)
+    assert [r["url"] for r in hot.collect()] == ["hot"]
+    split = joins.split_rows(skewed_df, hot, ["url"]).filter("url = 'hot'").groupBy("_part").count().collect()
+    assert len(split) > 30 and max(r["count"] for r in split) < 150
+    assert joins.hot_keys(skewed_df, ["url"]).count() == 0
+
+
+def test_page_lookup_with_a_hot_link(spark, skewed_df):
+    pages = spark.createDataFrame([(f"k{i}", 200 + i % 2, f"p{i}") for i in range(400)] + [("hot", 404, "b"), ("hot", 200, "a")], "url string, status int, html string")
+    found = joins.lookup_pages(skewed_df.withColumnRenamed("url", "link"), pages, small=50)
+    assert found.count() == skewed_df.count()
+    assert {r["html"] for r in found.filter("url = 'hot'").select("html").distinct().collect()} == {"a"}
