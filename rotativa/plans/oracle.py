@@ -289,13 +289,12 @@ per_page AS (SELECT pagina, count(*) AS n_nuevas, min_by(fecha, pos) AS f FROM u
 SELECT pagina, n_nuevas, CAST(f AS VARCHAR) AS primera_fecha,
        CAST(sum(n_nuevas) OVER (ORDER BY pagina) AS BIGINT) + (SELECT count(*) FROM stored) AS total_urls
 FROM per_page""",
-    "q_page_cutoff": f"""
-WITH {_NEWS},
-firsts AS (SELECT pagina, min_by(fecha, pos) AS f FROM news GROUP BY 1),
+    "q_page_cutoff": """
+WITH firsts AS (SELECT doc_id // 11 AS pagina, DATE '2025-06-30' - CAST(doc_id // 11 AS INT) AS f FROM documents GROUP BY 1, 2),
 flagged AS (
-  SELECT pagina, coalesce(max(f < DATE '2024-12-31') OVER (ORDER BY pagina ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped
+  SELECT pagina, coalesce(max(f < DATE '2025-05-01') OVER (ORDER BY pagina ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped
   FROM firsts)
-SELECT doc_id, pagina FROM news JOIN flagged USING (pagina) WHERE NOT stopped""",
+SELECT doc_id, pagina FROM documents JOIN flagged ON doc_id // 11 = pagina WHERE NOT stopped""",
     "q_append_new": f"""
 WITH {_NEWS}, {_STORED}, {_UNSEEN}
 SELECT doc_id, url FROM news WHERE fecha < DATE '2025-02-01' UNION ALL SELECT doc_id, url FROM unseen""",

@@ -20,7 +20,7 @@ from rotativa.sources import readers, sinks, xml_feeds
 from rotativa.streaming import incremental
 
 STORED_UNTIL = "2025-02-01"
-OLD_PAGE = "2024-12-31"
+OLD_PAGE = "2025-05-01"
 
 
 def _iso(c: Column | str) -> Column:
@@ -262,7 +262,9 @@ def q_page_progress(spark, sf):
 
 
 def q_page_cutoff(spark, sf):
-    return paging.until_old_page(data.news(spark, sf), OLD_PAGE).select("doc_id", "pagina")
+    # Listing pages run from new to old.
+    dated = data.news(spark, sf).withColumn("fecha", F.date_sub(F.lit("2025-06-30").cast("date"), F.col("pagina").cast("int")))
+    return paging.until_old_page(dated, OLD_PAGE).select("doc_id", "pagina")
 
 
 def q_append_new(spark, sf):
