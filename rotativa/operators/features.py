@@ -125,16 +125,25 @@ def _as_text(schema: T.DataType) -> T.DataType:
     return schema if isinstance(schema, T.ArrayType) else T.StringType()
 
 
-def _typed(value: Column, schema: T.StructType) -> Column:
+def _struct(schema: T.StructType, leaf: Callable[[str, T.DataType], str], prefix: str = "") -> str:
+    """SQL of a struct shaped like ``schema`` whose leaves come from ``leaf(path, type)``.
+
+    Records this wide are built from SQL text: one expression to parse instead of hundreds of
+    column objects.
+    """
     parts = []
     for f in schema.fields:
-        field = value[f.name]
-        if isinstance(f.dataType, T.StructType):
-            field = _typed(field, f.dataType)
-        elif not isinstance(f.dataType, (T.ArrayType, T.StringType)):
-            field = field.try_cast(f.dataType)
-        parts.append(field.alias(f.name))
-    return F.struct(*parts)
+        path = f"{prefix}{f.name}"
+        nested = isinstance(f.dataType, T.StructType)
+        value = _struct(f.dataType, leaf, f"{path}.") if nested else leaf(path, f.dataType)
+        parts.append(f"'{f.name}', {value}")
+    return f"named_struct({', '.join(parts)})"
+
+
+def _cast_leaf(path: str, kind: T.DataType) -> str:
+    if isinstance(kind, (T.ArrayType, T.StringType)):
+        return f"raw.{path}"
+    return f"try_cast(raw.{path} AS {kind.simpleString()})"
 
 
 def parse_features(df: DataFrame, response: str = "response", schema: T.StructType = FEATURES) -> DataFrame:
@@ -144,7 +153,7 @@ def parse_features(df: DataFrame, response: str = "response", schema: T.StructTy
         "raw", F.from_json(response, text_schema, {"columnNameOfCorruptRecord": "_corrupt_record"})
     )
     return parsed.withColumns(
-        {"features": _typed(F.col("raw"), schema), "corrupt": F.col("raw._corrupt_record").isNotNull()}
+        {"features": F.expr(_struct(schema, _cast_leaf)), "corrupt": F.col("raw._corrupt_record").isNotNull()}
     )
 
 
@@ -157,81 +166,80 @@ def _leaves(schema: T.StructType, prefix: str = "") -> Iterator[tuple[str, T.Dat
             yield path, f.dataType
 
 
-def _rebuild(value: Column, schema: T.StructType, replacements: dict[str, Column], prefix: str = "") -> Column:
-    parts = []
-    for f in schema.fields:
-        path = f"{prefix}{f.name}"
-        if isinstance(f.dataType, T.StructType):
-            part = _rebuild(value[f.name], f.dataType, replacements, f"{path}.")
-        else:
-            part = replacements.get(path, value[f.name])
-        parts.append(part.alias(f.name))
-    return F.struct(*parts)
-
-
 _OPTIONAL = {*METADATA, "evento.horizonte_dias", "evidencia.notas", "entidades.nombre_actor_principal"}
+_LISTS = {"entidades.empresas_mencionadas", "entidades.tickers_mencionados", "entidades.sectores_mencionados"}
 
 
-def validate_features(df: DataFrame, schema: T.StructType = FEATURES) -> DataFrame:
-    """Add ``violations`` and repair ``features``: unknown enum values become "desconocido",
-    absent lists become empty, an absent actor name becomes "unknown".
+def _in(path: str, allowed: list[str]) -> str:
+    return f"features.{path} IN ({', '.join(repr(a) for a in allowed)})"
 
-    Violations are ``missing:``, ``type:``, ``enum:`` and ``range:`` with the field path, plus
-    ``quotes`` (too many) and ``quality_band`` (score outside the band of its category).
-    """
-    checks = []
+
+def _checks(schema: T.StructType) -> list[str]:
+    """SQL of one violation text, or null, per rule."""
+    rules = []
     for path, kind in _leaves(schema):
-        typed, raw = F.col(f"features.{path}"), F.col(f"raw.{path}")
         if isinstance(kind, (T.DoubleType, T.BooleanType)):
-            checks.append(F.when(raw.isNull(), f"missing:{path}").when(typed.isNull(), f"type:{path}"))
+            rules.append((f"raw.{path} IS NULL", f"missing:{path}"))
+            rules.append((f"raw.{path} IS NOT NULL AND features.{path} IS NULL", f"type:{path}"))
         elif isinstance(kind, T.IntegerType):
-            unknown = F.lower(raw).isin("unknown", "desconocido")
-            checks.append(F.when(raw.isNotNull() & ~unknown & typed.isNull(), f"type:{path}"))
+            known = f"lower(raw.{path}) NOT IN ('unknown', 'desconocido')"
+            rules.append((f"{known} AND features.{path} IS NULL", f"type:{path}"))
         elif isinstance(kind, T.StringType) and path not in _OPTIONAL:
-            checks.append(F.when(raw.isNull(), f"missing:{path}"))
+            rules.append((f"raw.{path} IS NULL", f"missing:{path}"))
         if isinstance(kind, T.DoubleType):
             low = -1.0 if path.endswith(".direccion") else 0.0
-            checks.append(F.when(~typed.between(low, 1.0), f"range:{path}"))
-    for path, allowed in ENUMS.items():
-        checks.append(F.when(~F.col(f"features.{path}").isin(*allowed), f"enum:{path}"))
-    quotes = F.col("features.evidencia.citas_evidencia")
-    checks.append(F.when(quotes.isNull(), "missing:evidencia.citas_evidencia"))
-    checks.append(F.when(F.size(quotes) > MAX_QUOTES, "quotes"))
-    category = F.col("features.calidad_fuente.categoria")
-    points = F.col("features.calidad_fuente.calidad_fuente_score")
+            rules.append((f"features.{path} NOT BETWEEN {low}D AND 1.0D", f"range:{path}"))
+    rules += [(f"NOT {_in(path, allowed)}", f"enum:{path}") for path, allowed in ENUMS.items()]
+    quotes = "features.evidencia.citas_evidencia"
+    rules.append((f"{quotes} IS NULL", "missing:evidencia.citas_evidencia"))
+    rules.append((f"size({quotes}) > {MAX_QUOTES}", "quotes"))
+    source = "features.calidad_fuente"
     for name, (low, high) in QUALITY_BANDS.items():
-        checks.append(F.when((category == name) & ~points.between(low, high), "quality_band"))
-
-    repairs: dict[str, Column] = {
-        path: F.when(F.col(f"features.{path}").isin(*allowed), F.col(f"features.{path}")).otherwise("desconocido")
-        for path, allowed in ENUMS.items()
-    }
-    repairs["entidades.nombre_actor_principal"] = or_default("features.entidades.nombre_actor_principal", "unknown")
-    for name in ("empresas_mencionadas", "tickers_mencionados", "sectores_mencionados"):
-        repairs[f"entidades.{name}"] = F.coalesce(F.col(f"features.entidades.{name}"), F.array().cast("array<string>"))
+        outside = f"{source}.calidad_fuente_score NOT BETWEEN {low}D AND {high}D"
+        rules.append((f"{source}.categoria = '{name}' AND {outside}", "quality_band"))
+    return [f"CASE WHEN {test} THEN '{text}' END" for test, text in rules]
+
+
+def _repaired_leaf(path: str, kind: T.DataType) -> str:
+    if path in ENUMS:
+        return f"CASE WHEN {_in(path, ENUMS[path])} THEN features.{path} ELSE 'desconocido' END"
+    if path == "entidades.nombre_actor_principal":
+        return f"coalesce(features.{path}, 'unknown')"
+    if path in _LISTS:
+        return f"coalesce(features.{path}, CAST(array() AS ARRAY<STRING>))"
+    return f"features.{path}"
+
+
+def validate_features(df: DataFrame, schema: T.StructType = FEATURES) -> DataFrame:
+    """Add ``violations`` and repair ``features``: unknown enum values become "desconocido",
+    absent lists become empty, an absent actor name becomes "unknown".
+
+    Violations are ``missing:``, ``type:``, ``enum:`` and ``range:`` with the field path, plus
+    ``quotes`` (too many) and ``quality_band`` (score outside the band of its category).
+    """
     return df.withColumns(
         {
-            "violations": F.array_compact(F.array(*checks)),
-            "features": _rebuild(F.col("features"), schema, repairs),
+            "violations": F.expr(f"array_compact(array({', '.join(_checks(schema))}))"),
+            "features": F.expr(_struct(schema, _repaired_leaf)),
         }
     )
 
 
 def backfill_metadata(df: DataFrame, columns: list[str] = METADATA) -> DataFrame:
     """Take paper, date, section and URL from the article where the answer left them out."""
-    filled = F.col("features")
-    for c in columns:
-        known = F.coalesce(F.nullif(F.col(f"features.{c}"), F.lit("")), F.col(c).cast("string"))
-        filled = filled.withField(c, known)
-    return df.withColumn("features", filled)
+
+    def leaf(path: str, kind: T.DataType) -> str:
+        if path not in columns:
+            return f"features.{path}"
+        return f"coalesce(nullif(features.{path}, ''), CAST({path} AS STRING))"
+
+    return df.withColumn("features", F.expr(_struct(df.schema["features"].dataType, leaf)))
 
 
 def flatten(df: DataFrame, col: str = "features", separator: str = "__") -> DataFrame:
     """One column per leaf of a nested record, named by its path."""
     schema = df.schema[col].dataType
-    return df.select(
-        *[F.col(f"{col}.{path}").alias(path.replace(".", separator)) for path, _ in _leaves(schema)]
-    )
+    return df.selectExpr(*[f"{col}.{path} AS {path.replace('.', separator)}" for path, _ in _leaves(schema)])
 
 
 def read_list_text(c: Column | str) -> Column:

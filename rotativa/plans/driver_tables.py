@@ -218,10 +218,13 @@ ANSWER = {
 }
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with a model answer made from their labels; unlabelled ones have a cut-off answer."""
+def answers(spark: SparkSession, sf_dir: str, how: str = "left") -> DataFrame:
+    """Articles with a model answer made from their labels.
+
+    Unlabelled ones have a cut-off answer, or are left out with ``how="inner"``.
+    """
     labels = table(spark, sf_dir, "labels")
-    joined = news(spark, sf_dir).join(labels, "doc_id", "left")
+    joined = news(spark, sf_dir).join(labels, "doc_id", how)
     good = F.col("quality") == 1
     text = F.lit(json.dumps(ANSWER, ensure_ascii=False))
     marks = {

@@ -452,7 +452,7 @@ def q_parse_features(spark, sf):
 
 
 def q_validate_features(spark, sf):
-    checked = features.validate_features(features.parse_features(data.answers(spark, sf))).filter(~F.col("corrupt"))
+    checked = features.validate_features(features.parse_features(data.answers(spark, sf, "inner")))
     return checked.select(
         "doc_id", F.col("features.evento.tipo_evento").alias("tipo_evento"),
         F.col("features.entidades.tipo_actor_principal").alias("actor"),
@@ -463,7 +463,7 @@ def q_validate_features(spark, sf):
 
 
 def q_llm_backfill(spark, sf):
-    filled = extraction.checked_features(data.answers(spark, sf)).filter(~F.col("corrupt"))
+    filled = extraction.checked_features(data.answers(spark, sf, "inner"))
     return filled.select("doc_id", *[F.col(f"features.{c}").alias(c) for c in features.METADATA])
 
 
@@ -475,7 +475,7 @@ def q_backfill_join(spark, sf):
 
 
 def q_flatten(spark, sf):
-    flat = features.flatten(extraction.checked_features(data.answers(spark, sf)).filter(~F.col("corrupt")))
+    flat = features.flatten(extraction.checked_features(data.answers(spark, sf, "inner")))
     lists = {c: F.array_join(c, "|") for c, t in flat.dtypes if t.startswith("array")}
     return flat.withColumns(lists).withColumn("evento__horizonte_dias", F.col("evento__horizonte_dias").cast("long"))
 

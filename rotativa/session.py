@@ -17,6 +17,8 @@ def build_session(app: str = "rotativa", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # HTML and article bodies are wide, so keep the batches sent to Python short.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        # Recording the Python call site of every column makes building wide plans slow.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
