@@ -34,8 +34,9 @@ def seen_keys(stored: DataFrame, key: str = "url") -> DataFrame:
 
 
 def unseen(incoming: DataFrame, stored: DataFrame, order: list[Column | str], key: str = "url") -> DataFrame:
-    """First copy of each incoming key that is not stored yet.
+    """First copy of each incoming key that is not stored yet; rows without a key are dropped.
 
     Both sides are reduced to one row per key before they meet.
     """
-    return first_seen(incoming, [key], order).join(seen_keys(stored, key), key, "left_anti")
+    keyed = incoming.filter(F.col(key).isNotNull())
+    return first_seen(keyed, [key], order).join(seen_keys(stored, key), key, "left_anti")

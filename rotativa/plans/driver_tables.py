@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rotativa.constants import MONTHS_ES
+
 FIRST_DAY = "2024-12-30"
 SITE = "https://www.example.com"
 
@@ -84,10 +86,7 @@ def _two(n: Column) -> Column:
 
 
 _MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
-_MESES = [
-    "enero", "febrero", "marzo", "abril", "mayo", "junio",
-    "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre",
-]
+_MESES = list(MONTHS_ES)
 
 
 def _name_of_month(ts: str, names: list[str]) -> Column:

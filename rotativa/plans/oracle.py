@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from rotativa.operators.features import USER_PROMPT
 from rotativa.plans.driver_tables import ANSWER, STUB_WORDS
 

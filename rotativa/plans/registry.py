@@ -30,7 +30,8 @@ def _iso(c: Column | str) -> Column:
 
 def _rows(df: DataFrame, vector: str, *keys: str) -> DataFrame:
     """One row per vector element, rounded."""
-    return df.select(*keys, F.posexplode(vector).alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
+    parts = df.select(*keys, F.posexplode(vector).alias("i", "x"))
+    return parts.withColumns({"i": F.col("i").cast("long"), "x": F.round(F.col("x").cast("double"), 6)})
 
 
 # Filters and dates

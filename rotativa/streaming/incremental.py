@@ -47,7 +47,10 @@ def drop_repeats(stream: DataFrame, keys: list[str], time: str, delay: str) -> D
 def append_unseen(
     stream: DataFrame, path: str, checkpoint: str, order: list[str], key: str = "url", every: str | None = None
 ) -> StreamingQuery:
-    """Append the rows whose key the table does not hold yet, one per key."""
+    """Append the rows whose key the table does not hold yet, one per key.
+
+    Each batch reads the key column of the table, nothing else of it.
+    """
 
     def add(batch: DataFrame, batch_id: int) -> None:
         stored = table_or_empty(batch.sparkSession, path, batch.schema)
@@ -83,7 +86,7 @@ def rolling_top(
     """Keep the top ``n`` entries per source over all polls in ``path``.
 
     The new top is made from the previous one and the batch; ``poll`` puts what was seen in an
-    earlier batch first.
+    earlier batch first. Titles that left the top are forgotten, so state stays at ``n`` per source.
     """
 
     def update(batch: DataFrame, batch_id: int) -> None:

@@ -1,4 +1,3 @@
-import math
 import random
 from collections import Counter, defaultdict
 from datetime import date, timedelta
