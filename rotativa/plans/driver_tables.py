@@ -134,7 +134,8 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("<rss><channel><title>x</title><item><title><![CDATA[ "), F.col("title"), F.lit(" ]]></title><link>"),
         F.col("link"), F.lit("</link>"), date, F.lit("</item></channel></rss>"),
     )
-    return entries.select("source", F.col("entry_pos").alias("feed_pos"), xml.alias("xml"))
+    url = F.concat(F.lit(f"{SITE}/feed/"), F.col("entry_pos").cast("string"))
+    return entries.select("source", F.col("entry_pos").alias("feed_pos"), url.alias("feed_url"), "ingested_at", xml.alias("xml"))
 
 
 def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:

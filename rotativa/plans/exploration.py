@@ -13,6 +13,7 @@ from rotativa.functions.vectors import clip
 from rotativa.operators.aggregates import with_base_text, with_lengths
 from rotativa.operators.schema_ops import require_columns
 from rotativa.operators.vectors import Encoder, embed, embed_hashed, mean_vectors, pca
+from rotativa.sources.sinks import write_table
 
 
 def prepare(articles: DataFrame, per_row_text: bool = False) -> DataFrame:
@@ -38,6 +39,25 @@ def daily_embeddings(embeddings: DataFrame) -> DataFrame:
     return mean_vectors(embeddings, ["fecha_dia"])
 
 
+def export(prepared: DataFrame, folder: str, load_encoder: Callable[[], Encoder] | None = None) -> dict[str, str]:
+    """Write the article vectors, the daily vectors and the daily counts; returns their paths.
+
+    Each table is made from the stored one before it, so articles are encoded once.
+    """
+    paths = {
+        "news_embeddings": f"{folder}/news_embeddings.parquet",
+        "daily_news_embeddings": f"{folder}/daily_news_embeddings.parquet",
+        "daily_news_counts": f"{folder}/daily_news_counts.csv",
+    }
+    spark = prepared.sparkSession
+    write_table(news_embeddings(prepared, load_encoder), paths["news_embeddings"])
+    days = daily_embeddings(spark.read.parquet(paths["news_embeddings"]))
+    write_table(days.withColumn("embedding", F.col("embedding").cast("array<float>")), paths["daily_news_embeddings"])
+    stored = spark.read.parquet(paths["daily_news_embeddings"])
+    write_table(stored.select("fecha_dia", "count_noticias").orderBy("fecha_dia"), paths["daily_news_counts"])
+    return paths
+
+
 def daily_map(days: DataFrame) -> DataFrame:
     """Position of each day on the first two principal components, and the size of its marker."""
     return pca(days).select(

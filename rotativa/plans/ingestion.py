@@ -12,9 +12,10 @@ from rotativa.operators.articles import fetched, headline_records, linked_record
 from rotativa.operators.dedup import first_url, unseen
 from rotativa.operators.filters import date_window, month_from_text, months_overlapping
 from rotativa.operators.joins import lookup_pages
+from rotativa.operators.rank import rss_top
 from rotativa.operators.schema_ops import select_present
 from rotativa.session import cut_lineage
-from rotativa.sources.xml_feeds import sitemap_children, sitemap_urls
+from rotativa.sources.xml_feeds import feed_entries, sitemap_children, sitemap_urls
 
 
 def feed_table(spark, feeds: dict[str, list[str]] = FEEDS) -> DataFrame:
@@ -23,6 +24,18 @@ def feed_table(spark, feeds: dict[str, list[str]] = FEEDS) -> DataFrame:
     return spark.createDataFrame(rows, "source string, feed_pos int, feed_url string")
 
 
+def feed_top(documents: DataFrame, feeds: DataFrame, sources: list[str] | None = None, n: int = 10) -> DataFrame:
+    """Top ``n`` entries per source from read feeds.
+
+    ``documents`` holds feed_url, xml and ingested_at; ``feeds`` gives the source and reading order
+    of each feed. ``sources`` selects some; unknown names are ignored, but one must be known.
+    """
+    wanted = feeds.filter(F.col("source").isin(*sources)) if sources else feeds
+    if sources and wanted.isEmpty():
+        raise ValueError(f"none of these sources is known: {sources}")
+    return rss_top(feed_entries(documents.join(wanted, "feed_url")), n)
+
+
 def sitemaps_to_read(monthly: DataFrame, recent: DataFrame, news_url: str | None, start: str, end: str) -> DataFrame:
     """Sorted distinct sitemap URLs: monthly ones that overlap the window, all recent ones, the news one."""
     month = month_from_text(F.col("loc"))

@@ -307,6 +307,7 @@ WHERE starts_with(url, 'https://') AND (contains(lower({_PATH}), '/en/') OR cont
     "q_feed_entries": f"""
 WITH {_ENTRIES}
 SELECT source, entry_pos AS feed_pos, CAST(0 AS BIGINT) AS entry_pos, title, link, published FROM entries""",
+    "q_feed_top": _RSS_TOP,
     "q_sitemap_urls": f"""
 SELECT 'https://www.example.com/sitemap-' || page_id AS sitemap_url, CAST(0 AS BIGINT) AS pos, url,
        CASE WHEN page_id % 2 = 1 THEN CAST({_PAGE_DAY} AS VARCHAR) ELSE '2024-06-01' END AS lastmod
@@ -428,6 +429,9 @@ WITH {_NEWS}, prompts AS (SELECT *, {_user_prompt()} AS p FROM news)
 SELECT doc_id, diario, CAST(fecha AS VARCHAR) AS fecha, 'otra' AS seccion, url,
        contains(lower(p), ' {STUB_WORDS['deuda']} ') AS deuda, CAST(7 AS BIGINT) AS n_violations
 FROM prompts""",
+    "q_exploration_export": f"""
+WITH {_NEWS} SELECT CAST(fecha + 1 AS VARCHAR) AS fecha_dia, count(*) AS count_noticias FROM news GROUP BY 1""",
+    "q_list_text": "SELECT doc_id, source || '|l' || chr(39) || lang || '|a' || chr(160) || 'b' AS lista FROM documents",
     "q_props_json": "SELECT event_id, CAST(props::JSON->>'k' AS BIGINT) AS k FROM events",
     "q_csv_roundtrip": f"""
 WITH {_NEWS} SELECT diario, CAST(fecha AS VARCHAR) AS fecha, titulo, contenido, url AS link FROM news""",

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rotativa.constants import BORDER_DAYS, NEWS_COLUMNS, WINDOW_END, WINDOW_START
 from rotativa.functions import dates, text, urls
@@ -306,6 +307,12 @@ def q_feed_entries(spark, sf):
     return found.select("source", "feed_pos", F.col("entry_pos").cast("long").alias("entry_pos"), "title", "link", "published")
 
 
+def q_feed_top(spark, sf):
+    documents = data.feed_documents(spark, sf)
+    top = ingestion.feed_top(documents.select("feed_url", "ingested_at", "xml"), documents.select("source", "feed_pos", "feed_url"))
+    return top.withColumn("rank_in_source", F.col("rank_in_source").cast("long"))
+
+
 def q_sitemap_urls(spark, sf):
     found = xml_feeds.sitemap_urls(data.sitemaps(spark, sf))
     return found.select("sitemap_url", F.col("pos").cast("long").alias("pos"), "url", "lastmod")
@@ -417,6 +424,14 @@ def q_embed(spark, sf):
     return exploration.news_embeddings(prepared)
 
 
+def q_exploration_export(spark, sf):
+    """The exploration tables written out; returns the daily counts read back from CSV."""
+    prepared = exploration.prepare(data.eda_articles(spark, sf))
+    paths = exploration.export(prepared, shared_dir(spark, "exploration"))
+    schema = T.StructType([T.StructField("fecha_dia", T.StringType()), T.StructField("count_noticias", T.LongType())])
+    return readers.read_table(spark, paths["daily_news_counts"], schema)
+
+
 # Model features
 
 
@@ -489,6 +504,12 @@ def q_feature_flow(spark, sf):
     )
 
 
+def q_list_text(spark, sf):
+    """Lists stored as text with single quotes, read back as arrays."""
+    shown = F.concat(F.lit("['"), F.col("diario"), F.lit("', \"l'"), F.col("seccion"), F.lit("\", 'a\\xa0b']"))
+    return data.news(spark, sf).select("doc_id", F.array_join(features.read_list_text(shown), "|").alias("lista"))
+
+
 def q_props_json(spark, sf):
     """The JSON reader on the event properties."""
     parsed = F.from_json("props", "k string, _corrupt_record string")

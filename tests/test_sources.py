@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rotativa.operators import articles as a
-from rotativa.plans.ingestion import feed_table, headline_articles, sitemap_articles, sitemaps_to_read, story_articles
+from rotativa.plans.ingestion import feed_table, feed_top, headline_articles, sitemap_articles, sitemaps_to_read, story_articles
 from rotativa.plans.consolidation import fold_page_files
 from rotativa.schemas import RAW_ARTICLE
 from rotativa.sources import readers, sinks
@@ -280,3 +280,23 @@ def test_feed_table(spark):
     feeds = feed_table(spark)
     assert feeds.count() == 13
     assert feeds.filter("source = 'Infobae'").count() == 2
+
+
+def test_top_of_feeds(spark):
+    feeds = feed_table(spark, {"s": ["u0", "u1"], "t": ["u2"]})
+    item = "<item><title>{}</title><link>{}</link><pubDate>{} Jan 2025 10:00:00 GMT</pubDate></item>"
+    documents = spark.createDataFrame(
+        [
+            ("u0", "<rss><channel>" + item.format("uno", "l1", 1) + item.format("dos", "l2", 2) + "</channel></rss>"),
+            ("u1", "<rss><channel>" + item.format("UNO", "l3", 3) + item.format("tres", "l4", 3) + "</channel></rss>"),
+            ("u2", "<rss><channel>" + item.format("uno", "l5", 1) + "</channel></rss>"),
+            ("u9", "<rss><channel>" + item.format("otro", "l6", 1) + "</channel></rss>"),
+        ],
+        "feed_url string, xml string",
+    ).withColumn("ingested_at", F.lit("2025-02-01").cast("timestamp"))
+    assert sorted((r["source"], r["rank_in_source"], r["link"]) for r in feed_top(documents, feeds, n=2).collect()) == [
+        ("s", 1, "l4"), ("s", 2, "l2"), ("t", 1, "l5")
+    ]
+    assert {r["source"] for r in feed_top(documents, feeds, ["t", "zz"]).collect()} == {"t"}
+    with pytest.raises(ValueError):
+        feed_top(documents, feeds, ["zz"])
