@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,23 +28,31 @@ def build_session(app: str = "rotativa", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, readable by every executor.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that the driver and every executor share.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    ``spark.checkpoint.dir`` if set, else the context's checkpoint folder, else a folder below the
+    session's warehouse, which Spark qualifies with the default file system.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="rotativa-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/rotativa-{label}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/") if base else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+
+
+def shared_dir(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{scratch_root(spark)}/rotativa-{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a small table that several jobs are about to read."""
+    """Reliable checkpoint of a table that several jobs are about to read."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+        spark.sparkContext.setCheckpointDir(scratch_root(spark))
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it again."""
+    path = shared_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
