@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotativa.llm import mixing, packing, url_rules
+from rotativa.llm import mixing, packing, repetition, url_rules, warc
 from rotativa.llm.common import table
 from rotativa.session import materialize
 
@@ -22,6 +22,17 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = repetition.measure_repetition(table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & repetition.repetition_verdict())
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = warc.write_bundles(table(spark, sf_dir, "pages"))
+    return warc.read_bundles(materialize(bundles, "warc"))
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(materialize(packing.cut_pieces(table(spark, sf_dir, "documents")), "pieces"))
 
@@ -29,6 +40,8 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_url_filter": op4_url_filter,
+    "op6_repetition_rules": op6_repetition_rules,
+    "op8_warc_round_trip": op8_warc_round_trip,
     "op10_pack_sequences": op10_pack_sequences,
 }
 
