@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotativa.llm import mixing, packing, repetition, url_rules, warc
+from rotativa.llm import mixing, packing, pii, repetition, url_rules, warc
 from rotativa.llm.common import table
 from rotativa.session import materialize
 
@@ -28,6 +28,16 @@ def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & repetition.repetition_verdict())
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[f"n_{k}" for k in pii.KINDS],
+        F.sha2(pii.in_words(F.col("base_spans")), 256).alias("base_sha256"),
+        pii.in_words(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = warc.write_bundles(table(spark, sf_dir, "pages"))
     return warc.read_bundles(materialize(bundles, "warc"))
@@ -41,6 +51,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_url_filter": op4_url_filter,
     "op6_repetition_rules": op6_repetition_rules,
+    "op7_personal_data": op7_personal_data,
     "op8_warc_round_trip": op8_warc_round_trip,
     "op10_pack_sequences": op10_pack_sequences,
 }
