@@ -81,6 +81,12 @@ class Network:
             self.p |= {f"W{d}": draw(2 * WIDTH, 3 * HIDDEN), f"U{d}": draw(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"A": draw(2 * HIDDEN, HIDDEN), "v": draw(HIDDEN), "o": draw(2 * HIDDEN), "b": np.zeros(1, np.float32)}
 
+    @classmethod
+    def of(cls, parameters: dict[str, np.ndarray]) -> Network:
+        net = cls.__new__(cls)
+        net.p = parameters
+        return net
+
     def vectors(self, words: list[str]) -> np.ndarray:
         """Input vectors of words."""
         parts = [pieces(w) for w in words]
@@ -318,12 +324,12 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tu
 
 def with_logits(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """``docs`` with ``_logit``; null for a text without words."""
-    model = docs.sparkSession.sparkContext.broadcast(net)
+    model = docs.sparkSession.sparkContext.broadcast(net.p)
     name = f"{crc32(net.p['char'].tobytes())}"
     spare = docs.withColumn("_text", text_or_empty(text))
 
     def score(batches: Iterator[pa.RecordBatch]):
-        scorer = Scorer(model.value, name)
+        scorer = Scorer(Network.of(model.value), name)
         for batch in batches:
             texts, at, found = batch.column("_text"), 0, []
             sizes = pa.compute.binary_length(texts).to_numpy()
