@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotativa.llm import mixing, near_dup, packing, pii, repetition, toxicity, url_rules, warc
+from rotativa.llm import mixing, near_dup, neighbours, packing, pii, repetition, toxicity, url_rules, warc
 from rotativa.llm.common import table
 from rotativa.session import materialize
 
@@ -33,6 +33,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = repetition.measure_repetition(table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -63,6 +67,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
     "op4_url_filter": op4_url_filter,
+    "op5_nearest_vectors": op5_nearest_vectors,
     "op6_repetition_rules": op6_repetition_rules,
     "op7_personal_data": op7_personal_data,
     "op8_warc_round_trip": op8_warc_round_trip,
