@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotativa.llm.common import hot_keys, text_or_empty, with_parts
+from rotativa.llm.common import WORD, hot_keys, text_or_empty, with_parts
 from rotativa.session import materialize
 
 SHINGLE = 5
@@ -225,7 +225,7 @@ def cross_pairs(named: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id): one row per row of ``docs``; the class is named by its smallest doc_id."""
+    """(doc_id, node, class_id, first): one row per row of ``docs``; a class is named by its smallest doc_id."""
     signatures = materialize(signed(docs, text), "signatures")
     buckets = materialize(shared_buckets(signatures), "buckets")
     sets = materialize(shingle_sets(docs, buckets.select("node").distinct(), text), "shingles")
@@ -241,17 +241,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIM
         checked = pairs if checked is None else checked.unionAll(pairs)
         labels = components(links)
     members = signatures.select("doc_id", "node", (F.size("keys") > 0).alias("worded"))
-    named = members.join(labels, "node", "left").select("doc_id", "worded", F.coalesce("label", "node").alias("label"))
-    return smallest_ids(named)
+    named = members.join(labels, "node", "left").select("doc_id", "node", "worded", F.coalesce("label", "node").alias("label"))
+    return first_ids(named)
 
 
-def smallest_ids(named: DataFrame) -> DataFrame:
-    """(doc_id, class_id) from (doc_id, worded, label). A class with many rows is split to get its name."""
-    worded = named.filter("worded").drop("worded")
-    names = worded.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+def first_ids(named: DataFrame) -> DataFrame:
+    """(doc_id, node, class_id, first) from (doc_id, node, worded, label).
+
+    ``first`` marks the class's smallest (doc_id, node), nulls last. A class with many rows is split
+    to get its name.
+    """
+    worded = named.filter("worded").select("doc_id", "node", "label")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    names = worded.groupBy("label").agg(F.min(order).alias("chosen"))
     hot = hot_keys(worded, ["label"])
     parted = with_parts(worded, ["label"], hot).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
     copied = with_parts(names, ["label"], hot).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    classes = parted.join(copied.drop("_parts"), ["label", "_part"]).select("doc_id", "class_id")
-    alone = named.filter("NOT coalesce(worded, false)").select("doc_id", F.col("doc_id").alias("class_id"))
+    same = order.eqNullSafe(F.col("chosen")).alias("first")
+    classes = parted.join(copied.drop("_parts"), ["label", "_part"]).select("doc_id", "node", F.col("chosen.doc_id").alias("class_id"), same)
+    alone = named.filter("NOT coalesce(worded, false)").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(True).alias("first"))
     return classes.unionAll(alone)
+
+
+def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row of each class; texts without words all stay."""
+    node = F.md5(text_or_empty(text).cast("binary"))
+    key = lambda n: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), n)
+    chosen = near_duplicates(docs, text).filter("first").select(key(F.lower(F.hex("node"))).alias("_key")).distinct()
+    kept = docs.withColumn("_key", key(node)).join(chosen, "_key", "left_semi")
+    words = F.coalesce(F.col(text), F.lit("")).rlike(WORD)
+    return kept.filter(words).dropDuplicates(["_key"]).unionAll(kept.filter(~words)).drop("_key")

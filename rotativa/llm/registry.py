@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotativa.llm import mixing, near_dup, neighbours, packing, pii, repetition, toxicity, url_rules, warc
-from rotativa.llm.common import table
+from rotativa.llm import lm, mixing, near_dup, neighbours, packing, pii, repetition, toxicity, url_rules, warc
+from rotativa.llm.common import id_remainder, table
 from rotativa.session import materialize
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -14,7 +14,7 @@ URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return found.select("doc_id", "class_id", F.col("first").alias("kept"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(materialize(bundles, "warc"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) != 2)
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(materialize(packing.cut_pieces(table(spark, sf_dir, "documents")), "pieces"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op6_repetition_rules": op6_repetition_rules,
     "op7_personal_data": op7_personal_data,
     "op8_warc_round_trip": op8_warc_round_trip,
+    "op9_language_model": op9_language_model,
     "op10_pack_sequences": op10_pack_sequences,
 }
 
