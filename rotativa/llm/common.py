@@ -80,6 +80,6 @@ def numbered(df: DataFrame, group: list[str], size: list[str], place: str, ties:
     before = Window.partitionBy(*keys).orderBy(*orders, "_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
     joined = cut.join(starts, [*fine, "_slice"])
-    within = Window.partitionBy(*fine, "_slice").orderBy(place, *ties, F.xxhash64(*df.columns))
+    within = Window.partitionBy(*fine, "_slice").orderBy(place, *ties)
     index = F.col("_start") + F.row_number().over(within) - 1
     return joined.withColumn("_index", index).select(*df.columns, "_index")

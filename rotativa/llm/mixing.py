@@ -61,17 +61,25 @@ def mix(
     """
     own = [c for c in keep or docs.columns if c not in ("size", "source_size", "target", "copies")]
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    sized = docs.select(*own, (word_count() if size is None else size).alias("size"), unit_hash(key).alias("_place"))
+    # The row travels as one column, so that its names cannot meet those used here.
+    sized = docs.select(
+        F.struct(*own).alias("row"),
+        "doc_id",
+        "source",
+        (word_count() if size is None else size).alias("size"),
+        unit_hash(key).alias("place"),
+        F.xxhash64("text").alias("tie"),
+    )
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     offset = unit_hash(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("source"), F.lit("null"))))
     plan = source_targets(sizes, weights, max_repeat).select(
         F.col("source").alias("_source"), "source_size", "target", offset.alias("_offset")
     )
     # One row per source, as wide as a name and four numbers; Spark broadcasts it while it is small.
-    placed = numbered(sized, ["source"], ["size"], "_place", ("doc_id",)).join(plan, F.col("source").eqNullSafe(F.col("_source")))
+    placed = numbered(sized, ["source"], ["size"], "place", ("doc_id", "tie")).join(plan, F.col("source").eqNullSafe(F.col("_source")))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor((F.col("_index") + 1) * expected + F.col("_offset")) - F.floor(F.col("_index") * expected + F.col("_offset"))
-    return placed.withColumn("copies", F.least(crossed, F.lit(max_repeat))).select(*own, "size", "source_size", "target", "copies")
+    return placed.withColumn("copies", F.least(crossed, F.lit(max_repeat))).select("row.*", "size", "source_size", "target", "copies")
 
 
 def repeated(mixed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ the spans under the kind of its best pattern.
 
 Everything here is a DataFrame or SQL function. Null texts count as empty, empty texts have no spans,
 repeated rows get equal results, an empty table an empty result, and texts are read whole. Columns
-named ``spans`` and ``_key`` are replaced; other columns pass through.
+named ``n_<kind>``, ``base_spans`` and ``spans`` are replaced; other columns pass through.
 """
 
 from __future__ import annotations
@@ -107,19 +107,20 @@ def in_words(spans: Column) -> Column:
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add an array of spans per kind, ``_base`` with all of them, and ``_key``.
+    """(row, text, _key, an array of spans per kind, ``_base`` with all of them).
 
     The key tells (doc_id, text) apart, and rows alike in both have the same spans.
     """
     content = text_or_empty(text)
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(content.cast("binary")))
-    spans = docs.withColumns({**{f"_{k}": c for k, c in base_spans(content).items()}, "_key": key})
+    # The row travels as one column, so that its names cannot meet those used here.
+    spans = docs.select(F.struct("*").alias("row"), content.alias("text"), key.alias("_key"), *[c.alias(f"_{k}") for k, c in base_spans(content).items()])
     return spans.withColumn("_base", F.concat(*[f"_{k}" for k in KINDS]))
 
 
-def occurrences(found: DataFrame, text: str = "text") -> DataFrame:
+def occurrences(found: DataFrame) -> DataFrame:
     """(_key, rank, start, stop, value, left): seeds, and other identifier-like tokens with a null rank."""
-    content = text_or_empty(text)
+    content = F.col("text")
     tokens = F.transform(found_spans(content, TOKEN, -1), lambda t: F.struct(
         (t["start"] + F.length(F.regexp_extract(t["value"], r"""^[("'\[<]*""", 0))).alias("start"),
         F.regexp_replace(t["value"], EDGES, "").alias("value"),
@@ -204,7 +205,7 @@ def score_graph(edges: DataFrame, patterns: DataFrame, frequency: DataFrame, rou
 
 def discovered(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """(_key, added): spans of unseen identifiers, per different document."""
-    seen = materialize(occurrences(found, text), "pii-seen")
+    seen = materialize(occurrences(found), "pii-seen")
     edges = contexts(seen)
     patterns = materialize(candidate_patterns(edges), "pii-patterns")
     frequency = materialize(pattern_frequency(docs, patterns, text), "pii-frequency")
@@ -219,26 +220,25 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Spans are arrays of (rank, start, stop, value), by kind as listed and then by start.
     """
-    docs = docs.drop("spans", "base_spans", "_key", "_base", "added", *[f"_{k}" for k in KINDS])
+    docs = docs.drop("spans", "base_spans", *[f"n_{k}" for k in KINDS])
     found = with_base(docs, text)
     joined = found.join(discovered(docs, found, text), "_key", "left")
-    counts = {f"n_{k}": F.size(f"_{k}").cast("long") for k in KINDS}
+    counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     every = F.array_sort(F.concat("_base", F.coalesce("added", F.array().cast(SPAN))))
-    made = joined.withColumns({**counts, "base_spans": F.col("_base"), "spans": every})
-    return made.drop("_key", "_base", "added", *[f"_{k}" for k in KINDS])
+    return joined.select("row.*", *counts, F.col("_base").alias("base_spans"), every.alias("spans"))
 
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
-    """Replace each span in the text by its kind in brackets; of overlapping spans the first gives the name."""
+    """Replace each span in the text by its kind in brackets; of overlapping spans the first, and longest, gives the name."""
     content = text_or_empty(text)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["rank"].alias("rank"))))
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("back"), s["rank"].alias("rank"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def cover(acc: Column, s: Column) -> Column:
         kept = F.substring(content, acc["at"] + 1, s["start"] - acc["at"])
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], kept, F.element_at(names, s["rank"] + 1))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+        return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), out.alias("out"))
 
     covered = F.aggregate(ordered, start, cover, lambda acc: F.concat(acc["out"], F.substring(content, acc["at"] + 1, F.length(content))))
     return found.withColumn(text, F.when(F.size("spans") > 0, covered).otherwise(F.col(text)))

@@ -149,7 +149,7 @@ class Measure:
         longest = deepest(order, common_prefixes(order, levels))
         windows = covered(np.where(longest >= self.window, self.window, 0))
         spans = covered(np.where(longest >= self.least, longest, 0))
-        at = np.r_[0, ends[:-1]]
+        at = np.array([0, *ends[:-1]])
         sums = [np.add.reduceat(x.astype(np.int64), at) for x in (windows, spans)]
         return list(zip(*[s.tolist() for s in sums], np.maximum.reduceat(longest, at).tolist(), strict=True))
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rotativa.llm.common import id_remainder, text_or_empty, worker_state
 
@@ -323,27 +324,24 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tu
 
 
 def with_logits(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """``docs`` with ``_logit``; null for a text without words."""
+    """(row, logit): each row as one column, and its logit, null for a text without words."""
     model = docs.sparkSession.sparkContext.broadcast(net.p)
     name = f"{crc32(net.p['char'].tobytes())}"
-    spare = docs.withColumn("_text", text_or_empty(text))
+    rows = docs.select(F.struct("*").alias("row"), text_or_empty(text).alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]):
         scorer = Scorer(Network.of(model.value), name)
         for batch in batches:
-            texts, at, found = batch.column("_text"), 0, []
+            texts, at, found = batch.column("text"), 0, []
             sizes = pa.compute.binary_length(texts).to_numpy()
             while at < len(texts):
                 some = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_WORDS * 6)))
                 found.append(scorer(texts[at : at + some].to_pylist()))
                 at += some
             logits = np.concatenate(found) if found else np.zeros(0)
-            columns = [batch.column(n) for n in batch.schema.names if n != "_text"]
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(logits, mask=np.isinf(logits))], names=[*names, "_logit"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(logits, mask=np.isinf(logits))], names=["row", "logit"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return spare.mapInArrow(score, f"{fields}, _logit double")
+    return rows.mapInArrow(score, T.StructType([rows.schema["row"]]).add("logit", "double"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "text") -> tuple[Network, float, float] | None:
@@ -357,10 +355,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "tex
     spark = docs.sparkSession
     some = [(d, t) for d, t, _ in sample if d in held] or [(d, t) for d, t, _ in learned]
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text)).join(F.broadcast(spark.createDataFrame(some, "doc_id bigint, toxic int")), "doc_id")
-    rows = with_logits(chosen.select("doc_id", "toxic", text), net, text).select("toxic", "_logit").filter("_logit IS NOT NULL").collect()
+    rows = with_logits(chosen.select("doc_id", "toxic", text), net, text).select("row.toxic", "logit").filter("logit IS NOT NULL").collect()
     if len({r["toxic"] for r in rows}) < 2:
         return net, 1.0, 0.0
-    label, logits = np.array([r["toxic"] for r in rows]), np.array([r["_logit"] for r in rows])
+    label, logits = np.array([r["toxic"] for r in rows]), np.array([r["logit"] for r in rows])
     shares = labels.filter("toxic IN (0, 1)").agg(F.avg("toxic")).first()[0]
     weights = np.where(label == 1, shares / label.mean(), (1 - shares) / (1 - label.mean()))
     return net, *calibrate(logits, label, weights)
@@ -377,6 +375,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: i
     if model is None:
         return marked.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     net, slope, shift = model
-    score = F.when(F.col("_logit").isNull(), 0.0).otherwise(1 / (1 + F.exp(-(F.col("_logit") * slope + shift))))
-    scored = with_logits(marked, net, text).withColumn("score", score).drop("_logit")
+    score = F.when(F.col("logit").isNull(), 0.0).otherwise(1 / (1 + F.exp(-(F.col("logit") * slope + shift))))
+    scored = with_logits(marked, net, text).select("row.*", score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -16,6 +16,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_RULES = 200_000
 
@@ -104,8 +105,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url:
             columns = [pa.array([f[i] for f in found], pa.string()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "rule", "verdict"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(judge, f"{fields}, rule string, verdict string")
+    return kept.mapInArrow(judge, T.StructType([*kept.schema.fields]).add("rule", "string").add("verdict", "string"))
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:

@@ -1,0 +1,88 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rotativa.llm import toxicity
+
+
+def test_gradients_match_differences():
+    r = np.random.default_rng(0)
+    net = toxicity.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    vectors = r.standard_normal((20, 2 * toxicity.WIDTH))
+    ids = r.integers(0, 20, (5, toxicity.WINDOW))
+    real = np.arange(toxicity.WINDOW) < np.array([toxicity.WINDOW, 3, toxicity.WINDOW, 9, 1])[:, None]
+    label = np.array([1, 0, 1, 1, 0.0])
+
+    def loss():
+        inputs = {d: vectors @ net.p[f"W{d}"] + net.p[f"c{d}"] for d in "fb"}
+        p = toxicity.sigmoid(net.run(inputs, ids, real))
+        return -np.mean(label * np.log(p) + (1 - label) * np.log(1 - p))
+
+    g, d_vectors = net.gradients(vectors, ids, real, label)
+    for name, array, grad in [*((k, net.p[k], g[k]) for k in g), ("vectors", vectors, d_vectors)]:
+        flat, i = array.reshape(-1), int(r.integers(array.size))
+        kept = flat[i]
+        flat[i] = kept + 1e-4
+        above = loss()
+        flat[i] = kept - 1e-4
+        below = loss()
+        flat[i] = kept
+        assert np.reshape(grad, -1)[i] == pytest.approx((above - below) / 2e-4, abs=2e-5), name
+
+
+def test_windows_cover_every_word():
+    for n in range(1, 80):
+        starts = toxicity.window_starts(n)
+        assert {i for s in starts for i in range(s, min(s + toxicity.WINDOW, n))} == set(range(n))
+        assert all(b - a <= toxicity.STRIDE for a, b in zip(starts, starts[1:], strict=False))
+    assert toxicity.window_starts(0) == []
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice(["ka", "lo", "mi", "ten", "sur"]) for _ in range(r.randint(1, 3)))
+    rows = []
+    for i in range(900):
+        words, toxic = [word() for _ in range(r.randint(5, 120))], int(i % 4 == 0)
+        for _ in range(max(1, len(words) // 15) * toxic):
+            # One kind of mark is a word, the other only a beginning.
+            words[r.randrange(len(words))] = r.choice(["vile", "zork" + word()])
+        rows.append((i, " ".join(words), toxic))
+    return spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+
+
+def test_held_out_accuracy(labelled):
+    scored = toxicity.score_toxicity(labelled.drop("toxic"), labelled.select("doc_id", "toxic")).join(labelled.select("doc_id", "toxic"), "doc_id")
+    held = scored.filter("held_out").select((F.col("predicted") == F.col("toxic")).alias("ok"), "toxic").collect()
+    assert len(held) > 200
+    assert np.mean([h["ok"] for h in held if h["toxic"]]) > 0.85
+    assert np.mean([h["ok"] for h in held if not h["toxic"]]) > 0.97
+
+
+def test_scores_do_not_depend_on_the_batch(labelled):
+    texts = [r["text"] for r in labelled.limit(40).collect()]
+    net = toxicity.train([[t.split()[:16]] for t in texts], [i % 2 for i in range(40)])
+    one = toxicity.Scorer(net, "one")
+    together = one(texts)
+    assert np.allclose([one([t])[0] for t in texts], together, atol=1e-5)
+
+
+def test_odd_rows(spark, odd_docs, labelled):
+    labels = labelled.select("doc_id", "toxic").unionAll(spark.createDataFrame([(None, 1), (5, None), (0, 0)], "doc_id bigint, toxic int"))
+    more = labelled.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 100)
+    docs = odd_docs.unionByName(more, allowMissingColumns=True)
+    labels = labels.withColumn("doc_id", F.col("doc_id") + 100)
+    rows = [r for r in toxicity.score_toxicity(docs, labels).collect() if (r["doc_id"] or 0) < 100]
+    assert len(rows) == 9
+    assert all(0 <= r["score"] <= 1 for r in rows)
+    assert {r["score"] for r in rows if r["doc_id"] in (3, 4, 5)} == {0.0}
+
+
+def test_without_labels(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert {(r["score"], r["predicted"]) for r in toxicity.score_toxicity(odd_docs, labels).collect()} == {(0.0, 0)}
+    assert toxicity.score_toxicity(no_docs, labels).count() == 0
