@@ -7,10 +7,12 @@ earliest dart of each coordinate is the signature, and two documents agree in a
 probability of their weighted Jaccard similarity. The time that is searched shrinks with the total
 weight, so a document throws about ``k (ln k + 2)`` darts whatever its length.
 
-Texts that agree in a band are candidates. Within a bucket, members first meet one pivot; connected
-texts become a class, and only pairs across classes that remain are formed, so copies are never
-paired with one another. Every candidate pair is checked exactly on the shingle sets, and the
-classes are the connected components of the pairs found.
+Texts that agree in a band are candidates. Within a bucket, members first meet one pivot, and
+connected texts become a class. Where a bucket still holds several classes, its texts meet in blocks
+of a bounded number; a block compares signatures, then sets, and returns only pairs that join two of
+its classes, so no group is ever written out as pairs. Every pair returned is checked exactly on the
+shingle sets, classes are the connected components of the pairs found, and this is repeated until a
+round finds no pair.
 
 Texts without words (null or empty too) are alike to none. Texts under five words are one shingle.
 Rows of one text are one node from the start, so repeated rows join the same class. An empty table
@@ -22,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
 BATCH_ELEMENTS = 300_000
+BLOCK_NODES = 1024
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([1 / np.e / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800, 39916800)])
@@ -208,20 +212,112 @@ def with_labels(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(ends.select("key"), "key", "left_semi")
 
 
-def pivot_pairs(named: DataFrame, pivot) -> DataFrame:
-    """Each member of a bucket with the bucket's pivot, unless both are in one class already."""
-    chosen = named.groupBy("key").agg(pivot(F.struct("node", "label")).alias("p"))
+def pivot_pairs(named: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's smallest, unless both are in one class already."""
+    chosen = named.groupBy("key").agg(F.min(F.struct("node", "label")).alias("p"))
     met = named.join(chosen, "key").filter("label != p.label")
     return met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
 
-def cross_pairs(named: DataFrame) -> DataFrame:
-    """All pairs of different classes within a bucket."""
-    classes = named.select("key", "label").distinct()
-    left = named.join(classes.select("key", F.col("label").alias("other")), "key").filter("label < other")
-    right = named.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-    met = left.join(right, ["key", "other"])
-    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+def prints(sets: DataFrame, nodes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, keys, bytes, small): band keys, a byte per coordinate, and the set as 32-bit hashes."""
+
+    def make(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                some = [np.asarray(s.values).view(np.uint64) for s in part.column("shingles")]
+                signatures = dart_signatures([(s, np.ones(len(s))) for s in some], bands * rows)
+                small = [np.unique(s.astype(np.uint32)).tobytes() for s in some]
+                columns = [
+                    part.column("node"),
+                    pa.array(list(band_keys(signatures, bands, rows)), pa.list_(pa.int64())),
+                    pa.array([s.tobytes() for s in mix(signatures).astype(np.uint8)], pa.binary()),
+                    pa.array(small, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "keys", "bytes", "small"])
+
+    return sets.join(nodes, "node", "left_semi").mapInArrow(make, "node binary, keys array<bigint>, bytes binary, small binary")
+
+
+def in_blocks(named: DataFrame) -> DataFrame:
+    """Add ``i``, ``j`` and ``block``: a bucket is cut into blocks, and each two of them meet once."""
+    sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    cut = named.join(sizes, "key").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK_NODES).cast("int"))
+    block = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    met = cut.withColumn("block", block).withColumn("_other", other)
+    ends = {"i": F.least("block", "_other"), "j": F.greatest("block", "_other")}
+    return met.withColumns(ends).drop("_n", "_blocks", "_other")
+
+
+def likely_pairs(frame: pd.DataFrame, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (a, b, agreement) of a block that lie in different classes and seem similar enough.
+
+    The agreement is cut five standard errors below the wanted similarity. A pair is looked at in
+    the first bucket that it shares.
+    """
+    keys, prints_ = np.stack(frame["keys"].to_numpy()), np.stack([np.frombuffer(b, np.uint8) for b in frame["bytes"]])
+    label, block = pd.factorize(frame["label"])[0], frame["block"].to_numpy()
+    band = np.flatnonzero(keys[0] == frame["key"].iloc[0])[0]
+    least = similarity - 5 * np.sqrt(similarity * (1 - similarity) / prints_.shape[1])
+    across = frame["i"].iloc[0] != frame["j"].iloc[0]
+    for at in range(0, len(frame), 32):
+        rows = slice(at, at + 32)
+        agree = (prints_[rows, None, :] == prints_[None, :, :]).mean(axis=2)
+        first = (keys[rows, None, : band + 1] == keys[None, :, : band + 1]).argmax(axis=2) == band
+        apart = (label[rows, None] != label) & (np.arange(at, at + len(agree))[:, None] < np.arange(len(frame)))
+        if across:
+            apart &= block[rows, None] != block
+        a, b = np.nonzero((agree >= least) & first & apart)
+        if len(a):
+            yield a + at, b, agree[a, b]
+
+
+def active(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """The rows of a block that have a likely partner."""
+    chosen = np.zeros(len(frame), bool)
+    for a, b, _ in likely_pairs(frame, similarity):
+        chosen[a] = chosen[b] = True
+    return frame.loc[chosen, ["key", "i", "j", "block", "node", "label"]]
+
+
+def joining(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Pairs of a block that connect its classes: a spanning forest, not all pairs."""
+    found = list(likely_pairs(frame, similarity))
+    if not found:
+        return pd.DataFrame({"a": [], "b": []})
+    a, b, agree = (np.concatenate(c) for c in zip(*found, strict=True))
+    sets = [np.frombuffer(x, np.uint32) for x in frame["small"]]
+    label, node = pd.factorize(frame["label"])[0].tolist(), frame["node"].tolist()
+    parent = list(range(max(label) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    pairs = []
+    for n in np.argsort(-agree, kind="stable").tolist():
+        x, y = root(label[a[n]]), root(label[b[n]])
+        if x != y:
+            one, two = sets[a[n]], sets[b[n]]
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            # 32-bit hashes may take a few different shingles for one; the full check follows.
+            if both >= (similarity - 1e-3) * (len(one) + len(two) - both):
+                parent[x] = y
+                pairs.append(sorted((node[a[n]], node[b[n]])))
+    return pd.DataFrame(pairs, columns=["a", "b"])
+
+
+def joining_pairs(named: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs that connect different classes within the buckets that still hold several."""
+    looks = materialize(prints(sets, named.select("node").distinct()), "prints")
+    met = in_blocks(named).join(looks.drop("small"), "node")
+    entry = "key bigint, i int, j int, block int, node binary, label binary"
+    chosen = met.groupBy("key", "i", "j").applyInPandas(lambda f: active(f, similarity), entry)
+    chosen = materialize(chosen, "active").join(looks, "node")
+    return chosen.groupBy("key", "i", "j").applyInPandas(lambda f: joining(f, similarity), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -229,16 +325,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIM
     signatures = materialize(signed(docs, text), "signatures")
     buckets = materialize(shared_buckets(signatures), "buckets")
     sets = materialize(shingle_sets(docs, buckets.select("node").distinct(), text), "shingles")
-    checked = links = labels = None
-    for step in ("low", "high", "rest"):
-        named = buckets.withColumn("label", F.col("node")) if labels is None else materialize(with_labels(buckets, labels), "open")
-        pairs = cross_pairs(named) if step == "rest" else pivot_pairs(named, F.min if step == "low" else F.max)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = check_pairs(pairs, sets, similarity)
-        links = materialize(found if links is None else links.unionAll(found), "found")
-        checked = pairs if checked is None else checked.unionAll(pairs)
+    each = buckets.withColumn("label", F.col("node"))
+    links = materialize(check_pairs(materialize(pivot_pairs(each), "pairs"), sets, similarity), "found")
+    labels = components(links)
+    while True:
+        named = materialize(with_labels(buckets, labels), "open")
+        pairs = materialize(joining_pairs(named, sets, similarity), "pairs")
+        found = materialize(check_pairs(pairs, sets, similarity), "found")
+        if found.isEmpty():
+            break
+        links = links.unionAll(found)
         labels = components(links)
     members = signatures.select("doc_id", "node", (F.size("keys") > 0).alias("worded"))
     named = members.join(labels, "node", "left").select("doc_id", "node", "worded", F.coalesce("label", "node").alias("label"))
@@ -267,7 +363,8 @@ def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of each class; texts without words all stay."""
     node = F.md5(text_or_empty(text).cast("binary"))
     key = lambda n: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), n)
-    chosen = near_duplicates(docs, text).filter("first").select(key(F.lower(F.hex("node"))).alias("_key")).distinct()
-    kept = docs.withColumn("_key", key(node)).join(chosen, "_key", "left_semi")
-    words = F.coalesce(F.col(text), F.lit("")).rlike(WORD)
-    return kept.filter(words).dropDuplicates(["_key"]).unionAll(kept.filter(~words)).drop("_key")
+    chosen = near_duplicates(docs, text).filter("first").select(key(F.lower(F.hex("node"))).alias("key")).distinct()
+    words = text_or_empty(text).rlike(WORD)
+    kept = docs.select(F.struct("*").alias("row"), key(node).alias("key"), words.alias("worded")).join(chosen, "key", "left_semi")
+    once = kept.filter("worded").dropDuplicates(["key"])
+    return once.unionAll(kept.filter("NOT worded")).select("row.*")
