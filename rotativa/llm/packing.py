@@ -13,6 +13,7 @@ table gives an empty result. Very long texts are tokenized whole. Extra columns
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -21,13 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rotativa.llm.common import numbered, unit_hash, worker_state
 
 CAPACITY = 2048
 END_ID = 0
-MARK = "<|startoftext|>"  # a special token of the vocabulary, used to tell words apart
 CACHED_WORDS = 800_000
+BEHIND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # punctuation that never starts a contraction
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -37,43 +39,55 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Ids of whole texts as little-endian 32-bit bytes, word by word.
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(b) for b in printed} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class WordIds(dict):
+    """Ids of words as little-endian 32-bit bytes, looked up or else encoded.
 
     The tokenizer drops blanks and never joins what they part, so a text's ids are those of its
-    words in turn. New words of a batch are encoded together with a special token between them.
+    words in turn. A word of Latin letters, maybe with punctuation behind, is one run of letters to
+    the tokenizer, lower-cased, and goes to its merges at once; any other goes the whole way.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.known = worker_state(f"words {path}")
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(MARK)
-
-    def learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-        plain = [w for w in new if b"<|" not in w]
-        for at in range(0, len(plain), 256):
-            some = plain[at : at + 256]
-            joined = self.tokenizer.encode(MARK.join(w.decode() for w in some), add_special_tokens=False).ids
-            ids = np.array(joined, "<u4")
-            parts = np.split(ids, np.flatnonzero(ids == self.mark))
-            for i, (word, part) in enumerate(zip(some, parts, strict=True)):
-                self.known[word] = part[i > 0 :].tobytes()
-        for word in new:
-            if b"<|" in word:
-                self.known[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode().split() for t in texts]
-        new = set().union(*words).difference(self.known)
-        if new:
-            self.learn(list(new))
-            # Learning may have emptied a full dictionary.
-            self.learn(list(set().union(*words).difference(self.known)))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        self.merges = self.tokenizer.model
+        parts = json.loads(self.tokenizer.to_str())
+        steps = [x.get("type") for x in (parts["normalizer"] or {}).get("normalizers", [])]
+        cuts = [x.get("type") for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"]
+        self.letters = byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        text = word.decode()
+        core = text.rstrip(BEHIND)
+        low = core.lower()
+        # No letter below U+0250 is changed by normalization but for its case.
+        if self.plain and low.isalpha() and max(core) < "\u0250":
+            if len(core) < len(text):
+                ids = self[low.encode()] + self[text[len(core) :].encode()]
+            elif low != core:
+                ids = self[low.encode()]
+            else:
+                written = word.decode("latin-1").translate(self.letters)
+                ids = np.array([t.id for t in self.merges.tokenize(written)], "<u4").tobytes()
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.__getitem__, (text or "").encode().split()))
 
 
 def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -82,20 +96,17 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        # Words are looked up one text at a time; the tokenizer's own threads would only compete.
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encoder = WordEncoder(vocabulary)
+        kept = worker_state("word ids")
+        if vocabulary not in kept:
+            kept[vocabulary] = WordIds(vocabulary)
+        words = kept[vocabulary]
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             rows = []
-            for at in range(0, len(ids), 200):
-                for doc, data in zip(ids[at : at + 200], encoder.encode(batch.column("text")[at : at + 200].to_pylist()), strict=True):
-                    data += end
-                    for n, first in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[first : first + 4 * capacity]
-                        rows.append((doc, n, n * capacity, len(part) // 4, zlib.crc32(part)))
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                data = words.encode(text.as_py()) + end
+                for n, first in enumerate(range(0, len(data), 4 * capacity)):
+                    part = data[first : first + 4 * capacity]
+                    rows.append((doc, n, n * capacity, len(part) // 4, zlib.crc32(part)))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -233,7 +244,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # Patterns are made of lengths, so this table is bounded by the capacity, not by the documents.
     plan = spark.sparkContext.broadcast(tables)
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("piece").cast("string"), F.col("ids_crc32").cast("string"))
-    indexed = numbered(pieces.withColumn("_place", unit_hash(key)), ["length"], [], "_place").drop("_place")
+    indexed = numbered(pieces.withColumn("_place", unit_hash(key)), ["length"], [], "_place", ("doc_id", "piece")).drop("_place")
 
     def place(batches):
         for batch in batches:
@@ -250,6 +261,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [*[batch.column(n) for n in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"]
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return indexed.mapInArrow(place, f"{fields}, sequence_id bigint, `offset` bigint")
+    return indexed.mapInArrow(place, T.StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long"))
 
