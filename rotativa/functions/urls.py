@@ -22,9 +22,9 @@ def has_base(c: Column | str, base: str) -> Column:
 
 
 def in_sections(c: Column | str, sections: list[str]) -> Column:
-    """True when the path holds ``/section/`` for any of ``sections``, ignoring case."""
+    """True when the path holds ``/section/`` for any of ``sections``, ignoring case; without sections, never."""
     path = F.lower(url_path(c))
-    return reduce(lambda a, b: a | b, [path.contains(f"/{s.lower()}/") for s in sections])
+    return reduce(lambda a, b: a | b, [path.contains(f"/{s.lower()}/") for s in sections], F.lit(False))
 
 
 def first_segment(c: Column | str) -> Column:

@@ -51,8 +51,9 @@ def node_text(element: Column, separator: str = "") -> Column:
     return F.array_join(element["texts"], separator)
 
 
-def meta_content(elements: Column, key: str) -> Column:
-    metas = F.filter(elements, lambda e: (e["tag"] == "meta") & (e["key"] == key))
+def meta_content(elements: Column, value: str, attribute: str = "name") -> Column:
+    """``content`` of the first ``meta`` whose ``name``, or else ``property``, is ``value``."""
+    metas = F.filter(elements, lambda e: (e["tag"] == "meta") & (e[attribute] == value))
     return F.nullif(F.get(metas, F.lit(0))["content"], F.lit(""))
 
 
@@ -82,15 +83,17 @@ def listing_links(
     article_css: str | None = None,
     title_from: str = "text",
     label_prefix: str = "Ir a la nota ",
+    with_href: bool = False,
 ) -> DataFrame:
     """First anchor of each ``article``: the page columns, ``pos``, ``title``, ``link``.
 
-    ``host`` is put before relative links; without it links stay as written. ``title_from``
+    ``with_href`` passes over anchors without a link; otherwise such a first anchor drops its
+    article. ``host`` is put before relative links; without it links stay as written. ``title_from``
     is ``text`` or ``label`` (the ``aria-label`` without its prefix).
     """
     keep = [c for c in parsed.columns if c not in ("elements", "error")]
     articles = all_elements(F.col("elements"), "article", [article_css] if article_css else None)
-    anchors = F.filter("elements", _with("a"))
+    anchors = F.filter("elements", lambda e: (e["tag"] == "a") & (e["href"].isNotNull() | F.lit(not with_href)))
     first_anchor = F.get(
         F.filter(anchors, lambda a: F.array_contains(a["inside"], F.col("_article.pos"))), F.lit(0)
     )
@@ -179,7 +182,7 @@ def headline_records(pages: DataFrame, seccion: str) -> DataFrame:
 
 def linked_items(elements: Column) -> Column:
     """JSON-LD objects of type NewsArticle or Article, in page order; bad JSON is skipped."""
-    scripts = F.filter(elements, lambda e: (e["tag"] == "script") & e["key"].contains("ld+json"))
+    scripts = F.filter(elements, lambda e: (e["tag"] == "script") & e["type"].contains("ld+json"))
 
     def objects(script: Column) -> Column:
         doc = F.try_parse_json(node_text(script))
@@ -209,7 +212,7 @@ def linked_records(pages: DataFrame, site: str, with_text: bool = False) -> Data
     """Rows of ``linked`` pages: id, seccion, fecha_publicacion, titulo, url, bajada, texto, status."""
     els = F.col("elements")
     published = F.coalesce(
-        _last_known(F.col("_items"), "published"), meta_content(els, "article:published_time")
+        _last_known(F.col("_items"), "published"), meta_content(els, "article:published_time", "property")
     )
     section = F.coalesce(_last_known(F.col("_items"), "section"), first_segment("url"))
     long_ones = long_paragraphs(paragraphs(els))

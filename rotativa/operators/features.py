@@ -56,7 +56,8 @@ def with_prompt(
 def score(df: DataFrame, load_scorer: Callable[[], Scorer], prompt: str = "user_prompt", tasks: int | None = None) -> DataFrame:
     """Add the model's answer as ``response`` and a failure as ``error``.
 
-    ``tasks`` bounds how many calls run at once. A failing call marks its row only.
+    The scorer gets the prompts of a batch at once; where that fails, each prompt on its own, so a
+    failing call marks its row only. ``tasks`` bounds how many calls run at once.
     """
     spread = df if tasks is None else df.repartition(tasks)
 
@@ -64,14 +65,20 @@ def score(df: DataFrame, load_scorer: Callable[[], Scorer], prompt: str = "user_
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = load_scorer()
         for prompts in batches:
-            answers, errors = [], []
-            for text in prompts:
-                try:
-                    answers.append(scorer([text])[0])
-                    errors.append(None)
-                except Exception as error:
-                    answers.append(None)
-                    errors.append(f"{type(error).__name__}: {error}")
+            try:
+                answers = list(scorer(list(prompts)))
+                errors = [None] * len(prompts)
+                if len(answers) != len(prompts):
+                    raise ValueError("the scorer gave another number of answers")
+            except Exception:
+                answers, errors = [], []
+                for text in prompts:
+                    try:
+                        answers.append(scorer([text])[0])
+                        errors.append(None)
+                    except Exception as error:
+                        answers.append(None)
+                        errors.append(f"{type(error).__name__}: {error}")
             yield pd.DataFrame({"response": answers, "error": errors}, dtype=object)
 
     # Otherwise a filter on the answer is pushed below the projection and asks everything twice.
@@ -94,25 +101,29 @@ def score_missing(
 ) -> DataFrame:
     """Score the prompts not answered yet, store the answers, and return all rows with theirs.
 
-    Answers are keyed by URL and prompt hash, so equal articles are asked about once and a second
-    run asks nothing. With ``rounds`` > 1 the work is appended in that many parts, and a lost job
-    repeats only its part. Failed calls are not stored and are tried again next time.
+    Answers are keyed by the hash of the prompt, which holds the URL, so equal articles are asked
+    about once, with or without a URL, and a second run asks nothing. With ``rounds`` > 1 the work is
+    appended in that many parts, and a lost job repeats only its part. Failed calls are stored with
+    their ``error``, come back with it, and are tried again next time.
     """
     spark = df.sparkSession
     keyed = df.withColumn("prompt_sha", F.sha2("user_prompt", 256))
     table_or_empty(spark, answers_path, ANSWERS)
     for part in range(rounds):
-        done = table_or_empty(spark, answers_path, ANSWERS).select("url", "prompt_sha").distinct()
+        done = table_or_empty(spark, answers_path, ANSWERS).filter("error IS NULL").select("prompt_sha").distinct()
         todo = (
-            keyed.filter(F.pmod(F.xxhash64("url"), F.lit(rounds)) == part)
-            .select("url", "prompt_sha", "user_prompt")
-            .dropDuplicates(["url", "prompt_sha"])
-            .join(done, ["url", "prompt_sha"], "left_anti")
+            keyed.filter(F.pmod(F.xxhash64("prompt_sha"), F.lit(rounds)) == part)
+            .groupBy("prompt_sha")
+            .agg(F.min("url").alias("url"), F.min("user_prompt").alias("user_prompt"))
+            .join(done, "prompt_sha", "left_anti")
         )
-        answered = score(todo, load_scorer, tasks=tasks).filter(F.col("error").isNull())
-        answered.select(*ANSWERS.names).write.mode("append").parquet(answers_path)
-    answers = table_or_empty(spark, answers_path, ANSWERS).dropDuplicates(["url", "prompt_sha"]).drop("error")
-    return join_one(keyed, answers, ["url", "prompt_sha"], "left")
+        score(todo, load_scorer, tasks=tasks).select(*ANSWERS.names).write.mode("append").parquet(answers_path)
+    # One row per prompt: an answer if there is one, else what went wrong.
+    worth = F.struct(F.col("error").isNull(), F.coalesce("response", "error"))
+    answers = table_or_empty(spark, answers_path, ANSWERS).groupBy("prompt_sha").agg(
+        F.max_by("response", worth).alias("response"), F.max_by("error", worth).alias("error")
+    )
+    return join_one(keyed, answers, ["prompt_sha"], "left")
 
 
 # Parsing. Scalars are read as text first, because a quoted number or boolean would otherwise be
@@ -143,6 +154,10 @@ def _struct(schema: T.StructType, leaf: Callable[[str, T.DataType], str], prefix
 def _cast_leaf(path: str, kind: T.DataType) -> str:
     if isinstance(kind, (T.ArrayType, T.StringType)):
         return f"raw.{path}"
+    if isinstance(kind, T.IntegerType):
+        # A whole number may be written with a fraction, as in 21.0.
+        number = f"try_cast(raw.{path} AS DOUBLE)"
+        return f"CASE WHEN {number} = floor({number}) THEN try_cast({number} AS INT) END"
     return f"try_cast(raw.{path} AS {kind.simpleString()})"
 
 
@@ -215,11 +230,15 @@ def validate_features(df: DataFrame, schema: T.StructType = FEATURES) -> DataFra
     absent lists become empty, an absent actor name becomes "unknown".
 
     Violations are ``missing:``, ``type:``, ``enum:`` and ``range:`` with the field path, plus
-    ``quotes`` (too many) and ``quality_band`` (score outside the band of its category).
+    ``quotes`` (too many) and ``quality_band`` (score outside the band of its category). A row whose
+    call failed has the one violation ``call``.
     """
+    violations = F.expr(f"array_compact(array({', '.join(_checks(schema))}))")
+    if "error" in df.columns:
+        violations = F.when(F.col("error").isNotNull(), F.array(F.lit("call"))).otherwise(violations)
     return df.withColumns(
         {
-            "violations": F.expr(f"array_compact(array({', '.join(_checks(schema))}))"),
+            "violations": violations,
             "features": F.expr(_struct(schema, _repaired_leaf)),
         }
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rotativa.constants import BORDER_DAYS, WINDOW_END, WINDOW_START
-from rotativa.functions.dates import month_end, month_start, parse_day
+from rotativa.functions.dates import parse_day
 
 
 def date_window(df: DataFrame, col: str = "fecha", start: str = WINDOW_START, end: str = WINDOW_END) -> DataFrame:
@@ -43,9 +44,16 @@ def month_from_text(c: Column) -> Column:
 
 
 def months_overlapping(df: DataFrame, month: Column, start: date | str, end: date | str) -> DataFrame:
-    """Rows whose calendar month shares a day with ``[start, end]``."""
-    first, last = month_start(month), month_end(month)
-    return df.filter((last >= F.lit(start).cast("date")) & (first <= F.lit(end).cast("date")))
+    """Rows whose calendar month shares a day with ``[start, end]``.
+
+    The column itself is compared, with the first day of one month and the last of another, so the
+    filter reaches the scan.
+    """
+    first, last = date.fromisoformat(str(start)[:10]), date.fromisoformat(str(end)[:10])
+    if first > last:
+        return df.filter(F.lit(False))
+    last = last.replace(day=monthrange(last.year, last.month)[1])
+    return df.filter((month >= F.lit(first.replace(day=1))) & (month <= F.lit(last)))
 
 
 def month_window_join(df: DataFrame, month_col: str, windows: DataFrame) -> DataFrame:

@@ -11,16 +11,17 @@ from rotativa.operators.dedup import first_title
 
 
 def top_n(
-    df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank", salts: int = 64
+    df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank"
 ) -> DataFrame:
     """The first ``n`` rows of each group with their rank; ``order`` must be total.
 
     Spark cuts each map task to ``n`` rows per group up to its group-limit threshold. Beyond it
-    groups are cut per salt first, so that no task sorts a whole large group.
+    groups are first cut within what each input partition has of them, so the parts of a group grow
+    in number with the table and no task sorts a whole large group.
     """
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if n > limit:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+        salted = df.withColumn("_salt", F.spark_partition_id())
         w = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).drop("_rk", "_salt")
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -62,7 +62,7 @@ def sitemap_articles(
     pages reach Python. The list of URLs is checkpointed, as the join reads it more than once.
     """
     wanted = cut_lineage(sitemap_candidates(sitemaps, base, sections).select(F.col("url").alias("link")))
-    found = fetched(lookup_pages(wanted, pages)).drop("link")
+    found = lookup_pages(wanted, fetched(pages)).drop("link")
     records = linked_records(found, site, with_text).withColumn("_day", written_day("fecha_publicacion"))
     inside = date_window(records, "_day", start, end)
     return select_present(inside, SITEMAP_ARTICLE_COLUMNS, SITEMAP_ARTICLE_OPTIONAL)
@@ -76,13 +76,13 @@ def story_articles(
     Each listing page is parsed once: its links are checkpointed before the join.
     """
     links = cut_lineage(listing_links(parse_pages(listings), host, title_from=title_from).drop("title"))
-    return story_records(fetched(lookup_pages(links, pages)).drop("link"), diario, title_css)
+    return story_records(lookup_pages(links, fetched(pages)).drop("link"), diario, title_css)
 
 
 def headline_articles(
     listings: DataFrame, pages: DataFrame, stored: DataFrame, seccion: str, order: list[Column | str] = ("pagina", "pos")
 ) -> DataFrame:
     """Articles linked from listing pages (pagina, html) whose URL is not stored yet."""
-    links = listing_links(parse_pages(listings), article_css="news-article").select("pagina", "pos", F.col("link").alias("url"))
+    links = listing_links(parse_pages(listings), article_css="news-article", with_href=True).select("pagina", "pos", F.col("link").alias("url"))
     new = cut_lineage(unseen(links, stored, list(order)).select(F.col("url").alias("link")))
-    return headline_records(fetched(lookup_pages(new, pages)).drop("link"), seccion)
+    return headline_records(lookup_pages(new, fetched(pages)).drop("link"), seccion)

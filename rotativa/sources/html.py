@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rotativa.functions.text import as_col
 
 ELEMENT_DDL = (
-    "struct<pos:int,tag:string,css:array<string>,key:string,content:string,href:string,"
+    "struct<pos:int,tag:string,css:array<string>,name:string,property:string,type:string,content:string,href:string,"
     "label:string,datetime:string,texts:array<string>,inside:array<int>>"
 )
 PAGE_DDL = f"struct<elements:array<{ELEMENT_DDL}>,error:string>"
@@ -33,7 +33,9 @@ _ARROW_PAGE = pa.struct(
                         ("pos", pa.int32()),
                         ("tag", pa.string()),
                         ("css", pa.list_(pa.string())),
-                        ("key", pa.string()),
+                        ("name", pa.string()),
+                        ("property", pa.string()),
+                        ("type", pa.string()),
                         ("content", pa.string()),
                         ("href", pa.string()),
                         ("label", pa.string()),
@@ -121,7 +123,9 @@ class _ElementReader(HTMLParser):
             "pos": len(self.rows),
             "tag": tag,
             "css": css,
-            "key": attrs.get("name") or attrs.get("property") or attrs.get("type"),
+            "name": attrs.get("name"),
+            "property": attrs.get("property"),
+            "type": attrs.get("type"),
             "content": attrs.get("content"),
             "href": attrs.get("href"),
             "label": attrs.get("aria-label"),

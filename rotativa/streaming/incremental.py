@@ -85,22 +85,37 @@ def rolling_top(
 ) -> StreamingQuery:
     """Keep the top ``n`` entries per source over all polls in ``path``.
 
-    The new top is made from the previous one and the batch; ``poll`` puts what was seen in an
-    earlier batch first. Titles that left the top are forgotten, so state stays at ``n`` per source.
+    Every (source, title) ever seen is kept in ``path/_seen``, one folder per batch, so a title that
+    left the top and comes back stays what it was. Entries whose title is new join the previous top;
+    ``poll`` puts what was seen in an earlier batch first.
     """
+    seen_path = f"{path}/_seen"
+    title_key = {"_source": F.col("source"), "_title": F.lower(F.trim("title"))}
 
-    def update(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        entries = batch.withColumn("poll", F.lit(batch_id).cast("long"))
+    def earlier(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
         try:
-            versions = spark.read.parquet(path).filter(F.col("version") < batch_id)
-            newest = versions.agg(F.max("version")).scalar()
-            previous = versions.filter(F.col("version") == newest)
-            entries = entries.unionByName(previous.select(*entries.columns))
+            return spark.read.parquet(folder).filter(F.col("version") < batch_id)
         except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
+            return None
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        entries = batch.withColumns({"poll": F.lit(batch_id).cast("long"), **title_key})
+        seen, versions = earlier(spark, seen_path, batch_id), earlier(spark, path, batch_id)
+        if seen is not None:
+            known = seen.select(F.col("_source").alias("_s"), F.col("_title").alias("_t"))
+            same = F.col("_source").eqNullSafe(F.col("_s")) & F.col("_title").eqNullSafe(F.col("_t"))
+            entries = entries.join(known, same, "left_anti")
+        keys = entries.select("_source", "_title").distinct()
+        entries = entries.drop("_source", "_title")
+        if versions is not None:
+            newest = versions.agg(F.max("version")).scalar()
+            entries = entries.unionByName(versions.filter(F.col("version") == newest).select(*entries.columns))
         top = rss_ranked(entries, n, seen_order=("poll", "feed_pos", "entry_pos"))
         top.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        # Last, so that a batch that is repeated sees its own titles as new again.
+        keys.write.mode("overwrite").parquet(f"{seen_path}/version={batch_id}")
 
     return _start(stream.writeStream.foreachBatch(update), checkpoint, every)
