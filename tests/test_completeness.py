@@ -86,7 +86,7 @@ def test_json_ld_script_with_a_name(spark):
 def test_listing_columns_of_the_same_name_stay(spark):
     listing = spark.createDataFrame([("a", "mine", 1)], "link string, seccion string, url int")
     pages = spark.createDataFrame([("a", "theirs")], "url string, seccion string")
-    row = joins.lookup_pages(listing, pages).first()
+    row = joins.lookup_pages(listing, pages, page_order=[]).first()
     assert (row["listing_seccion"], row["seccion"], row["listing_url"]) == ("mine", "theirs", 1)
 
 

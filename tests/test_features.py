@@ -162,10 +162,11 @@ def test_stored_answers_are_not_asked_again(spark, tmp_path, rounds):
         import uuid
 
         def score(prompts):
-            if "malo" in prompts[0]:
+            if any("malo" in p for p in prompts):
                 raise RuntimeError("no")
-            open(f"{folder}/{uuid.uuid4().hex}", "w").close()
-            return [answer]
+            for _ in prompts:
+                open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+            return [answer] * len(prompts)
 
         return score
 
