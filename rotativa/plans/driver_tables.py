@@ -218,13 +218,10 @@ ANSWER = {
 }
 
 
-def answers(spark: SparkSession, sf_dir: str, how: str = "left") -> DataFrame:
-    """Articles with a model answer made from their labels.
-
-    Unlabelled ones have a cut-off answer, or are left out with ``how="inner"``.
-    """
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with a model answer made from their labels; unlabelled ones have a cut-off answer."""
     labels = table(spark, sf_dir, "labels")
-    joined = news(spark, sf_dir).join(labels, "doc_id", how)
+    joined = news(spark, sf_dir).join(labels, "doc_id", "left")
     good = F.col("quality") == 1
     text = F.lit(json.dumps(ANSWER, ensure_ascii=False))
     marks = {
@@ -257,3 +254,15 @@ def load_stub_scorer():
         return json.dumps(record)
 
     return lambda prompts: [answer(p) for p in prompts]
+
+
+def load_failing_scorer():
+    """The stand-in scorer, failing on articles in German."""
+    score = load_stub_scorer()
+
+    def ask(prompts: list[str]) -> list[str]:
+        if any("\nSeccion: de\n" in p for p in prompts):
+            raise ValueError("no answer")
+        return score(prompts)
+
+    return ask

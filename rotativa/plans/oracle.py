@@ -159,7 +159,32 @@ def _flat_columns() -> str:
         columns[f"optimismos__{outlook}"] = "0.5::DOUBLE"
     for topic in ANSWER["tematicas"]:
         columns[f"tematicas__{topic}"] = good
-    return ", ".join(f"{value} AS {name}" for name, value in columns.items())
+    # A cut-off answer leaves the article's own metadata and the repaired defaults.
+    cut = {
+        "seccion": "seccion",
+        "entidades__tipo_actor_principal": "'desconocido'",
+        "entidades__nombre_actor_principal": "'unknown'",
+        **{f"entidades__{x}": "''" for x in ("empresas_mencionadas", "tickers_mencionados", "sectores_mencionados")},
+        **{f"evento__{x}": "'desconocido'" for x in ("tipo_evento", "shock", "caracter")},
+        "calidad_fuente__categoria": "'desconocido'",
+    }
+    same = ("diario", "fecha", "url")
+    pairs = {n: v if n in same else f"CASE WHEN quality IS NULL THEN {cut.get(n, 'NULL')} ELSE {v} END" for n, v in columns.items()}
+    return ", ".join(f"{value} AS {name}" for name, value in pairs.items())
+
+
+def _all_missing() -> str:
+    """What an unreadable answer lacks: every leaf that must be there."""
+    optional = {"diario", "fecha", "seccion", "evento.horizonte_dias", "evidencia.notas", "entidades.empresas_mencionadas", "entidades.sectores_mencionados"}
+
+    def leaves(part, prefix=""):
+        for name, value in part.items():
+            if isinstance(value, dict):
+                yield from leaves(value, f"{prefix}{name}.")
+            elif prefix + name not in optional:
+                yield f"missing:{prefix}{name}"
+
+    return ",".join(sorted(leaves(ANSWER)))
 
 
 _EVENT_TEXT = "strftime(ts, '%Y-%m-%dT%H:%M:%S')"
@@ -413,17 +438,48 @@ FROM answered""",
 WITH {_NEWS}, {_ANSWERED}
 SELECT doc_id, CASE WHEN good THEN 'fiscal' ELSE 'desconocido' END AS tipo_evento,
        CASE WHEN good THEN 'bcra' ELSE 'desconocido' END AS actor, 'unknown' AS nombre, CAST(0 AS BIGINT) AS n_tickers,
-       CASE WHEN good THEN '{_violations(True)}' ELSE '{_violations(False)}' END AS violations
-FROM answered WHERE quality IS NOT NULL""",
+       CASE WHEN quality IS NULL THEN '{_all_missing()}' WHEN good THEN '{_violations(True)}' ELSE '{_violations(False)}' END AS violations
+FROM answered""",
     "q_llm_backfill": f"""
 WITH {_NEWS}, {_ANSWERED}
-SELECT doc_id, diario, CAST(fecha AS VARCHAR) AS fecha, 'otra' AS seccion, url FROM answered WHERE quality IS NOT NULL""",
+SELECT doc_id, diario, CAST(fecha AS VARCHAR) AS fecha, CASE WHEN quality IS NULL THEN seccion ELSE 'otra' END AS seccion, url
+FROM answered""",
     "q_backfill_join": f"""
 WITH {_NEWS}, {_ANSWERED}
 SELECT doc_id, diario, CAST(fecha AS VARCHAR) AS fecha,
        CASE WHEN quality IS NULL THEN seccion ELSE 'otra' END AS seccion
 FROM answered""",
-    "q_flatten": f"WITH {_NEWS}, {_ANSWERED} SELECT {_flat_columns()} FROM answered WHERE quality IS NOT NULL",
+    "q_flatten": f"WITH {_NEWS}, {_ANSWERED} SELECT {_flat_columns()} FROM answered",
+    "q_daily_features": f"""
+WITH {_NEWS}, {_ANSWERED}, flat AS (SELECT {_flat_columns()} FROM answered)
+SELECT fecha, diario, count(*) AS n_articles,
+       round(avg(mercado__merval__direccion), 9) AS avg_mercado__merval__direccion,
+       round(sum(mercado__merval__direccion * calidad_fuente__calidad_fuente_score)
+             / sum(CASE WHEN mercado__merval__direccion IS NOT NULL THEN calidad_fuente__calidad_fuente_score END), 9)
+         AS wavg_mercado__merval__direccion,
+       round(avg(evento__horizonte_dias), 9) AS avg_evento__horizonte_dias,
+       round(sum(evento__horizonte_dias * calidad_fuente__calidad_fuente_score)
+             / sum(CASE WHEN evento__horizonte_dias IS NOT NULL THEN calidad_fuente__calidad_fuente_score END), 9)
+         AS wavg_evento__horizonte_dias,
+       round(avg(CAST(CAST(tematicas__menciona_fmi AS INT) AS DOUBLE)), 9) AS share_tematicas__menciona_fmi,
+       count(*) FILTER (evento__tipo_evento = 'fiscal') AS n_evento__tipo_evento__fiscal,
+       count(*) FILTER (evento__tipo_evento = 'desconocido') AS n_evento__tipo_evento__desconocido,
+       count(*) FILTER (evento__shock = 'mixto') AS n_evento__shock__mixto
+FROM flat GROUP BY fecha, diario""",
+    "q_sections": """
+SELECT CASE WHEN lang IN ('en', 'de') THEN 'politica' WHEN lang IN ('fr', 'es') THEN 'economia' END AS seccion, count(*) AS n
+FROM documents GROUP BY 1""",
+    "q_top_per_day": f"""
+WITH {_NEWS}
+SELECT doc_id, diario, CAST(fecha AS VARCHAR) AS fecha,
+       row_number() OVER (PARTITION BY diario, fecha ORDER BY length(contenido) DESC, doc_id) AS rank
+FROM news QUALIFY rank <= 2""",
+    "q_top_rows": """
+SELECT l_returnflag, l_orderkey, l_linenumber,
+       row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS rank
+FROM lineitem QUALIFY rank <= 1500""",
+    "q_score_failures": """
+SELECT doc_id, lang <> 'de' AS answered, CASE WHEN lang = 'de' THEN 'ValueError: no answer' END AS error FROM documents""",
     "q_feature_flow": f"""
 WITH {_NEWS}, prompts AS (SELECT *, {_user_prompt()} AS p FROM news)
 SELECT doc_id, diario, CAST(fecha AS VARCHAR) AS fecha, 'otra' AS seccion, url,
@@ -432,7 +488,6 @@ FROM prompts""",
     "q_exploration_export": f"""
 WITH {_NEWS} SELECT CAST(fecha + 1 AS VARCHAR) AS fecha_dia, count(*) AS count_noticias FROM news GROUP BY 1""",
     "q_list_text": "SELECT doc_id, source || '|l' || chr(39) || lang || '|a' || chr(160) || 'b' AS lista FROM documents",
-    "q_props_json": "SELECT event_id, CAST(props::JSON->>'k' AS BIGINT) AS k FROM events",
     "q_csv_roundtrip": f"""
 WITH {_NEWS} SELECT diario, CAST(fecha AS VARCHAR) AS fecha, titulo, contenido, url AS link FROM news""",
     "q_page_files": "SELECT doc_id // 11 AS pagina, count(*) AS n FROM documents GROUP BY 1",

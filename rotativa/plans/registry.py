@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from rotativa.constants import BORDER_DAYS, NEWS_COLUMNS, WINDOW_END, WINDOW_START
 from rotativa.functions import dates, text, urls
 from rotativa.functions.vectors import l2_normalize
-from rotativa.operators import aggregates, articles, dedup, features, filters, paging, rank, sampling, schema_ops, vectors
+from rotativa.operators import aggregates, articles, dedup, feature_days, features, filters, paging, rank, sampling, schema_ops, vectors
 from rotativa.operators.joins import backfill, in_table, lookup_pages
 from rotativa.plans import consolidation, exploration, extraction, ingestion
 from rotativa.plans import driver_tables as data
@@ -468,7 +468,7 @@ def q_parse_features(spark, sf):
 
 
 def q_validate_features(spark, sf):
-    checked = features.validate_features(features.parse_features(data.answers(spark, sf, "inner")))
+    checked = features.validate_features(features.parse_features(data.answers(spark, sf)))
     return checked.select(
         "doc_id", F.col("features.evento.tipo_evento").alias("tipo_evento"),
         F.col("features.entidades.tipo_actor_principal").alias("actor"),
@@ -479,7 +479,7 @@ def q_validate_features(spark, sf):
 
 
 def q_llm_backfill(spark, sf):
-    filled = extraction.checked_features(data.answers(spark, sf, "inner"))
+    filled = extraction.checked_features(data.answers(spark, sf))
     return filled.select("doc_id", *[F.col(f"features.{c}").alias(c) for c in features.METADATA])
 
 
@@ -491,7 +491,7 @@ def q_backfill_join(spark, sf):
 
 
 def q_flatten(spark, sf):
-    flat = features.flatten(extraction.checked_features(data.answers(spark, sf, "inner")))
+    flat = features.flatten(extraction.checked_features(data.answers(spark, sf)))
     lists = {c: F.array_join(c, "|") for c, t in flat.dtypes if t.startswith("array")}
     return flat.withColumns(lists).withColumn("evento__horizonte_dias", F.col("evento__horizonte_dias").cast("long"))
 
@@ -504,18 +504,59 @@ def q_feature_flow(spark, sf):
     )
 
 
+def q_daily_features(spark, sf):
+    """Averages, weighted averages, shares and enum counts per day and paper."""
+    flat = features.flatten(extraction.checked_features(data.answers(spark, sf)))
+    days = feature_days.feature_summary(flat, ["fecha", "diario"], "calidad_fuente__calidad_fuente_score")
+    return days.select(
+        "fecha", "diario", "n_articles",
+        *[F.round(c, 9).alias(c) for c in (
+            "avg_mercado__merval__direccion", "wavg_mercado__merval__direccion", "avg_evento__horizonte_dias",
+            "wavg_evento__horizonte_dias", "share_tematicas__menciona_fmi",
+        )],
+        "n_evento__tipo_evento__fiscal", "n_evento__tipo_evento__desconocido", "n_evento__shock__mixto",
+    )
+
+
+def q_sections(spark, sf):
+    """Articles per normalised section; the raw names differ in case, accents and blanks."""
+    spelt = F.create_map(*[F.lit(x) for x in ("en", "Política", "de", " POLITICA", "fr", "Economía", "es", "eco  nomica")])
+    raw = data.news(spark, sf).withColumn("seccion", F.element_at(spelt, F.col("seccion")))
+    normal = feature_days.normal_section("seccion", {"eco nomica": "economia"})
+    return aggregates.counts_by(raw.withColumn("seccion", normal), "seccion")
+
+
+def q_top_per_day(spark, sf):
+    """The two longest articles of each paper and day."""
+    measured = data.news(spark, sf).select("doc_id", "diario", _iso("fecha").alias("fecha"), text.char_count("contenido").alias("largo"))
+    top = rank.top_n(measured, ["diario", "fecha"], [F.col("largo").desc(), F.col("doc_id")], 2)
+    return top.select("doc_id", "diario", "fecha", F.col("rank").cast("long").alias("rank"))
+
+
+def q_top_rows(spark, sf):
+    """The 1,500 largest order lines per flag: groups above Spark's own limit, and really cut."""
+    lines = data.table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity")
+    order = [F.col("l_quantity").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
+    top = rank.top_n(lines, ["l_returnflag"], order, 1500)
+    return top.select("l_returnflag", "l_orderkey", "l_linenumber", F.col("rank").cast("long").alias("rank"))
+
+
+def q_score_failures(spark, sf):
+    """Stored answers where some calls fail and some articles have no URL: asked twice, errors come back."""
+    path = shared_dir(spark, "answers")
+    url = F.when(F.col("doc_id") % 5 > 0, F.col("url"))
+    prompts = features.with_prompt(data.news(spark, sf).withColumn("url", url)).select("doc_id", "seccion", "user_prompt", url.alias("url"))
+    for _ in range(2):
+        answered = features.score_missing(prompts, data.load_failing_scorer, path)
+    return answered.select("doc_id", F.col("response").isNotNull().alias("answered"), "error")
+
+
 def q_list_text(spark, sf):
     """Lists stored as text with single quotes, read back as arrays."""
     shown = F.concat(F.lit("['"), F.col("diario"), F.lit("', \"l'"), F.col("seccion"), F.lit("\", 'a\\xa0b']"))
     return data.news(spark, sf).select("doc_id", F.array_join(features.read_list_text(shown), "|").alias("lista"))
 
 
-def q_props_json(spark, sf):
-    """The JSON reader on the event properties."""
-    parsed = F.from_json("props", "k string, _corrupt_record string")
-    return data.table(spark, sf, "events").select("event_id", parsed["k"].try_cast("long").alias("k"))
-
-
 # Sinks and streams
 
 

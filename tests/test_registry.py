@@ -10,7 +10,7 @@ from rotativa.plans.oracle import ORACLE
 from rotativa.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents embeddings events labels orders pages".split()
+TABLES = "documents embeddings events labels lineitem orders pages".split()
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
