@@ -59,11 +59,11 @@ def embed_hashed(df: DataFrame, text: str, dims: int = 256, out: str = "embeddin
 def mean_vectors(df: DataFrame, keys: list[str], vector: str = "embedding", count: str = "count_noticias") -> DataFrame:
     """Element-wise mean vector and row count per group, not normalised again.
 
-    Rows with a null key are dropped; vectors must not be null. Each task adds up its own rows
+    Rows with a null key or vector are dropped and not counted. Each task adds up its own rows
     first, so a group with very many rows sends one vector per task through the shuffle.
     """
     return (
-        df.dropna(subset=keys)
+        df.dropna(subset=[*keys, vector])
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias(count), Summarizer.mean(array_to_vector(as_doubles(vector))).alias("_mean"))
         .select(*keys, count, vector_to_array("_mean").alias(vector))
@@ -71,12 +71,15 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str = "embedding", coun
 
 
 def cosine_matrix(df: DataFrame, key: str, vector: str = "embedding", tile_rows: int = 1024) -> DataFrame:
-    """Cosine similarity of every two rows of a table of group vectors; 0 for a zero vector.
+    """Cosine similarity of every two rows of a table of days or other groups; 0 for a zero vector.
+
+    The result has the square of the table's rows, so this is for group tables, not for articles.
+    Rows without a vector take no part.
 
     Rows are hashed to tiles of about ``tile_rows`` and each pair of tiles is one matrix product,
     so a task holds two tiles whatever the size of the table.
     """
-    rows = df.select(F.col(key).alias("key"), as_doubles(vector).alias("vector"))
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), as_doubles(vector).alias("vector"))
     n_tiles = rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / tile_rows)).cast("int").alias("n")).scalar()
     tile = F.pmod(F.xxhash64("key"), n_tiles).cast("int")
     every_tile = F.explode(F.sequence(F.lit(0), n_tiles - 1))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from rotativa.operators.features import USER_PROMPT
-from rotativa.plans.driver_tables import ANSWER, STUB_WORDS
+from rotativa.plans.driver_tables import ANSWER, STUB_LETTERS, STUB_WORDS
 
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _WORD = _SPACE.replace("[", "[^", 1)
@@ -487,6 +487,15 @@ SELECT doc_id, diario, CAST(fecha AS VARCHAR) AS fecha, 'otra' AS seccion, url,
 FROM prompts""",
     "q_exploration_export": f"""
 WITH {_NEWS} SELECT CAST(fecha + 1 AS VARCHAR) AS fecha_dia, count(*) AS count_noticias FROM news GROUP BY 1""",
+    "q_exploration_vectors": f"""
+WITH {_NEWS} SELECT CAST(fecha + 1 AS VARCHAR) AS fecha_dia, count(*) AS count_noticias, CAST(256 AS BIGINT) AS n FROM news GROUP BY 1""",
+    "q_embed_encoder": f"""
+WITH {_NEWS}, has AS (
+  SELECT doc_id, [true] || [contains(titulo, l) FOR l IN {list(STUB_LETTERS)}] AS v FROM news
+), parts AS (
+  SELECT doc_id, v, sqrt(len([y FOR y IN v IF y])) AS norm, unnest(range(len(v))) AS i FROM has
+)
+SELECT doc_id, i, round(CASE WHEN v[i + 1] THEN CAST(1 / norm AS FLOAT)::DOUBLE ELSE 0 END, 6) AS x FROM parts""",
     "q_list_text": "SELECT doc_id, source || '|l' || chr(39) || lang || '|a' || chr(160) || 'b' AS lista FROM documents",
     "q_csv_roundtrip": f"""
 WITH {_NEWS} SELECT diario, CAST(fecha AS VARCHAR) AS fecha, titulo, contenido, url AS link FROM news""",

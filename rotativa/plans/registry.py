@@ -424,6 +424,20 @@ def q_embed(spark, sf):
     return exploration.news_embeddings(prepared)
 
 
+def q_embed_encoder(spark, sf):
+    """Unit vectors from an encoder that the caller supplies, here the letters a text has."""
+    titles = data.news(spark, sf).select("doc_id", "titulo")
+    return _rows(vectors.embed(titles, "titulo", data.load_letter_encoder), "embedding", "doc_id")
+
+
+def q_exploration_vectors(spark, sf):
+    """The day vectors that the exploration flow stores, read back: rows, their length and their counts."""
+    prepared = exploration.prepare(data.eda_articles(spark, sf))
+    paths = exploration.export(prepared, shared_dir(spark, "exploration"))
+    stored = spark.read.parquet(paths["daily_news_embeddings"])
+    return stored.select(_iso("fecha_dia").alias("fecha_dia"), "count_noticias", F.size("embedding").cast("long").alias("n"))
+
+
 def q_exploration_export(spark, sf):
     """The exploration tables written out; returns the daily counts read back from CSV."""
     prepared = exploration.prepare(data.eda_articles(spark, sf))
