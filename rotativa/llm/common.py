@@ -83,3 +83,25 @@ def numbered(df: DataFrame, group: list[str], size: list[str], place: str, ties:
     within = Window.partitionBy(*fine, "_slice").orderBy(place, *ties)
     index = F.col("_start") + F.row_number().over(within) - 1
     return joined.withColumn("_index", index).select(*df.columns, "_index")
+
+
+# Bits of the filter below, 64 to a row: 524,288 rows at most, whatever the number of keys.
+FILTER_BITS = 1 << 25
+
+
+def possibly_in(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """Add ``_maybe``: false only where ``key`` is surely not in the one column of ``keys``.
+
+    A bit per hash, broadcast, keeps rows without a partner out of a shuffle. Its size is fixed; with
+    very many keys more rows pass, and the join that must follow gives the same result.
+    """
+
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    bit = "shiftleft(1L, CAST(_at % 64 AS INT))"
+    set_ = keys.select(place(F.col(keys.columns[0])).alias("_at")).groupBy(F.floor(F.col("_at") / 64).alias("_word"))
+    bits = set_.agg(F.expr(f"bit_or({bit})").alias("_bits"))
+    asked = df.withColumn("_at", place(key)).withColumn("_word", F.floor(F.col("_at") / 64))
+    joined = asked.join(F.broadcast(bits), "_word", "left")
+    return joined.withColumn("_maybe", F.expr(f"coalesce((_bits & {bit}) != 0, false)")).drop("_word", "_at", "_bits")

@@ -22,6 +22,7 @@ gives an empty result. Texts of any length are read whole. Other columns play no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotativa.llm.common import WORD, hot_keys, text_or_empty, with_parts
+from rotativa.llm.common import hot_keys, possibly_in, text_or_empty, with_parts
 from rotativa.session import materialize
 
 SHINGLE = 5
@@ -174,7 +175,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataF
 
     content = text_or_empty(text)
     texts = docs.select(F.unhex(F.md5(content.cast("binary"))).alias("node"), content.alias("text"))
-    wanted = texts.join(nodes, "node", "left_semi")
+    likely = possibly_in(texts, F.col("node"), nodes).filter("_maybe").drop("_maybe")
+    wanted = likely.join(nodes, "node", "left_semi")
     return wanted.mapInArrow(make, "node binary, shingles array<bigint>").dropDuplicates(["node"])
 
 
@@ -321,7 +323,7 @@ def joining_pairs(named: DataFrame, sets: DataFrame, similarity: float = SIMILAR
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, node, class_id, first): one row per row of ``docs``; a class is named by its smallest doc_id."""
+    """(doc_id, node, class_id, first, members): one row per row of ``docs``; a class is named by its smallest doc_id."""
     signatures = materialize(signed(docs, text), "signatures")
     buckets = materialize(shared_buckets(signatures), "buckets")
     sets = materialize(shingle_sets(docs, buckets.select("node").distinct(), text), "shingles")
@@ -342,20 +344,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIM
 
 
 def first_ids(named: DataFrame) -> DataFrame:
-    """(doc_id, node, class_id, first) from (doc_id, node, worded, label).
+    """(doc_id, node, class_id, first, members) from (doc_id, node, worded, label).
 
-    ``first`` marks the class's smallest (doc_id, node), nulls last. A class with many rows is split
+    ``first`` marks the class's smallest (doc_id, node), nulls last; ``members`` counts its rows. A class with many rows is split
     to get its name.
     """
     worded = named.filter("worded").select("doc_id", "node", "label")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    names = worded.groupBy("label").agg(F.min(order).alias("chosen"))
+    names = worded.groupBy("label").agg(F.min(order).alias("chosen"), F.count(F.lit(1)).alias("members"))
     hot = hot_keys(worded, ["label"])
     parted = with_parts(worded, ["label"], hot).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
     copied = with_parts(names, ["label"], hot).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     same = order.eqNullSafe(F.col("chosen")).alias("first")
-    classes = parted.join(copied.drop("_parts"), ["label", "_part"]).select("doc_id", "node", F.col("chosen.doc_id").alias("class_id"), same)
-    alone = named.filter("NOT coalesce(worded, false)").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(True).alias("first"))
+    classes = parted.join(copied.drop("_parts"), ["label", "_part"]).select("doc_id", "node", F.col("chosen.doc_id").alias("class_id"), same, "members")
+    alone = named.filter("NOT coalesce(worded, false)").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(True).alias("first"), F.lit(1).cast("bigint").alias("members"))
     return classes.unionAll(alone)
 
 
@@ -363,8 +365,12 @@ def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of each class; texts without words all stay."""
     node = F.md5(text_or_empty(text).cast("binary"))
     key = lambda n: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), n)
-    chosen = near_duplicates(docs, text).filter("first").select(key(F.lower(F.hex("node"))).alias("key")).distinct()
-    words = text_or_empty(text).rlike(WORD)
-    kept = docs.select(F.struct("*").alias("row"), key(node).alias("key"), words.alias("worded")).join(chosen, "key", "left_semi")
-    once = kept.filter("worded").dropDuplicates(["key"])
-    return once.unionAll(kept.filter("NOT worded")).select("row.*")
+    found = near_duplicates(docs, text).filter("members > 1").select(key(F.lower(F.hex("node"))).alias("key"), "first")
+    # Only rows of classes with several meet in a shuffle.
+    several = materialize(found.groupBy("key").agg(F.max("first").alias("first")), "several")
+    rows = possibly_in(docs.select(F.struct("*").alias("row"), key(node).alias("key")), F.col("key"), several.select("key"))
+    likely = rows.filter("_maybe")
+    alone = likely.join(several.select("key"), "key", "left_anti")
+    chosen = likely.join(several.filter("first").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    parts = [rows.filter("NOT _maybe"), alone, chosen]
+    return reduce(DataFrame.unionAll, [p.select("row.*") for p in parts])
