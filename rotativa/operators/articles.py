@@ -27,6 +27,13 @@ def parse_pages(pages: DataFrame, html_col: str = "html", nest_paragraphs: bool
     )
 
 
+def unreadable_pages(pages: DataFrame, html_col: str = "html", nest_paragraphs: bool = False) -> DataFrame:
+    """The quarantine: pages that could not be read, or have no HTML, without it and with ``error``."""
+    reason = F.when(F.col("elements").isNull(), "no page").otherwise(F.col("error"))
+    parsed = parse_pages(pages, html_col, nest_paragraphs).withColumn("error", reason)
+    return parsed.filter(F.col("error").isNotNull()).drop("elements")
+
+
 # Pieces of a page. Each takes the ``elements`` array and yields an element, an array or a text.
 
 

@@ -496,6 +496,8 @@ WITH {_NEWS}, has AS (
   SELECT doc_id, v, sqrt(len([y FOR y IN v IF y])) AS norm, unnest(range(len(v))) AS i FROM has
 )
 SELECT doc_id, i, round(CASE WHEN v[i + 1] THEN CAST(1 / norm AS FLOAT)::DOUBLE ELSE 0 END, 6) AS x FROM parts""",
+    "q_snapshot": f"WITH {_NEWS} SELECT doc_id, diario, pagina FROM news",
+    "q_empty_tables": "SELECT doc_id, source AS diario, CAST(NULL AS VARCHAR) AS nota FROM documents",
     "q_list_text": "SELECT doc_id, source || '|l' || chr(39) || lang || '|a' || chr(160) || 'b' AS lista FROM documents",
     "q_csv_roundtrip": f"""
 WITH {_NEWS} SELECT diario, CAST(fecha AS VARCHAR) AS fecha, titulo, contenido, url AS link FROM news""",

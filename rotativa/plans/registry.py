@@ -584,6 +584,27 @@ def q_csv_roundtrip(spark, sf):
     return readers.read_table(spark, path, RAW_ARTICLE).withColumnRenamed("titulo noticia", "titulo")
 
 
+def q_snapshot(spark, sf):
+    """A stored table copied to a dated folder before it is replaced; the copy is what comes back."""
+    path, backups = shared_dir(spark, "news"), shared_dir(spark, "backups")
+    rows = data.news(spark, sf).select("doc_id", "diario", "pagina")
+    rows.write.parquet(path)
+    kept = sinks.snapshot(spark, path, backups)
+    rows.limit(0).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(kept)
+
+
+def q_empty_tables(spark, sf):
+    """Tables written without rows keep their columns, so they still go together with others."""
+    rows = data.news(spark, sf).select("doc_id", "diario", F.lit(None).cast("string").alias("nota"))
+    out = rows
+    for suffix in ("csv", "parquet"):
+        path = f"{shared_dir(spark, 'empty')}/none.{suffix}"
+        sinks.write_table(rows.limit(0), path)
+        out = out.unionByName(readers.read_table(spark, path, rows.schema))
+    return out
+
+
 def q_page_files(spark, sf):
     """Listing pages kept apart on disk, read back as counts per page."""
     path = shared_dir(spark, "pages")

@@ -133,3 +133,10 @@ def test_month_filter_reaches_the_scan(spark, tmp_path):
 def test_large_top_of_equal_rows(spark, n):
     rows = spark.createDataFrame([("a", i) for i in range(4000)], "k string, v int").repartition(5)
     assert sorted(r["v"] for r in top_n(rows, ["k"], [F.col("v").desc()], n).collect()) == list(range(4000 - n, 4000))
+
+
+def test_unreadable_pages_are_listed(spark):
+    pages = spark.createDataFrame([(1, "<p>fine"), (2, None), (3, "<![bad [<p>"), (4, "")], "n int, html string")
+    found = {r["n"]: r["error"] for r in articles.unreadable_pages(pages).collect()}
+    read = {r["n"] for r in articles.parse_pages(pages).filter("error IS NULL AND elements IS NOT NULL").collect()}
+    assert found[2] == "no page" and found.keys() | read == {1, 2, 3, 4} and not found.keys() & read
