@@ -192,6 +192,47 @@ _FIRST_URL = "QUALIFY row_number() OVER (PARTITION BY url ORDER BY pagina, pos)
 _STORED = "stored AS (SELECT DISTINCT url FROM news WHERE fecha < DATE '2025-02-01')"
 _UNSEEN = f"unseen AS (SELECT * FROM (SELECT * FROM news {_FIRST_URL}) ANTI JOIN stored USING (url))"
 
+def _pca(keys: str, columns: str, squarings: int = 16) -> str:
+    """First two principal components of group means, from the Gram matrix of the centred means.
+
+    Squaring the matrix again and again leaves the projection on its largest eigenvector; the
+    second one is found in the same way after taking the first away.
+    """
+
+    def largest(name: str, gram: str) -> str:
+        steps = [f"{name}_0 AS MATERIALIZED (SELECT a, b, x / (SELECT sum(x) FROM {gram} WHERE a = b) AS x FROM {gram})"]
+        for k in range(squarings):
+            steps.append(
+                f"{name}_{k + 1} AS MATERIALIZED (SELECT p.a, q.b, sum(p.x * q.x) / (SELECT sum(x * x) FROM {name}_{k}) AS x "
+                f"FROM {name}_{k} p JOIN {name}_{k} q ON p.b = q.a GROUP BY 1, 2)"
+            )
+        last = f"{name}_{squarings}"
+        steps.append(
+            f"{name} AS MATERIALIZED (SELECT a, x / sqrt((SELECT max(x) FROM {last} WHERE a = b)) AS u FROM {last} "
+            f"WHERE b = (SELECT a FROM {last} WHERE a = b ORDER BY x DESC, a LIMIT 1))"
+        )
+        steps.append(f"{name}_size AS (SELECT sum(g.x * p.u * q.u) AS s FROM {gram} g JOIN {name} p ON g.a = p.a JOIN {name} q ON g.b = q.a)")
+        steps.append(f"{name}_sign AS (SELECT sign(l) AS s FROM (SELECT sum(u * c.x) AS l FROM {name} JOIN centred c USING (a) GROUP BY i) ORDER BY abs(l) DESC LIMIT 1)")
+        return ", ".join(steps)
+
+    return f"""
+WITH {_VECTORS},
+parts AS (SELECT {keys}, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM vectors),
+means AS (SELECT {keys}, i, avg(x) AS x, dense_rank() OVER (ORDER BY {keys}) AS a FROM parts GROUP BY {keys}, i),
+centred AS MATERIALIZED (SELECT a, i, x - avg(x) OVER (PARTITION BY i) AS x FROM means),
+gram AS MATERIALIZED (SELECT p.a, q.a AS b, sum(p.x * q.x) AS x FROM centred p JOIN centred q USING (i) GROUP BY 1, 2),
+{largest("one", "gram")},
+rest AS MATERIALIZED (
+  SELECT g.a, g.b, g.x - (SELECT s FROM one_size) * p.u * q.u AS x FROM gram g JOIN one p ON g.a = p.a JOIN one q ON g.b = q.a),
+{largest("two", "rest")},
+counts AS (SELECT {keys}, count(*) AS count_noticias FROM vectors GROUP BY {keys}),
+named AS (SELECT DISTINCT {keys}, a FROM means)
+SELECT {columns},
+       round(one.u * sqrt((SELECT s FROM one_size)) * (SELECT s FROM one_sign), 6) AS pc1,
+       round(two.u * sqrt((SELECT s FROM two_size)) * (SELECT s FROM two_sign), 6) AS pc2
+FROM named JOIN counts USING ({keys}) JOIN one USING (a) JOIN two USING (a)"""
+
+
 ORACLE = {
     "q_articles_per_day": f"""
 WITH {_NEWS}
@@ -413,6 +454,8 @@ WITH parts AS (
 SELECT vec_id, i::BIGINT AS i, round(x / norm, 6) AS x FROM parts""",
     "q_daily_vectors": _mean_rows("fecha_dia"),
     "q_day_section_vectors": _mean_rows("fecha_dia, seccion"),
+    "q_day_pca": _pca("fecha_dia", "fecha_dia, count_noticias, least(greatest(count_noticias, 10), 120) AS marker_size"),
+    "q_section_pca": _pca("fecha_dia, seccion", "fecha_dia, seccion, count_noticias"),
     "q_day_cosine": f"""
 WITH {_VECTORS},
 parts AS (SELECT fecha_dia, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM vectors),

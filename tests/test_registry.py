@@ -47,4 +47,4 @@ def test_query(spark, duck, name):
 
 def test_every_reference_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"q_day_pca", "q_section_pca", "q_embed"}
+    assert set(QUERIES) - set(ORACLE) == {"q_embed"}
