@@ -9,10 +9,9 @@ weight, so a document throws about ``k (ln k + 2)`` darts whatever its length.
 
 Texts that agree in a band are candidates. Within a bucket, members first meet one pivot, and
 connected texts become a class. Where a bucket still holds several classes, its texts meet in blocks
-of a bounded number; a block compares signatures, then sets, and returns only pairs that join two of
-its classes, so no group is ever written out as pairs. Every pair returned is checked exactly on the
-shingle sets, classes are the connected components of the pairs found, and this is repeated until a
-round finds no pair.
+of a bounded number; a block compares signatures, then sets, and returns only similar pairs that join
+two of its classes, so no group is ever written out as pairs. Every link is an exact comparison of
+two shingle sets, and the classes are the connected components of all links.
 
 Texts without words (null or empty too) are alike to none. Texts under five words are one shingle.
 Rows of one text are one node from the start, so repeated rows join the same class. An empty table
@@ -222,7 +221,7 @@ def pivot_pairs(named: DataFrame) -> DataFrame:
 
 
 def prints(sets: DataFrame, nodes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, keys, bytes, small): band keys, a byte per coordinate, and the set as 32-bit hashes."""
+    """(node, keys, bytes, elements): band keys, a byte per coordinate, and the sorted set."""
 
     def make(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -230,16 +229,15 @@ def prints(sets: DataFrame, nodes: DataFrame, bands: int = BANDS, rows: int = RO
                 part = batch.slice(at, 200)
                 some = [np.asarray(s.values).view(np.uint64) for s in part.column("shingles")]
                 signatures = dart_signatures([(s, np.ones(len(s))) for s in some], bands * rows)
-                small = [np.unique(s.astype(np.uint32)).tobytes() for s in some]
                 columns = [
                     part.column("node"),
                     pa.array(list(band_keys(signatures, bands, rows)), pa.list_(pa.int64())),
                     pa.array([s.tobytes() for s in mix(signatures).astype(np.uint8)], pa.binary()),
-                    pa.array(small, pa.binary()),
+                    pa.array([np.sort(s).tobytes() for s in some], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "keys", "bytes", "small"])
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "keys", "bytes", "elements"])
 
-    return sets.join(nodes, "node", "left_semi").mapInArrow(make, "node binary, keys array<bigint>, bytes binary, small binary")
+    return sets.join(nodes, "node", "left_semi").mapInArrow(make, "node binary, keys array<bigint>, bytes binary, elements binary")
 
 
 def in_blocks(named: DataFrame) -> DataFrame:
@@ -266,14 +264,14 @@ def likely_pairs(frame: pd.DataFrame, similarity: float) -> Iterator[tuple[np.nd
     across = frame["i"].iloc[0] != frame["j"].iloc[0]
     for at in range(0, len(frame), 32):
         rows = slice(at, at + 32)
-        agree = (prints_[rows, None, :] == prints_[None, :, :]).mean(axis=2)
-        first = (keys[rows, None, : band + 1] == keys[None, :, : band + 1]).argmax(axis=2) == band
-        apart = (label[rows, None] != label) & (np.arange(at, at + len(agree))[:, None] < np.arange(len(frame)))
+        apart = (label[rows, None] != label) & (np.arange(len(frame))[rows, None] < np.arange(len(frame)))
         if across:
             apart &= block[rows, None] != block
-        a, b = np.nonzero((agree >= least) & first & apart)
-        if len(a):
-            yield a + at, b, agree[a, b]
+        a, b = np.nonzero(apart & ~(keys[rows, None, :band] == keys[None, :, :band]).any(axis=2))
+        agree = (prints_[a + at] == prints_[b]).sum(axis=1, dtype=np.int16) / prints_.shape[1]
+        likely = agree >= least
+        if likely.any():
+            yield a[likely] + at, b[likely], agree[likely]
 
 
 def active(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
@@ -285,12 +283,12 @@ def active(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
 
 
 def joining(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Pairs of a block that connect its classes: a spanning forest, not all pairs."""
+    """Similar pairs of a block that connect its classes: a spanning forest, not all pairs."""
     found = list(likely_pairs(frame, similarity))
     if not found:
         return pd.DataFrame({"a": [], "b": []})
     a, b, agree = (np.concatenate(c) for c in zip(*found, strict=True))
-    sets = [np.frombuffer(x, np.uint32) for x in frame["small"]]
+    sets = [np.frombuffer(x, np.uint64) for x in frame["elements"]]
     label, node = pd.factorize(frame["label"])[0].tolist(), frame["node"].tolist()
     parent = list(range(max(label) + 1))
 
@@ -305,8 +303,7 @@ def joining(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
         if x != y:
             one, two = sets[a[n]], sets[b[n]]
             both = len(np.intersect1d(one, two, assume_unique=True))
-            # 32-bit hashes may take a few different shingles for one; the full check follows.
-            if both >= (similarity - 1e-3) * (len(one) + len(two) - both):
+            if both / (len(one) + len(two) - both) >= similarity:
                 parent[x] = y
                 pairs.append(sorted((node[a[n]], node[b[n]])))
     return pd.DataFrame(pairs, columns=["a", "b"])
@@ -315,7 +312,7 @@ def joining(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
 def joining_pairs(named: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs that connect different classes within the buckets that still hold several."""
     looks = materialize(prints(sets, named.select("node").distinct()), "prints")
-    met = in_blocks(named).join(looks.drop("small"), "node")
+    met = in_blocks(named).join(looks.drop("elements"), "node")
     entry = "key bigint, i int, j int, block int, node binary, label binary"
     chosen = met.groupBy("key", "i", "j").applyInPandas(lambda f: active(f, similarity), entry)
     chosen = materialize(chosen, "active").join(looks, "node")
@@ -330,14 +327,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIM
     each = buckets.withColumn("label", F.col("node"))
     links = materialize(check_pairs(materialize(pivot_pairs(each), "pairs"), sets, similarity), "found")
     labels = components(links)
-    while True:
-        named = materialize(with_labels(buckets, labels), "open")
-        pairs = materialize(joining_pairs(named, sets, similarity), "pairs")
-        found = materialize(check_pairs(pairs, sets, similarity), "found")
-        if found.isEmpty():
-            break
-        links = links.unionAll(found)
-        labels = components(links)
+    named = materialize(with_labels(buckets, labels), "open")
+    labels = components(links.unionAll(materialize(joining_pairs(named, sets, similarity), "joining")))
     members = signatures.select("doc_id", "node", (F.size("keys") > 0).alias("worded"))
     named = members.join(labels, "node", "left").select("doc_id", "node", "worded", F.coalesce("label", "node").alias("label"))
     return first_ids(named)
