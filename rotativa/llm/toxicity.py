@@ -17,6 +17,7 @@ Labels that differ for one id count as toxic; other columns play no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -40,12 +41,12 @@ EDGES = " .,;:!?\"'()[]{}|%*#$&<>«»¡¿"
 
 
 def pieces(word: str) -> list[int]:
-    """Buckets of a word's character pieces."""
+    """Hashes of a word's character pieces; a piece's bucket is its remainder by BUCKETS."""
     w = word.encode()
     found = [crc32(w[:n], 1) for n in range(2, min(len(w), 7) + 1)]
     found += [crc32(w[-n:], 2) for n in range(2, min(len(w), 4) + 1)]
     found += [crc32(w[i : i + 4], 3) for i in range(1, len(w) - 3)]
-    return [f % BUCKETS for f in found] or [crc32(w, 4) % BUCKETS]
+    return found or [crc32(w, 4)]
 
 
 def word_bucket(word: str) -> int:
@@ -92,7 +93,7 @@ class Network:
         """Input vectors of words."""
         parts = [pieces(w) for w in words]
         counts = np.array([len(x) for x in parts], np.int64)
-        flat = np.fromiter((i for x in parts for i in x), np.int64, counts.sum())
+        flat = np.fromiter(chain.from_iterable(parts), np.int64, counts.sum()) % BUCKETS
         sums = np.add.reduceat(self.p["char"][flat], np.cumsum(counts) - counts) if len(words) else np.zeros((0, WIDTH), np.float32)
         own = self.p["word"][np.fromiter(map(word_bucket, words), np.int64, len(words))]
         return np.hstack([own, sums / np.maximum(counts, 1)[:, None]]).astype(np.float32)
@@ -184,7 +185,7 @@ def train(texts: list[list[list[str]]], labels: list[int], seed: int = 7) -> Net
     label = np.array(labels, np.float32)[owner]
     parts = [pieces(w) for w in number]
     counts = np.array([len(x) for x in parts])
-    flat = np.fromiter((i for x in parts for i in x), np.int64, counts.sum())
+    flat = np.fromiter(chain.from_iterable(parts), np.int64, counts.sum()) % BUCKETS
     starts, own = np.cumsum(counts) - counts, np.fromiter(map(word_bucket, number), np.int64, len(number))
     # A bucket that few texts touch would only learn those texts by heart.
     seen = np.unique(np.stack([np.repeat(owner, real.sum(axis=1)), ids[real]]), axis=1)
@@ -238,20 +239,23 @@ class Scorer:
         self.net = net
         for other in [k for k in worker_state("toxicity") if k != name]:
             del worker_state("toxicity")[other]
-        self.kept = worker_state("toxicity").setdefault(name, {"row": {}, "x": np.zeros((0, 6 * HIDDEN), np.float32)})
+        self.kept = worker_state("toxicity").setdefault(name, {"row": {}, "bare": {}, "x": np.zeros((0, 6 * HIDDEN), np.float32)})
 
     def learn(self, new: list[bytes]) -> None:
         if len(self.kept["row"]) + len(new) > CACHED_WORDS:
-            self.kept |= {"row": {}, "x": np.zeros((0, 6 * HIDDEN), np.float32)}
-        vectors, p = self.net.vectors([bare(w) for w in new]), self.net.p
+            self.kept |= {"row": {}, "bare": {}, "x": np.zeros((0, 6 * HIDDEN), np.float32)}
+        # Words that differ in the punctuation around them share a row.
+        bares, rows = [bare(w) for w in new], self.kept["bare"]
+        fresh, used = [w for w in dict.fromkeys(bares) if w not in rows], len(rows)
+        vectors, p = self.net.vectors(fresh), self.net.p
         products = np.hstack([vectors @ p["Wf"] + p["cf"], vectors @ p["Wb"] + p["cb"]]).astype(np.float32)
-        row, used = self.kept["row"], len(self.kept["row"])
-        if used + len(new) > len(self.kept["x"]):
-            grown = np.zeros((max(2 * len(self.kept["x"]), used + len(new)), 6 * HIDDEN), np.float32)
+        if used + len(fresh) > len(self.kept["x"]):
+            grown = np.zeros((max(2 * len(self.kept["x"]), used + len(fresh)), 6 * HIDDEN), np.float32)
             grown[:used] = self.kept["x"][:used]
             self.kept["x"] = grown
-        self.kept["x"][used : used + len(new)] = products
-        row.update(zip(new, range(used, used + len(new)), strict=True))
+        self.kept["x"][used : used + len(fresh)] = products
+        rows.update(zip(fresh, range(used, used + len(fresh)), strict=True))
+        self.kept["row"].update(zip(new, map(rows.__getitem__, bares), strict=True))
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """-inf for a text without words."""
@@ -261,14 +265,14 @@ class Scorer:
             self.learn(sorted(new))
             self.learn(sorted(set().union(*words).difference(self.kept["row"])))
         row = self.kept["row"]
-        flat = np.fromiter((row[w] for ws in words for w in ws), np.int64)
+        flat = np.fromiter(map(row.__getitem__, chain.from_iterable(words)), np.int64)
         lengths = np.array([len(ws) for ws in words])
         starts = [window_starts(n) for n in lengths]
         owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
         result = np.full(len(texts), -np.inf)
         if not len(owner):
             return result
-        inside = np.fromiter((i for s in starts for i in s), np.int64, len(owner))
+        inside = np.fromiter(chain.from_iterable(starts), np.int64, len(owner))
         size = np.minimum(lengths[owner] - inside, WINDOW)
         real = np.arange(WINDOW) < size[:, None]
         at = (np.cumsum(lengths) - lengths)[owner] + inside
@@ -359,7 +363,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "tex
     if len({r["toxic"] for r in rows}) < 2:
         return net, 1.0, 0.0
     label, logits = np.array([r["toxic"] for r in rows]), np.array([r["logit"] for r in rows])
-    shares = labels.filter("toxic IN (0, 1)").agg(F.avg("toxic")).first()[0]
+    shares = labels.filter("toxic IN (0, 1)").filter(learn_from).agg(F.avg("toxic")).first()[0]
     weights = np.where(label == 1, shares / label.mean(), (1 - shares) / (1 - label.mean()))
     return net, *calibrate(logits, label, weights)
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rotativa.llm import toxicity
+from rotativa.llm.common import id_remainder
 
 
 def test_gradients_match_differences():
@@ -63,6 +64,15 @@ def test_held_out_accuracy(labelled):
     assert np.mean([h["ok"] for h in held if not h["toxic"]]) > 0.97
 
 
+def test_held_out_labels_are_not_read(labelled):
+    docs, labels = labelled.drop("toxic").limit(150), labelled.select("doc_id", "toxic").limit(150)
+    turned = labels.withColumn("toxic", F.when(id_remainder("doc_id", 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    first, second = (sorted((r["doc_id"], r["score"]) for r in toxicity.score_toxicity(docs, x).collect()) for x in (labels, turned))
+    # Sums in another order may differ in the last digits.
+    assert [d for d, _ in first] == [d for d, _ in second]
+    assert [s for _, s in first] == pytest.approx([s for _, s in second], abs=1e-4)
+
+
 def test_scores_do_not_depend_on_the_batch(labelled):
     texts = [r["text"] for r in labelled.limit(40).collect()]
     net = toxicity.train([[t.split()[:16]] for t in texts], [i % 2 for i in range(40)])
