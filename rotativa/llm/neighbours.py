@@ -1,10 +1,15 @@
 """Approximate nearest neighbours by inner product, with an inverted multi-index.
 
 Each half of a vector is quantised on its own, so K centroids per half make K x K cells. A query
-ranks the centroids of either half and walks the pairs in the order of their summed distance with a
+ranks the centroids of either half and walks the pairs in the order of their summed reach with a
 heap, until the cells it has passed hold a given share of the vectors. What lies in those cells is
 ranked by the exact inner product of the original vectors.
 
+The reach of a centroid is its inner product with the query plus what the vectors around it can add:
+the length of its longest residual, over all vectors, times that of the query, at the usual cosine of
+two directions, one over the root of the dimension. So cells of long vectors, which win by inner
+product, come early however far they lie from the query.
+
 The codebooks are fitted on a bounded sample (``FIT_ROWS``); every vector is indexed. Cells are
 packed into blocks of at most ``BLOCK_ROWS`` vectors, a crowded cell into several, and queries into
 groups of ``QUERY_ROWS``; a task ranks one group of queries in one block and returns no more than k
@@ -64,8 +69,16 @@ def distances(vectors: np.ndarray, books: list[np.ndarray]) -> list[np.ndarray]:
     return [(v**2).sum(axis=1)[:, None] - 2 * v @ b.T + (b**2).sum(axis=1) for v, b in zip(halves, books, strict=True)]
 
 
+def shortfalls(vectors: np.ndarray, books: list[np.ndarray], radii: list[np.ndarray]) -> list[np.ndarray]:
+    """The reach of each half's centroids with the sign changed, so that the best come first."""
+    half = books[0].shape[1]
+    halves = vectors[:, :half], vectors[:, half:]
+    usual = [np.sqrt((v**2).sum(axis=1) / max(v.shape[1], 1)) for v in halves]
+    return [-(v @ b.T + u[:, None] * r) for v, b, r, u in zip(halves, books, radii, usual, strict=True)]
+
+
 def nearest_cells(first: np.ndarray, second: np.ndarray, rows_in: np.ndarray, enough: float) -> list[int]:
-    """Cells in the order of summed distance until they hold ``enough`` rows."""
+    """Cells in the order of the sum of ``first`` and ``second`` until they hold ``enough`` rows."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     x, y, width = first[a].tolist(), second[b].tolist(), len(b)
     counts = rows_in.reshape(len(a), width)[np.ix_(a, b)].tolist()
@@ -149,29 +162,38 @@ def search(
     def encode(batches: Iterator[pd.DataFrame]):
         for batch in batches:
             if len(batch):
-                a, b = (d.argmin(axis=1) for d in distances(np.stack(batch["vector"].to_numpy()), shared.value))
-                yield batch.assign(cell=a * wide + b)
+                far = distances(np.stack(batch["vector"].to_numpy()), shared.value)
+                (a, b), (ra, rb) = ([d.argmin(axis=1) for d in far], [np.sqrt(np.maximum(d.min(axis=1), 0)) for d in far])
+                yield batch.assign(cell=a * wide + b, first_off=ra, second_off=rb)
 
-    entries = vectors.mapInPandas(encode, "vec_id bigint, vector array<double>, cell bigint")
+    encoded = vectors.mapInPandas(encode, "vec_id bigint, vector array<double>, cell bigint, first_off double, second_off double")
+    entries = encoded.select("vec_id", "vector", "cell")
     # At most one row per cell. Equal vectors count once, so that copies do not use up a query's share.
-    sizes = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64("vector")).alias("different")).collect()
+    sizes = encoded.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64("vector")).alias("different"),
+        F.max("first_off").alias("first_off"), F.max("second_off").alias("second_off"),
+    ).collect()
     first, parts = pack_cells({r["cell"]: r["n"] for r in sizes}, BLOCK_ROWS)
     different = np.zeros(len(books[0]) * wide, np.int64)
     for r in sizes:
         different[r["cell"]] = r["different"]
+    radii = [np.zeros(len(b)) for b in books]
+    for r in sizes:
+        for radius, at, off in zip(radii, divmod(r["cell"], wide), (r["first_off"], r["second_off"]), strict=True):
+            radius[at] = max(radius[at], off)
     # All of a table that hardly fills the list.
     enough = max(probe_share * different.sum(), 4 * k)
-    plan = spark.sparkContext.broadcast((first, parts, different))
+    plan = spark.sparkContext.broadcast((first, parts, different, radii))
     asked = vectors.filter(is_query)
     groups = int(-(-asked.count() // QUERY_ROWS)) or 1
 
     def probe(batches: Iterator[pd.DataFrame]):
-        starts, counts, rows_in = plan.value
+        starts, counts, rows_in, around = plan.value
         for batch in batches:
             if not len(batch):
                 continue
             made = []
-            for vec_id, vec, a, b in zip(batch["vec_id"], batch["vector"], *distances(np.stack(batch["vector"].to_numpy()), shared.value), strict=True):
+            for vec_id, vec, a, b in zip(batch["vec_id"], batch["vector"], *shortfalls(np.stack(batch["vector"].to_numpy()), shared.value, around), strict=True):
                 by_block: dict[int, list[int]] = {}
                 for cell in nearest_cells(a, b, rows_in, enough):
                     for block in range(starts[cell], starts[cell] + counts[cell]):
@@ -183,7 +205,7 @@ def search(
     probes = asked.mapInPandas(probe, "vec_id bigint, vector array<double>, block int, cells array<bigint>").select("*", group)
 
     def place(batches: Iterator[pd.DataFrame]):
-        starts, counts, _ = plan.value
+        starts, counts, _, _ = plan.value
         for batch in batches:
             part = batch["vec_id"] * 7919 % batch["cell"].map(counts)
             yield batch.assign(block=batch["cell"].map(starts) + part)

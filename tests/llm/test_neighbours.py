@@ -1,6 +1,7 @@
 import heapq
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rotativa.llm import neighbours
@@ -39,6 +40,15 @@ def test_recall(spark):
     assert {q: [v for _, v, _ in rows] for q, rows in exact.items()} == want
 
 
+@pytest.mark.parametrize("sigma", [0.25, 0.5, 1.0, 2.0])
+def test_recall_with_unequal_lengths(spark, sigma):
+    r = np.random.default_rng(5)
+    lengths = np.exp(sigma * r.standard_normal(2500))
+    vectors = [(i, n * v / np.linalg.norm(v)) for i, (v, n) in enumerate(zip(r.standard_normal((2500, 32)), lengths, strict=True))]
+    got, want = found(frame(spark, vectors)), brute(vectors, 20)
+    assert np.mean([len({v for _, v, _ in got[q]} & set(want[q])) / 20 for q in want]) >= 0.9
+
+
 def test_cells_come_in_the_order_of_summed_distance():
     r = np.random.default_rng(2)
     a, b, rows = r.random(6), r.random(6), r.integers(0, 3, 36)
