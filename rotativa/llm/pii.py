@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rotativa.llm.common import text_or_empty
+from rotativa.llm.common import possibly_in, text_or_empty
 from rotativa.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -40,9 +40,6 @@ SPAN = "array<struct<rank:int,start:int,stop:int,value:string>>"
 
 MIN_DIGITS = 5
 MIN_SUPPORT = 5
-# A pattern must have at least this share of the seeds, so there are at most as many patterns per
-# kind and length as its inverse, at any size of the corpus.
-MIN_SHARE = 1e-4
 ACCEPT_PATTERN = 0.8
 ACCEPT_INSTANCE = 0.9
 ROUNDS = 3
@@ -151,25 +148,23 @@ def contexts(seen: DataFrame) -> DataFrame:
 def candidate_patterns(edges: DataFrame) -> DataFrame:
     """(rank, pattern) with enough different seeds behind it."""
     seeds = edges.filter("rank IS NOT NULL")
-    total = seeds.agg(F.count(F.lit(1))).scalar()
     support = seeds.groupBy("rank", "pattern").agg(F.count_distinct("value").alias("support"))
-    return support.filter(F.col("support") >= F.greatest(F.lit(float(MIN_SUPPORT)), total * MIN_SHARE)).select("rank", "pattern")
+    return support.filter(F.col("support") >= MIN_SUPPORT).select("rank", "pattern")
 
 
 def pattern_frequency(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
     """How often the words of each pattern occur in the corpus at all.
 
-    Only the listed patterns are counted; by MIN_SHARE their number is bounded at any corpus size.
+    Only the listed patterns are counted. Their number grows with the corpus, so a filter of fixed
+    size drops most other words before the shuffle, and the counts meet the patterns in a join.
     """
     words = F.filter(F.split(F.lower(text_or_empty(text)), rf"[{BLANK}]+"), lambda w: w != "")
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    fewer = F.greatest(F.size("_words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("_words", 1, fewer), F.slice("_words", 2, fewer), lambda a, b: F.concat_ws(" ", a, b))
+    seen = docs.select(words.alias("_words")).select(F.explode(F.concat("_words", pairs)).alias("pattern"))
     wanted = patterns.select("pattern").distinct()
-    split = docs.select(words.alias("_words"))
-    single = wanted.filter(~F.col("pattern").contains(" "))
-    double = wanted.filter(F.col("pattern").contains(" "))
-    seen = split.select(F.explode("_words").alias("pattern")).join(F.broadcast(single), "pattern")
-    paired = docs.select(F.explode(pairs).alias("pattern")).join(F.broadcast(double), "pattern")
-    return seen.unionAll(paired).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    counted = possibly_in(seen, F.col("pattern"), wanted).filter("_maybe").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(wanted, "pattern")
 
 
 def score_graph(edges: DataFrame, patterns: DataFrame, frequency: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -184,7 +179,7 @@ def score_graph(edges: DataFrame, patterns: DataFrame, frequency: DataFrame, rou
         edges.drop("rank")
         .groupBy("pattern", "value")
         .agg(F.count(F.lit(1)).alias("times"))
-        .join(F.broadcast(wanted), "pattern")
+        .join(wanted, "pattern")
         .join(seeds, ["rank", "value"], "left")
     )
     graph = materialize(graph, "pii-graph")

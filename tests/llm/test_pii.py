@@ -83,6 +83,20 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert {pii.KINDS[s["rank"]] for i in range(60, 65) for s in found[i]["spans"]} == {"phone"}
 
 
+def test_rare_contexts_count_in_any_corpus(spark):
+    edges = [(0, f"word{i % 700}", f"{i}@b.c") for i in range(700 * 90)] + [(3, "call", f"+1 555 000 00{i}") for i in range(5)]
+    frame = spark.createDataFrame(edges + [(3, "rare", f"+1 555 000 00{i}") for i in range(4)], "rank int, pattern string, value string")
+    found = {tuple(r) for r in pii.candidate_patterns(frame).collect()}
+    assert (3, "call") in found and (3, "rare") not in found and len(found) == 701
+
+
+def test_pattern_frequency(spark):
+    docs = spark.createDataFrame([("a b a\tb",), ("b",), (None,), (" A  c ",)], "text string")
+    wanted = spark.createDataFrame([("a",), ("b",), ("a b",), ("b a",), ("b b",), ("c",)], "pattern string")
+    counts = {r["pattern"]: r["n"] for r in pii.pattern_frequency(docs, wanted).collect()}
+    assert counts == {"a": 3, "b": 3, "a b": 2, "b a": 1, "c": 1}
+
+
 def test_redaction(spark):
     texts = ["mail a@b.cd or 😀 +1 234 567 8901.", "nothing", None, "x 10.0.0.1@b.c y"]
     out = pii.redact(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))).collect()
