@@ -2,10 +2,11 @@
 
 Four kinds have a form of their own: email, ip, card (Luhn) and phone. Their values are the seeds.
 The one or two words before a seed are lexical patterns; other identifier-like tokens behind the
-same words are instances. Patterns and instances form a graph that is scored in rounds: a pattern is
-as reliable as its instances, weighed by how often its words precede an identifier at all; an
-instance is as reliable as its accepted patterns together. What ends above the threshold is added to
-the spans under the kind of its best pattern.
+same words are instances. Patterns and instances form a graph that is scored in rounds. What speaks
+for a pattern are the known values of its kind behind it, what speaks against it those of other kinds
+and the times its words precede no identifier; values not known yet do neither. An instance is as
+reliable as its accepted patterns together. Above the threshold it is known from the next round on,
+under the kind of its best pattern, and can make new patterns. The rounds end when one finds nothing.
 
 Everything here is a DataFrame or SQL function. Null texts count as empty, empty texts have no spans,
 repeated rows get equal results, an empty table an empty result, and texts are read whole. Columns
@@ -42,7 +43,6 @@ MIN_DIGITS = 5
 MIN_SUPPORT = 5
 ACCEPT_PATTERN = 0.8
 ACCEPT_INSTANCE = 0.9
-ROUNDS = 3
 CONTEXT_CHARS = 80
 
 
@@ -145,11 +145,22 @@ def contexts(seen: DataFrame) -> DataFrame:
     return seen.filter("left != ''").withColumn("pattern", F.explode(F.array_distinct(F.array(last, F.array_join(words, " ")))))
 
 
+def possible_patterns(edges: DataFrame) -> DataFrame:
+    """(pattern, times) with enough different values behind it, known or not."""
+    links = edges.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("times"))
+    support = links.groupBy("pattern").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("support"))
+    return support.filter(F.col("support") >= MIN_SUPPORT).select("pattern", "times")
+
+
 def candidate_patterns(edges: DataFrame) -> DataFrame:
-    """(rank, pattern) with enough different seeds behind it."""
-    seeds = edges.filter("rank IS NOT NULL")
-    support = seeds.groupBy("rank", "pattern").agg(F.count_distinct("value").alias("support"))
-    return support.filter(F.col("support") >= MIN_SUPPORT).select("rank", "pattern")
+    """(pattern, rank, positive, known) with enough different known values of the kind ``rank`` behind it.
+
+    ``edges`` has (pattern, value, rank, score) once per pattern and value; ``positive`` adds up the
+    scores of that kind, ``known`` those of all kinds.
+    """
+    support = edges.groupBy("pattern", "rank").agg(F.count(F.lit(1)).alias("support"), F.sum("score").alias("positive"))
+    every = support.groupBy("pattern").agg(F.sum("positive").alias("known"))
+    return support.filter(F.col("support") >= MIN_SUPPORT).drop("support").join(every, "pattern")
 
 
 def pattern_frequency(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
@@ -167,44 +178,42 @@ def pattern_frequency(docs: DataFrame, patterns: DataFrame, text: str = "text")
     return counted.join(wanted, "pattern")
 
 
-def score_graph(edges: DataFrame, patterns: DataFrame, frequency: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(value, rank, score) of unseen values, after ``rounds`` of scoring both sides of the graph.
+def score_graph(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(value, rank, score) of the values that become known, in as many rounds as find some.
 
-    ``edges`` has (rank, pattern, value); rank is null where the value is not a seed.
+    ``edges`` has (rank, pattern, value); rank is null where the value is not a seed. ``patterns`` has
+    (pattern, share), the share of its occurrences that precede an identifier. What is known stays
+    known, so the rounds come to an end.
     """
-    wanted = patterns.join(frequency, "pattern")
-    seeds = edges.filter("rank IS NOT NULL").groupBy("rank", "value").agg(F.lit(1.0).alias("known"))
-    # One edge per pattern, kind and value, with the times it occurs.
-    graph = (
-        edges.drop("rank")
-        .groupBy("pattern", "value")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .join(wanted, "pattern")
-        .join(seeds, ["rank", "value"], "left")
-    )
-    graph = materialize(graph, "pii-graph")
-    unseen = graph.filter("known IS NULL")
-    scores = unseen.select("rank", "value").distinct().withColumn("score", F.lit(0.0))
-    for _ in range(rounds):
-        scored = graph.join(scores, ["rank", "value"], "left")
-        trust = F.sum(F.coalesce("known", "score", F.lit(0.0)))
-        reliability = trust / (F.count(F.lit(1)) + 1) * F.least(F.sum("times") / F.first("n"), F.lit(1.0))
-        accepted = scored.groupBy("rank", "pattern").agg(reliability.alias("reliability")).filter(F.col("reliability") >= ACCEPT_PATTERN)
-        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("reliability"), F.lit(1e-12)))))
-        scores = unseen.join(accepted, ["rank", "pattern"]).groupBy("rank", "value").agg((1 - doubt).alias("score"))
-        scores = materialize(scores, "pii-scores")
+    links = possibly_in(edges.select("pattern", "value"), F.col("pattern"), patterns.select("pattern")).filter("_maybe")
+    graph = materialize(links.select("pattern", "value").distinct().join(patterns, "pattern"), "pii-graph")
+    seeds = edges.filter("rank IS NOT NULL").select("value", "rank").distinct()
+    known = seeds.join(graph.select("value").distinct(), "value", "left_semi").select("value", "rank", F.lit(1.0).alias("score"), F.lit(True).alias("seed"))
+    known = materialize(known, "pii-known")
     best = Window.partitionBy("value").orderBy(F.col("score").desc(), "rank")
-    kept = scores.filter(F.col("score") >= ACCEPT_INSTANCE).withColumn("_nth", F.row_number().over(best))
-    return kept.filter("_nth = 1").drop("_nth")
+    while True:
+        reliability = F.col("positive") / (F.col("known") + 1) * F.col("share")
+        scored = candidate_patterns(graph.join(known, "value")).join(patterns, "pattern").withColumn("reliability", reliability)
+        accepted = scored.filter(F.col("reliability") >= ACCEPT_PATTERN).select("pattern", "rank", "reliability")
+        unseen = graph.select("pattern", "value").join(known, "value", "left_anti")
+        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("reliability"), F.lit(1e-12)))))
+        scores = unseen.join(accepted, "pattern").groupBy("value", "rank").agg((1 - doubt).alias("score"))
+        new = scores.filter(F.col("score") >= ACCEPT_INSTANCE).withColumn("_nth", F.row_number().over(best)).filter("_nth = 1").drop("_nth")
+        new = materialize(new.withColumn("seed", F.lit(False)), "pii-new")
+        if new.isEmpty():
+            return known.filter("NOT seed").drop("seed")
+        known = materialize(known.unionByName(new), "pii-known")
 
 
 def discovered(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """(_key, added): spans of unseen identifiers, per different document."""
     seen = materialize(occurrences(found), "pii-seen")
     edges = contexts(seen)
-    patterns = materialize(candidate_patterns(edges), "pii-patterns")
-    frequency = materialize(pattern_frequency(docs, patterns, text), "pii-frequency")
-    values = score_graph(edges.select("rank", "pattern", "value"), patterns, frequency)
+    possible = materialize(possible_patterns(edges), "pii-patterns")
+    share = F.least(F.col("times") / F.col("n"), F.lit(1.0))
+    # No pattern is more reliable than its share.
+    patterns = possible.join(pattern_frequency(docs, possible, text), "pattern").select("pattern", share.alias("share")).filter(F.col("share") >= ACCEPT_PATTERN)
+    values = score_graph(edges.select("rank", "pattern", "value"), materialize(patterns, "pii-shares"))
     hits = seen.filter("rank IS NULL").select("_key", "start", "stop", "value").distinct().join(values, "value")
     span = F.struct("rank", "start", "stop", "value").alias("span")
     return hits.groupBy("_key").agg(F.collect_list(span).cast(SPAN).alias("added"))

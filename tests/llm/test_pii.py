@@ -83,10 +83,26 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert {pii.KINDS[s["rank"]] for i in range(60, 65) for s in found[i]["spans"]} == {"phone"}
 
 
+def test_mostly_unseen_contexts_and_long_chains(spark):
+    ids = lambda k: [f"{k}{n}-{70000 + n}" for n in range(8)]
+    texts = [f"please call phone: +1 (555) {200 + i}-{1000 + i} today" for i in range(9)]
+    texts += [f"please call phone: 0800-{77000 + i} today" for i in range(120)]
+    # Each form stands behind the words of the one before it and behind words of its own.
+    before = ["call phone:"] + [f"chain{k} link{k}:" for k in range(5)]
+    texts += [f"{before[k]} {v} here" for k in range(5) for v in ids(k)]
+    texts += [f"{before[k + 1]} {v} here" for k in range(5) for v in ids(k)]
+    # A context of two kinds is evidence for neither.
+    texts += [f"my contact +1 (555) {300 + i}-{2000 + i} x" for i in range(6)] + [f"my contact a{i}@b.cd x" for i in range(6)]
+    texts += ["my contact 555-66677 x", "order 1234567 of the day"]
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["stop"]] for s in r["spans"]] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert all(len(found[i]) == 1 for i in range(len(texts) - 2))
+    assert found[len(texts) - 2] == found[len(texts) - 1] == []
+
+
 def test_rare_contexts_count_in_any_corpus(spark):
-    edges = [(0, f"word{i % 700}", f"{i}@b.c") for i in range(700 * 90)] + [(3, "call", f"+1 555 000 00{i}") for i in range(5)]
-    frame = spark.createDataFrame(edges + [(3, "rare", f"+1 555 000 00{i}") for i in range(4)], "rank int, pattern string, value string")
-    found = {tuple(r) for r in pii.candidate_patterns(frame).collect()}
+    edges = [(0, f"word{i % 700}", f"{i}@b.c", 1.0) for i in range(700 * 90)] + [(3, "call", f"+1 555 000 00{i}", 1.0) for i in range(5)]
+    frame = spark.createDataFrame(edges + [(3, "rare", f"+1 555 000 00{i}", 1.0) for i in range(4)], "rank int, pattern string, value string, score double")
+    found = {(r["rank"], r["pattern"]) for r in pii.candidate_patterns(frame).collect()}
     assert (3, "call") in found and (3, "rare") not in found and len(found) == 701
 
 
