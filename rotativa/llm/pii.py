@@ -37,13 +37,15 @@ BLANK = r"\x20\x09-\x0D"
 # Tokens with a digit or an @ inside, from blank to blank.
 TOKEN = rf"(?<![^{BLANK}])[^0-9@{BLANK}]*+[0-9@][^{BLANK}]*+"
 EDGES = r"""^[("'\[<]+|[.,;:!?)\]>"']+$"""
+# Two or more neighbouring numbers, which may be one identifier written with blanks.
+NUMBER = rf"""[0-9][0-9()./+-]*+(?![^{BLANK}.,;:!?)\]>"'])"""
+RUN = rf"""(?<![^{BLANK}])[("'\[<]*+\+?{NUMBER}(?:[{BLANK}]++\(?{NUMBER})++"""
 SPAN = "array<struct<rank:int,start:int,stop:int,value:string>>"
 
 MIN_DIGITS = 5
 MIN_SUPPORT = 5
 ACCEPT_PATTERN = 0.8
 ACCEPT_INSTANCE = 0.9
-CONTEXT_CHARS = 80
 
 
 def digits(value: Column) -> Column:
@@ -115,41 +117,72 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     return spans.withColumn("_base", F.concat(*[f"_{k}" for k in KINDS]))
 
 
-def occurrences(found: DataFrame) -> DataFrame:
-    """(_key, rank, start, stop, value, left): seeds, and other identifier-like tokens with a null rank."""
-    content = F.col("text")
-    tokens = F.transform(found_spans(content, TOKEN, -1), lambda t: F.struct(
+def word_array(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), rf"[{BLANK}]+"), lambda w: w != "")
+
+
+def trimmed(found: Column) -> Column:
+    """Spans without brackets, quotes and punctuation at their edges."""
+    bare = F.transform(found, lambda t: F.struct(
         (t["start"] + F.length(F.regexp_extract(t["value"], r"""^[("'\[<]*""", 0))).alias("start"),
         F.regexp_replace(t["value"], EDGES, "").alias("value"),
     ))
-    free = F.filter(tokens, lambda t: (t["value"].contains("@") | (F.length(digits(t["value"])) >= MIN_DIGITS)) & ~F.exists(
-        "_base", lambda b: (b["start"] < t["start"] + F.length(t["value"])) & (t["start"] < b["stop"])))
-    others = F.transform(free, lambda t: F.struct(
+    return F.transform(bare, lambda t: F.struct(
         F.lit(None).cast("int").alias("rank"), t["start"].alias("start"),
         (t["start"] + F.length(t["value"])).alias("stop"), t["value"].alias("value"),
     ))
 
-    def context(s: Column) -> Column:
-        before = F.substring(content, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
-        return F.lower(F.regexp_extract(before, rf"((?:[^{BLANK}]+[{BLANK}]+)?[^{BLANK}]+)[{BLANK}]*[(\"'\[<]*$", 1))
 
-    spans = F.concat("_base", others)
-    seen = F.transform(spans, lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["stop"].alias("stop"), F.lower(s["value"]).alias("value"), context(s).alias("left")))
-    return found.select("_key", F.explode(seen).alias("o")).select("_key", "o.*")
+def occurrences(found: DataFrame) -> DataFrame:
+    """(_key, rank, start, stop, value, glued, last, first, once): seeds, and other identifier-like tokens with a null rank.
+
+    ``last`` is the word before the span and ``first`` the one before that, null where there is none.
+    What stands before the span in its own word counts as a word (``glued``). A number and a run that
+    begins with it have one place: ``once`` is false for all but the longest.
+    """
+    content = F.col("text")
+    words = found.select("_key", "_base", "text", word_array(content).alias("_words"), found_spans(content, TOKEN, -1).alias("_found"), found_spans(content, RUN, -1).alias("_runs"))
+    # The tokens are just the words with a digit or an @, so the n-th of one is the n-th of the other.
+    places = F.filter(F.transform("_words", lambda w, i: F.when(w.rlike("[0-9@]"), i)), lambda i: i.isNotNull())
+    tokens = words.select("_key", "_base", "_words", F.arrays_zip(F.col("_found").alias("span"), places.alias("at")).alias("_tokens"), trimmed(F.col("_found")).alias("_singles"), trimmed(F.col("_runs")).alias("_runs"))
+
+    def free(t: Column) -> Column:
+        taken = F.exists("_base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"]))
+        return (t["value"].contains("@") | (F.length(digits(t["value"])) >= MIN_DIGITS)) & ~taken
+
+    spans = tokens.select("_key", "_words", "_tokens", F.concat("_base", F.filter(F.concat("_singles", "_runs"), free)).alias("_spans"))
+    placed = F.transform("_spans", lambda s: F.struct(
+        s.alias("s"), F.element_at(F.filter("_tokens", lambda t: t["span"]["start"] <= s["start"]), -1).alias("t"),
+        (~F.exists("_spans", lambda o: (o["start"] == s["start"]) & (o["stop"] > s["stop"]))).alias("once"),
+    ))
+    own = F.transform(placed, lambda p: F.struct(
+        p["s"].alias("s"), p["t"]["at"].alias("at"), p["once"].alias("once"),
+        F.lower(F.regexp_replace(F.substring(p["t"]["span"]["value"], F.lit(1), p["s"]["start"] - p["t"]["span"]["start"]), r"""[("'\[<]+$""", "")).alias("own"),
+    ))
+    each = F.transform(own, lambda o: F.struct(
+        o["s"]["rank"].alias("rank"), o["s"]["start"].alias("start"), o["s"]["stop"].alias("stop"),
+        F.regexp_replace(F.lower(o["s"]["value"]), rf"[{BLANK}]+", " ").alias("value"), (o["own"] != "").alias("glued"),
+        F.when(o["own"] != "", o["own"]).otherwise(F.get("_words", o["at"] - 1)).alias("last"),
+        F.get("_words", F.when(o["own"] != "", o["at"] - 1).otherwise(o["at"] - 2)).alias("first"), o["once"].alias("once"),
+    ))
+    return spans.select("_key", F.explode(each).alias("o")).select("_key", "o.*")
 
 
 def contexts(seen: DataFrame) -> DataFrame:
     """One row per occurrence and pattern: the last word before it, and the last two."""
-    words = F.split("left", rf"[{BLANK}]+")
-    last = F.element_at(words, -1)
-    return seen.filter("left != ''").withColumn("pattern", F.explode(F.array_distinct(F.array(last, F.array_join(words, " ")))))
+    patterns = F.array_distinct(F.array("last", F.concat_ws(" ", "first", "last")))
+    return seen.filter("last IS NOT NULL").withColumn("pattern", F.explode(patterns))
 
 
 def possible_patterns(edges: DataFrame) -> DataFrame:
-    """(pattern, times) with enough different values behind it, known or not."""
-    links = edges.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("times"))
-    support = links.groupBy("pattern").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("support"))
-    return support.filter(F.col("support") >= MIN_SUPPORT).select("pattern", "times")
+    """(pattern, times, glued) with enough different values behind it, known or not.
+
+    ``glued`` counts the times its last word is part of a longer one, which no list of words has.
+    """
+    times, glued = F.count_if("once").alias("times"), F.count_if(F.col("once") & F.col("glued")).alias("glued")
+    links = edges.groupBy("pattern", "value").agg(times, glued)
+    support = links.groupBy("pattern").agg(F.sum("times").alias("times"), F.sum("glued").alias("glued"), F.count(F.lit(1)).alias("support"))
+    return support.filter(F.col("support") >= MIN_SUPPORT).select("pattern", "times", "glued")
 
 
 def candidate_patterns(edges: DataFrame) -> DataFrame:
@@ -169,7 +202,7 @@ def pattern_frequency(docs: DataFrame, patterns: DataFrame, text: str = "text")
     Only the listed patterns are counted. Their number grows with the corpus, so a filter of fixed
     size drops most other words before the shuffle, and the counts meet the patterns in a join.
     """
-    words = F.filter(F.split(F.lower(text_or_empty(text)), rf"[{BLANK}]+"), lambda w: w != "")
+    words = word_array(text_or_empty(text))
     fewer = F.greatest(F.size("_words") - 1, F.lit(0))
     pairs = F.zip_with(F.slice("_words", 1, fewer), F.slice("_words", 2, fewer), lambda a, b: F.concat_ws(" ", a, b))
     seen = docs.select(words.alias("_words")).select(F.explode(F.concat("_words", pairs)).alias("pattern"))
@@ -210,9 +243,9 @@ def discovered(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFra
     seen = materialize(occurrences(found), "pii-seen")
     edges = contexts(seen)
     possible = materialize(possible_patterns(edges), "pii-patterns")
-    share = F.least(F.col("times") / F.col("n"), F.lit(1.0))
+    share = F.least(F.col("times") / (F.coalesce("n", F.lit(0)) + F.col("glued")), F.lit(1.0))
     # No pattern is more reliable than its share.
-    patterns = possible.join(pattern_frequency(docs, possible, text), "pattern").select("pattern", share.alias("share")).filter(F.col("share") >= ACCEPT_PATTERN)
+    patterns = possible.filter("times > 0").join(pattern_frequency(docs, possible, text), "pattern", "left").select("pattern", share.alias("share")).filter(F.col("share") >= ACCEPT_PATTERN)
     values = score_graph(edges.select("rank", "pattern", "value"), materialize(patterns, "pii-shares"))
     hits = seen.filter("rank IS NULL").select("_key", "start", "stop", "value").distinct().join(values, "value")
     span = F.struct("rank", "start", "stop", "value").alias("span")

@@ -99,6 +99,19 @@ def test_mostly_unseen_contexts_and_long_chains(spark):
     assert found[len(texts) - 2] == found[len(texts) - 1] == []
 
 
+def test_contexts_are_whole_words(spark):
+    long, gap = "w" * 100, " " * 200
+    texts = [f"{k} +1 (555) {200 + i}-{1000 + i} today" for i in range(9) for k in (f"call {long}:", f"table{gap}cell:{gap}", "dial it:")]
+    texts += [f"{long} now tel:+1 (555) {300 + i}-{1000 + i} x" for i in range(9)]
+    unseen = [(f"call {long}:", "0341-55512"), (f"table{gap}cell:{gap}", "0342-55512"), ("dial it:", "0341 555 1234"), ("dial it: \"", "0344 \t555 1299")]
+    rows = texts + [f"{left}{value}, today" if left.endswith('"') else f"{left} {value}, today" for left, value in unseen] + ["order 12 345 67 of"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    found = {r["doc_id"]: [rows[r["doc_id"]][s["start"] : s["stop"]] for s in r["spans"]] for r in pii.find_pii(docs).collect()}
+    assert [found[len(texts) + i] for i in range(5)] == [[v] for _, v in unseen] + [[]]
+    seen = pii.occurrences(pii.with_base(docs)).filter("glued").collect()
+    assert {(r["last"], r["first"]) for r in seen} == {("tel:", "now")} and len(seen) == 9
+
+
 def test_rare_contexts_count_in_any_corpus(spark):
     edges = [(0, f"word{i % 700}", f"{i}@b.c", 1.0) for i in range(700 * 90)] + [(3, "call", f"+1 555 000 00{i}", 1.0) for i in range(5)]
     frame = spark.createDataFrame(edges + [(3, "rare", f"+1 555 000 00{i}", 1.0) for i in range(4)], "rank int, pattern string, value string, score double")
