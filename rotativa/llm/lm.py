@@ -8,7 +8,7 @@ history occurred and c(hw) those it was followed by w,
     P(w | h) = (c(hw) + M P(w | shorter h)) / (c(h) + M),        P(w) = (c(w) + 1) / (N + V + 1),
 
 so an arc weighs log10 P(w | h) and a failure arc log10 M / (c(h) + M); the weights out of a state
-add up to one. A text is read once from left to right, carrying the state and adding up weights.
+add up to one. Lookups of each token's longest n-gram take the place of a walk by states; the scores are equal.
 
 The n-grams of the corpus are counted over all training texts without any cut. Texts are dealt into
 chunks of about ``CHUNK_BYTES``. A chunk sends each of its different n-grams once, as packed arrays
