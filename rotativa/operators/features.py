@@ -17,15 +17,6 @@ from rotativa.sources.readers import table_or_empty
 
 METADATA = ["diario", "fecha", "seccion", "url"]
 
-SYSTEM_PROMPT = (
-    "Actúa como analista de la economía argentina y convierte cada noticia en un registro estructurado.\n"
-    "Apóyate únicamente en el texto recibido; sin evidencia responde \"unknown\" y confianza de 0.3 o menos.\n"
-    "Rangos: dirección de -1 a 1; magnitud, optimismos, apoyo y confianza de 0 a 1.\n"
-    "El horizonte es un entero de días, o \"unknown\".\n"
-    "Puntaje de fuente: oficial 0.9 a 1, periodística 0.6 a 0.8, análisis 0.5 a 0.7, rumor 0.2 a 0.4.\n"
-    "Incluye tres citas textuales como máximo.\n"
-)
-
 USER_PROMPT = (
     "Diario: {diario}\n"
     "Fecha: {fecha}\n"
@@ -33,24 +24,23 @@ USER_PROMPT = (
     "Titulo: {titulo}\n"
     "Contenido: {contenido}\n"
     "URL: {url}\n"
-    "\n"
-    "Completa el esquema: actor, evento, mercado, optimismos, temáticas, fuente, confianza y evidencia.\n"
 )
 
 Scorer = Callable[[list[str]], list[str | None]]
 
 
 def with_prompt(
-    df: DataFrame, template: str = USER_PROMPT, system: str = SYSTEM_PROMPT, max_chars: int = PROMPT_CHARS
+    df: DataFrame, template: str = USER_PROMPT, system: str | None = None, max_chars: int = PROMPT_CHARS
 ) -> DataFrame:
     """Add ``system_prompt`` and ``user_prompt``.
 
-    The article text is cut to ``max_chars``, the length the model is asked to read. Missing text
+    Instructions are the caller's; without any, ``system`` lists the fields of the record and what
+    ``validate_features`` allows in each. The article text is cut to ``max_chars``, the length the model is asked to read. Missing text
     is empty, other missing fields read "unknown".
     """
     fields = {c: or_default(F.col(c).cast("string"), "unknown") for c in ("diario", "fecha", "seccion", "titulo", "url")}
     fields["contenido"] = truncate_chars(or_default("contenido"), max_chars)
-    return df.withColumns({"system_prompt": F.lit(system), "user_prompt": fill_template(template, fields)})
+    return df.withColumns({"system_prompt": F.lit(record_outline() if system is None else system), "user_prompt": fill_template(template, fields)})
 
 
 def score(df: DataFrame, load_scorer: Callable[[], Scorer], prompt: str = "user_prompt", tasks: int | None = None) -> DataFrame:
@@ -181,6 +171,29 @@ def _leaves(schema: T.StructType, prefix: str = "") -> Iterator[tuple[str, T.Dat
             yield path, f.dataType
 
 
+def _bounds(path: str, kind: T.DataType) -> tuple[float, float] | None:
+    """Least and greatest value of a field with a range."""
+    if isinstance(kind, T.DoubleType):
+        return (-1.0 if path.endswith(".direccion") else 0.0), 1.0
+    return None
+
+
+def record_outline(schema: T.StructType = FEATURES) -> str:
+    """One line per field of the record: path, type, and the values, range or number allowed."""
+    lines = []
+    for path, kind in _leaves(schema):
+        line = f"{path}: {kind.simpleString()}"
+        if path in ENUMS:
+            line += f" {{{', '.join(ENUMS[path])}}}"
+        elif bounds := _bounds(path, kind):
+            line += f" [{bounds[0]:g}, {bounds[1]:g}]"
+        elif path == "evidencia.citas_evidencia":
+            line += f" size <= {MAX_QUOTES}"
+        lines.append(line)
+    lines += [f"calidad_fuente.categoria = {name}: [{low:g}, {high:g}]" for name, (low, high) in QUALITY_BANDS.items()]
+    return "\n".join(lines)
+
+
 _OPTIONAL = {*METADATA, "evento.horizonte_dias", "evidencia.notas", "entidades.nombre_actor_principal"}
 _LISTS = {"entidades.empresas_mencionadas", "entidades.tickers_mencionados", "entidades.sectores_mencionados"}
 
@@ -201,9 +214,8 @@ def _checks(schema: T.StructType) -> list[str]:
             rules.append((f"{known} AND features.{path} IS NULL", f"type:{path}"))
         elif isinstance(kind, T.StringType) and path not in _OPTIONAL:
             rules.append((f"raw.{path} IS NULL", f"missing:{path}"))
-        if isinstance(kind, T.DoubleType):
-            low = -1.0 if path.endswith(".direccion") else 0.0
-            rules.append((f"features.{path} NOT BETWEEN {low}D AND 1.0D", f"range:{path}"))
+        if bounds := _bounds(path, kind):
+            rules.append((f"features.{path} NOT BETWEEN {bounds[0]}D AND {bounds[1]}D", f"range:{path}"))
     rules += [(f"NOT {_in(path, allowed)}", f"enum:{path}") for path, allowed in ENUMS.items()]
     quotes = "features.evidencia.citas_evidencia"
     rules.append((f"{quotes} IS NULL", "missing:evidencia.citas_evidencia"))

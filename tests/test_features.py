@@ -187,3 +187,13 @@ def test_whole_flow(spark, tmp_path):
     assert found["u2"]["features"]["url"] == "u2"
     stored = extract_features(df, failing_loader(), f"{tmp_path}/answers")
     assert stored.filter(F.size("violations") == 0).count() == 1
+
+
+def test_outline_lists_what_is_checked(spark):
+    lines = f.record_outline().split("\n")
+    assert "mercado.merval.direccion: double [-1, 1]" in lines
+    assert "confianza: double [0, 1]" in lines
+    assert any(x.startswith("evento.shock: string {positivo, ") for x in lines)
+    assert "evidencia.citas_evidencia: array<string> size <= 3" in lines
+    df = spark.createDataFrame([("d", "2025-01-01", "s", "t", "c", "u")], "diario string, fecha string, seccion string, titulo string, contenido string, url string")
+    assert f.with_prompt(df).first()["system_prompt"] == f.record_outline()
