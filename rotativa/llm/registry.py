@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotativa.llm import lm, mixing, near_dup, neighbours, packing, pii, repetition, toxicity, url_rules, warc
+from rotativa.llm import exact_dedup, lm, mixing, near_dup, neighbours, packing, pii, repetition, toxicity, url_rules, warc
 from rotativa.llm.common import id_remainder, table
 from rotativa.session import materialize
 
@@ -66,6 +66,11 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(materialize(packing.cut_pieces(table(spark, sf_dir, "documents")), "pieces"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_toxicity": op2_toxicity,
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_warc_round_trip": op8_warc_round_trip,
     "op9_language_model": op9_language_model,
     "op10_pack_sequences": op10_pack_sequences,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 _BLANK = r"[^\x20\x09-\x0D]+"
@@ -128,5 +134,12 @@ WITH parts AS (
 )
 SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f ON p.host = f.host AND p.path = f.path
+""",
+    "op12_exact_dedup": r"""
+WITH normal AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM normal WINDOW same AS (PARTITION BY text_sha256)
 """,
 }

@@ -23,10 +23,11 @@ COLUMNS = {
     "op8_warc_round_trip": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op9_language_model": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op10_pack_sequences": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op12_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
 }
 
 
-def test_all_ten_are_registered():
+def test_all_are_registered():
     assert QUERIES.keys() == COLUMNS.keys()
 
 
