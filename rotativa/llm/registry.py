@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotativa.llm import exact_dedup, lm, mixing, near_dup, neighbours, packing, pii, repetition, toxicity, url_rules, warc
+from rotativa.llm import exact_dedup, lm, mixing, near_dup, neighbours, packing, pii, repetition, toxicity, url_rules, warc, whitening
 from rotativa.llm.common import id_remainder, table
 from rotativa.session import materialize
 
@@ -71,6 +71,13 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op13_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    # At sizes where the exact number has no place in a long, it is null here and stays in the operator's result.
+    deviation = F.col("deviation").try_cast("bigint").alias("deviation")
+    return found.select(F.col("id").alias("vec_id"), "component", "n", deviation, "whitened", "explained", "identity_error")
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_toxicity": op2_toxicity,
@@ -83,6 +90,7 @@ QUERIES = {
     "op9_language_model": op9_language_model,
     "op10_pack_sequences": op10_pack_sequences,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_whitened_vectors": op13_whitened_vectors,
 }
 
 _BLANK = r"[^\x20\x09-\x0D]+"

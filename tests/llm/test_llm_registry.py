@@ -23,6 +23,7 @@ COLUMNS = {
     "op8_warc_round_trip": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op9_language_model": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op10_pack_sequences": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op13_whitened_vectors": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
     "op12_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
 }
 
@@ -37,7 +38,7 @@ def test_query(spark, name):
     assert set(COLUMNS[name]) <= set(found.columns)
     rows = found.collect()
     table = "pages" if name in ("op4_url_filter", "op8_warc_round_trip") else "documents"
-    if name not in ("op5_nearest_vectors", "op10_pack_sequences"):
+    if name not in ("op5_nearest_vectors", "op10_pack_sequences", "op13_whitened_vectors"):
         assert len(rows) == spark.read.parquet(f"{SF}/{table}.parquet").count()
     if name in ORACLE:
         con = duckdb.connect()
