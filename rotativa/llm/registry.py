@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rotativa.llm import exact_dedup, lm, mixing, near_dup, neighbours, packing, pii, repetition, toxicity, url_rules, warc, whitening
+from rotativa.llm import cross_tokens, exact_dedup, lm, mixing, near_dup, neighbours, packing, pii, repetition, toxicity, url_rules, warc, whitening
 from rotativa.llm.common import id_remainder, table
 from rotativa.session import materialize
 
@@ -66,6 +66,10 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(materialize(packing.cut_pieces(table(spark, sf_dir, "documents")), "pieces"))
 
 
+def op11_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.align_tokens(table(spark, sf_dir, "documents"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_warc_round_trip": op8_warc_round_trip,
     "op9_language_model": op9_language_model,
     "op10_pack_sequences": op10_pack_sequences,
+    "op11_cross_tokens": op11_cross_tokens,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_whitened_vectors": op13_whitened_vectors,
 }

@@ -23,6 +23,7 @@ COLUMNS = {
     "op8_warc_round_trip": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op9_language_model": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op10_pack_sequences": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op11_cross_tokens": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
     "op13_whitened_vectors": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
     "op12_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
 }
