@@ -5,17 +5,17 @@ A and a token of B end at the same byte, both streams are cut; the tokens betwee
 and every A token of a group is linked with every B token of it. An id pair's count is the number of
 documents that hold it linked.
 
-First pass: texts are dealt to chunks, which are stored, each with its different pairs and the number of
-its documents that hold each. The different pairs of the corpus are dealt to shards by their A id, and
+First pass: texts are encoded and dealt to chunks, which are stored, each with its ids, its different
+pairs and the number of its documents that hold each. The different pairs of the corpus are dealt to shards by their A id, and
 each shard gets a minimal perfect hash of its pairs. Chunks turn their counts into dense vectors that
 the hash indexes; the vectors of a shard are added up in a tree, ``FAN`` at a time. Second
 pass: each chunk looks its pairs up in the shards, where the key at the hash's place must be the pair
-itself, aligns its texts again and adds up what it found. Nothing is broadcast, and no task holds more
+itself, aligns its documents again and adds up what it found. Nothing is broadcast, and no task holds more
 than a shard with ``FAN`` chunks' parts of it, or one chunk.
 
 Neither vocabulary joins what a single space or line break between two other characters parts, so both
-streams are cut there, and a text is the sequence of such units. Units are aligned once and kept by the
-worker. A vocabulary for which this does not hold (it is looked up in its pieces) gets whole texts.
+streams are cut there, and a text is the sequence of such units. A worker keeps the units that it has
+encoded, up to a number. A vocabulary for which this does not hold (it is looked up in its pieces) gets whole texts.
 
 Null and empty texts, and texts whose tokens' bytes differ from a space and the text (as where the text has
 U+2581), have no tokens: zeros and an empty string. Texts of any length are read whole; a text that is
@@ -34,6 +34,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,18 +42,18 @@ from pyspark.sql import functions as F
 from rotativa.llm.common import worker_state
 from rotativa.session import materialize
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 SHARD_PAIRS = 8192
 FAN = 32
 BATCH_BYTES = 1 << 20
-KEPT_UNITS = 400_000
-KEPT_CHARS = 48 << 20
-LEARNED_UNITS = 20_000  # at once
+KEPT_UNITS = 250_000
+KEPT_CHARS = 16 << 20
+LEARNED_UNITS = 10_000  # at once
 LARGE_GROUP = 4096  # links of a group that are written out before equal ones become one
 # Fixed value: where byte-level vocabularies of this kind cut a text before merging.
 BYTE_LEVEL_CUT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
-STORED = "chunk bigint, doc_id bigint, text string, pairs array<bigint>, counts array<bigint>"
+STORED = "chunk bigint, docs array<bigint>, sizes array<bigint>, numbers binary, pairs array<bigint>, counts array<bigint>, units array<binary>"
 RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
 
@@ -77,7 +78,7 @@ class Vocabularies:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
+        self.path_a, self.a = path_a, Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.quick = self.quick_a()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -98,7 +99,8 @@ class Vocabularies:
 
     def quick_a(self):
         """A faster encoder with A's merges for Latin text, or None where A is of another kind."""
-        parts = json.loads(self.a.to_str())
+        with open(self.path_a, encoding="utf-8") as file:
+            parts = json.load(file)
         model, cut = parts["model"], parts["pre_tokenizer"] or {}
         entries, merges = model.get("vocab", {}), [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
         level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
@@ -146,29 +148,60 @@ def span_places(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def links(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(group, pair, times) of all links; ``in_a`` and ``in_b`` are the sizes of each group's spans of ids.
+class Groups:
+    """The groups of units that are encoded without loss, from their ids and the bytes of each id.
 
-    Large groups are reduced to their different ids first.
+    Every unit ends where tokens of both sides end, so one cut of all of them cuts each.
     """
-    groups = np.arange(len(in_a))
-    first_a, first_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
-    large = in_a * in_b > LARGE_GROUP
-    some = groups[~large]
-    # Each A token of a group meets the group's B tokens.
-    per_a = np.repeat(in_b[some], in_a[some])
-    left = np.repeat(a[span_places(first_a[some], in_a[some])], per_a)
-    right = b[span_places(np.repeat(first_b[some], in_a[some]), per_a)]
-    found = [(np.repeat(some, in_a[some] * in_b[some]), (left << 32) | right, np.ones(len(left), np.int64))]
-    for g in groups[large]:
-        (own_a, n_a), (own_b, n_b) = (np.unique(x[f[g] : f[g] + n[g]], return_counts=True) for x, f, n in ((a, first_a, in_a), (b, first_b, in_b)))
-        pairs = ((own_a[:, None] << 32) | own_b).ravel()
-        found.append((np.full(len(pairs), g), pairs, (n_a[:, None] * n_b).ravel()))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def __init__(self, words: Vocabularies, a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray):
+        self.a, self.b, self.units = a, b, len(in_a)
+        ends_a, ends_b = np.cumsum(words.size_a[a]), np.cumsum(words.size_b[b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        self.of_a, self.of_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        self.in_a, self.in_b = (np.bincount(g, minlength=len(common)) for g in (self.of_a, self.of_b))
+        self.unit = np.zeros(len(common), np.int64)
+        self.unit[self.of_a] = np.repeat(np.arange(len(in_a)), in_a)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, pair, times): each pair is ``A id << 32 | B id``, and stands for so many links.
+
+        Large groups are reduced to their different ids first.
+        """
+        groups = np.arange(len(self.in_a))
+        first_a, first_b = np.cumsum(self.in_a) - self.in_a, np.cumsum(self.in_b) - self.in_b
+        large = self.in_a * self.in_b > LARGE_GROUP
+        some = groups[~large]
+        # Each A token of a group meets the group's B tokens.
+        in_a = self.in_a[some]
+        per_a = np.repeat(self.in_b[some], in_a)
+        left = np.repeat(self.a[span_places(first_a[some], in_a)], per_a)
+        right = self.b[span_places(np.repeat(first_b[some], in_a), per_a)]
+        found = [(np.repeat(some, in_a * self.in_b[some]), (left << 32) | right, np.ones(len(left), np.int64))]
+        for g in groups[large]:
+            own_a, n_a = np.unique(self.a[first_a[g] : first_a[g] + self.in_a[g]], return_counts=True)
+            own_b, n_b = np.unique(self.b[first_b[g] : first_b[g] + self.in_b[g]], return_counts=True)
+            pairs = ((own_a[:, None] << 32) | own_b).ravel()
+            found.append((np.full(len(pairs), g), pairs, (n_a[:, None] * n_b).ravel()))
+        group, pair, times = (np.concatenate(x) for x in zip(*found, strict=True))
+        return self.unit[group], pair, times
+
+    def texts(self) -> list[str]:
+        """Each unit's groups as text; every group ends with a semicolon."""
+        group, side = np.concatenate([self.of_a, self.of_b]), np.repeat([0, 1], [len(self.a), len(self.b)])
+        order = np.argsort(2 * group + side, kind="stable")
+        group, side, ids = group[order], side[order], np.concatenate([self.a, self.b])[order]
+        last = np.ones(len(ids), bool)
+        last[:-1] = (group[1:] != group[:-1]) | (side[1:] != side[:-1])
+        marked, back = np.unique(ids * 3 + np.where(last, 1 + side, 0), return_inverse=True)
+        parts = [f"{i // 3}{',|;'[i % 3]}" for i in marked.tolist()]
+        parts = list(map(parts.__getitem__, back.tolist()))
+        ends = np.cumsum(np.bincount(self.unit[group], minlength=self.units)).tolist()
+        return ["".join(parts[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
 
 
 class Units:
-    """Aligned units, kept as long as the worker lives or until they are too many.
+    """Encoded units and their pairs, kept as long as the worker lives or until they are too many.
 
     A word stands for the unit of a space and the word; a word behind a line break for itself.
     """
@@ -178,59 +211,49 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}  # by unit
-        self.word_at: dict[str, int] = {}
-        self.groups: list[str] = []  # each unit's groups as text, ending with a semicolon
+        self.at: dict[str, int] = {}
         self.chars = 0
-        self.sums = np.zeros((0, 5), np.int64)  # tokens of A and B, groups, links, failures
+        none = np.zeros(0, np.int64)
+        self.a, self.b, self.in_a, self.in_b = none, none, none, none
+        self.failed = np.zeros(0, bool)
         self.first = np.zeros(1, np.int64)  # where each unit's pairs begin
-        self.own = np.zeros(0, np.int64)  # numbers of each unit's different pairs
-        self.times = np.zeros(0, np.int64)
-        self.pairs = np.zeros(0, np.int64)  # by number
-        self.sorted = np.zeros(0, np.int64), np.zeros(0, np.int64)  # pairs in order, and their numbers
-
-    def learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), LEARNED_UNITS):
-            self._learn(new[at : at + LEARNED_UNITS])
-
-    def _learn(self, new: list[str]) -> None:
-        (a, in_a), (b, in_b) = map(flat_ids, self.words.encode(new))
-        owner_a, owner_b = np.repeat(np.arange(len(new)), in_a), np.repeat(np.arange(len(new)), in_b)
-        written = [u.encode() for u in new]
-        length = np.array(list(map(len, written)))
-        size_a, size_b = self.words.size_a[a], self.words.size_b[b]
-        good = (np.bincount(owner_a, size_a, len(new)) == length) & (np.bincount(owner_b, size_b, len(new)) == length)
+        self.own = np.zeros(0, np.int32)  # numbers of each unit's different pairs
+        self.pairs = none  # by number
+        self.sorted = none, none  # pairs in order, and their numbers
+
+    def full(self) -> bool:
+        return len(self.at) > KEPT_UNITS or self.chars > KEPT_CHARS
+
+    def learn(self, new: dict[str, str]) -> None:
+        """Units by the names that texts are cut into."""
+        names, units = list(new), list(new.values())
+        for at in range(0, len(names), LEARNED_UNITS):
+            self._learn(names[at : at + LEARNED_UNITS], units[at : at + LEARNED_UNITS])
+
+    def _learn(self, names: list[str], units: list[str]) -> None:
+        (a, in_a), (b, in_b) = map(flat_ids, self.words.encode(units))
+        written = [u.encode() for u in units]
+        good = np.ones(len(units), bool)
         for ids, sizes, table in ((a, in_a, self.words.bytes_a), (b, in_b, self.words.bytes_b)):
-            ends = np.cumsum(sizes).tolist()
             tokens = list(map(table.__getitem__, ids.tolist()))
-            if b"".join(tokens) != b"".join(written):
-                good &= [b"".join(tokens[e - n : e]) == w for e, n, w in zip(ends, sizes.tolist(), written, strict=True)]
-        keep_a, keep_b = good[owner_a], good[owner_b]
-        a, b, owner_a, owner_b = a[keep_a], b[keep_b], owner_a[keep_a], owner_b[keep_b]
-        # Units end at a common byte, so one cut of all of them cuts each.
-        ends_a, ends_b = np.cumsum(size_a[keep_a]), np.cumsum(size_b[keep_b])
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
-        group_in_a, group_in_b = (np.bincount(g, minlength=len(common)) for g in (group_a, group_b))
-        owner = np.zeros(len(common), np.int64)
-        owner[group_a] = owner_a
-        group, pair, times = links(a, b, group_in_a, group_in_b)
-        self._texts(a, b, group_a, group_b, owner, len(new))
+            ends = np.cumsum(sizes)
+            spans = np.concatenate([[0], np.cumsum(list(map(len, tokens)))])
+            same = spans[ends] - spans[ends - sizes] == list(map(len, written))
+            if not same.all() or b"".join(tokens) != b"".join(written):
+                same &= [b"".join(tokens[e - n : e]) == w for e, n, w in zip(ends.tolist(), sizes.tolist(), written, strict=True)]
+            good &= same
+        a, b = a[np.repeat(good, in_a)], b[np.repeat(good, in_b)]
+        in_a, in_b = in_a * good, in_b * good
+        unit, pair, _ = Groups(self.words, a, in_a, b, in_b).links()
         # Equal pairs of a unit become one.
-        at = owner[group] << 32 | self._numbered(pair)
-        key = different(at)
-        total = np.zeros(len(key), np.int64)
-        np.add.at(total, np.searchsorted(key, at), times)
-        count = lambda x, w=None: np.bincount(x, w, len(new)).astype(np.int64)
-        link_sums = np.zeros(len(new), np.int64)
-        np.add.at(link_sums, key >> 32, total)
-        sums = np.stack([count(owner_a), count(owner_b), count(owner), link_sums, (~good).astype(np.int64)], axis=1)
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        self.sums = np.vstack([self.sums, sums])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(count(key >> 32))])
-        self.own = np.concatenate([self.own, key & 0xFFFFFFFF])
-        self.times = np.concatenate([self.times, total])
-        self.chars += int(length.sum())
+        key = different(unit << 32 | self._numbered(pair))
+        self.at.update(zip(names, range(len(self.at), len(self.at) + len(names)), strict=True))
+        self.a, self.b = np.concatenate([self.a, a]), np.concatenate([self.b, b])
+        self.in_a, self.in_b = np.concatenate([self.in_a, in_a]), np.concatenate([self.in_b, in_b])
+        self.failed = np.concatenate([self.failed, ~good])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(key >> 32, minlength=len(names)))])
+        self.own = np.concatenate([self.own, (key & 0xFFFFFFFF).astype(np.int32)])
+        self.chars += sum(map(len, written))
 
     def _numbered(self, pair: np.ndarray) -> np.ndarray:
         """The numbers of pairs; new ones get the next."""
@@ -243,52 +266,33 @@ class Units:
             self.pairs = np.concatenate([self.pairs, new])
         return self.sorted[1][np.searchsorted(self.sorted[0], pair)]
 
-    def _texts(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, owner: np.ndarray, units: int) -> None:
-        """The groups of each unit as text."""
-        group, side = np.concatenate([group_a, group_b]), np.repeat([0, 1], [len(a), len(b)])
-        order = np.argsort(2 * group + side, kind="stable")
-        group, side, ids = group[order], side[order], np.concatenate([a, b])[order].tolist()
-        last = np.ones(len(ids), bool)
-        last[:-1] = (group[1:] != group[:-1]) | (side[1:] != side[:-1])
-        marks = np.where(last, np.where(side == 0, 1, 2), 0).tolist()
-        parts = [f"{i}{',|;'[m]}" for i, m in zip(ids, marks, strict=True)]
-        ends = np.cumsum(np.bincount(owner[group], minlength=units)).tolist()
-        made = ["".join(parts[x:y]) for x, y in zip([0, *ends], ends, strict=False)]
-        self.groups.extend(made)
-        self.chars += sum(map(len, made))
-
-    def numbers(self, texts: list[str | None]) -> list[list[int]]:
-        """The units of each text in turn."""
-        plain, odd = {}, {}
-        for i, text in enumerate(texts):
-            if text and self.words.cuts and not ("\n " in text or "\n\n" in text or text[0] == "\n" or text[-1] == "\n"):
-                # A word behind a line break begins with one; the break itself stands alone.
-                plain[i] = (text.replace("\n", " \n \n") if "\n" in text else text).split(" ")
-            elif text:
-                odd[i] = self.words.units(text)
-        new = set().union(*plain.values()).difference(self.word_at)
-        if new:
-            fit = {w for w in new if w == "\n" or w and not (w.lstrip("\n")[0].isspace() or w[-1].isspace())}
-            if len(fit) < len(new):  # blanks that don't stand alone
-                for i in [i for i, words in plain.items() if not (new - fit).isdisjoint(words)]:
-                    odd[i] = self.words.units(texts[i])
-                    del plain[i]
-            units = {w: w if w == "\n" else w[1:] if w[0] == "\n" else " " + w for w in fit}
-            self.learn(list(set(units.values()).difference(self.at)))
-            self.word_at.update((w, self.at[u]) for w, u in units.items())
-        new = set().union(*odd.values()).difference(self.at)
-        if new:
-            self.learn(list(new))
-        found = {i: list(map(self.word_at.__getitem__, words)) for i, words in plain.items()}
-        found |= {i: list(map(self.at.__getitem__, units)) for i, units in odd.items()}
-        return [found.get(i, []) for i in range(len(texts))]
-
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The units of all texts in turn, and the number of each text's units; texts without tokens have none."""
-        if len(self.at) > KEPT_UNITS or self.chars > KEPT_CHARS:
-            self.clear()
-        flat, counts = flat_ids(self.numbers(texts))
-        failed = self.sums[flat, 4] > 0
+        names: list[list[str]] = []
+        odd = set()
+        for i, text in enumerate(texts):
+            if not text:
+                names.append([])
+            elif self.words.cuts and not ("\n " in text or "\n\n" in text or text[0] == "\n" or text[-1] == "\n"):
+                # A word behind a line break begins with one; the break itself stands alone.
+                names.append((text.replace("\n", " \n \n") if "\n" in text else text).split(" "))
+            else:
+                odd.add(i)
+                names.append([])
+        new = set().union(*names).difference(self.at)
+        fit = {w: w if w == "\n" else w[1:] if w[0] == "\n" else " " + w for w in new if w == "\n" or w and not (w.lstrip("\n")[0].isspace() or w[-1].isspace())}
+        if len(fit) < len(new):  # blanks that don't stand alone
+            new.difference_update(fit)
+            odd.update(i for i, words in enumerate(names) if not new.isdisjoint(words))
+        # Other units are named by themselves behind a mark that no word begins with.
+        for i in odd:
+            names[i] = [" " + u for u in self.words.units(texts[i])]
+        fit |= {u: u[1:] for u in set().union(*(names[i] for i in odd)).difference(self.at)}
+        if fit:
+            self.learn(fit)
+        counts = np.array(list(map(len, names)), np.int64)
+        flat = np.fromiter(map(self.at.__getitem__, chain.from_iterable(names)), np.int64, counts.sum())
+        failed = self.failed[flat]
         if failed.any():
             owner = np.repeat(np.arange(len(texts)), counts)
             bad = np.zeros(len(texts), bool)
@@ -296,11 +300,6 @@ class Units:
             flat, counts = flat[~bad[owner]], np.where(bad, 0, counts)
         return flat, counts
 
-    def pairs_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all pairs of the given units, and the number of each unit's pairs."""
-        sizes = self.first[units + 1] - self.first[units]
-        return span_places(self.first[units], sizes), sizes
-
     def documents_with(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Different pairs of some texts, and how many of the texts hold each."""
         if not len(flat):
@@ -308,12 +307,20 @@ class Units:
         owner = np.repeat(np.arange(len(counts)), counts)
         once = different(owner * len(self.at) + flat)
         owner, units = once // len(self.at), once % len(self.at)
-        places, sizes = self.pairs_of(units)
-        held = different(np.repeat(owner, sizes) * len(self.pairs) + self.own[places])
+        sizes = self.first[units + 1] - self.first[units]
+        held = different(np.repeat(owner, sizes) * len(self.pairs) + self.own[span_places(self.first[units], sizes)])
         number = np.bincount(held % len(self.pairs), minlength=len(self.pairs))
         there = np.flatnonzero(number)
         return self.pairs[there], number[there]
 
+    def tokens_of(self, used: np.ndarray) -> list[np.ndarray]:
+        """Numbers of ids and ids of the given units, for A and for B."""
+        out = []
+        for ids, sizes in ((self.a, self.in_a), (self.b, self.in_b)):
+            first = np.cumsum(sizes) - sizes
+            out += [sizes[used], ids[span_places(first[used], sizes[used])]]
+        return out
+
 
 def units_of_worker(path_a: str, path_b: str) -> Units:
     kept = worker_state("cross tokens")
@@ -340,36 +347,55 @@ def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return pairs, total
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes each as they need, compressed."""
+    small = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    head = np.array([small.itemsize, len(small)], np.int64).tobytes()
+    return head + pa.compress(small.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width, count = np.frombuffer(data[:16], np.int64).tolist()
+    plain = pa.decompress(data[16:], width * count, "zstd", asbytes=True) if count else b""
+    return np.frombuffer(plain, f"u{width}").astype(np.int64)
+
+
 def stored_chunks(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
-    """Documents with their chunk, and a row for each chunk with its pairs and their document counts.
+    """Some documents a row, as numbers of units, and a row for each chunk.
 
-    A task numbers its chunks after its partition; the table is stored, so a document stays in its
-    chunk whatever is computed again later.
+    That row has the chunk's different pairs, the number of its documents that hold each, and the ids of
+    its units. A chunk ends with ``CHUNK_BYTES`` of text, or where the worker forgets its units, whose
+    numbers hold for the chunk only. A task numbers its chunks after its partition; the table is
+    stored, so a document stays in its chunk whatever is computed again later.
     """
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("chunk", pa.int64()), ("docs", longs), ("sizes", longs), ("numbers", pa.binary()), ("pairs", longs), ("counts", longs), ("units", pa.list_(pa.binary()))])
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
     def cut(batches: Iterator[pa.RecordBatch]):
         units = units_of_worker(path_a, path_b)
-        chunk, size, found = TaskContext.get().partitionId() << 24, 0, []
+        chunk, size, found, used = TaskContext.get().partitionId() << 24, 0, [], []
 
         def closing() -> pa.RecordBatch:
-            pairs, counts = merged(found)
-            columns = [pa.array([chunk], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.string())]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([pairs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))], names=names)
+            own = different(np.concatenate(used))
+            return row(chunk, None, None, None, *merged(found), list(map(packed, [own, *units.tokens_of(own)])))
 
-        names = ["chunk", "doc_id", "text", "pairs", "counts"]
         for batch in batches:
             for part in slices(batch.column("text"), BATCH_BYTES):
+                if size >= CHUNK_BYTES or units.full():
+                    if found:
+                        yield closing()
+                        chunk, size, found, used = chunk + 1, 0, [], []
+                    if units.full():
+                        units.clear()
                 some = batch.slice(part.start, part.stop - part.start)
-                n = some.num_rows
-                found.append(units.documents_with(*units.read(some.column("text").to_pylist())))
+                flat, counts = units.read(some.column("text").to_pylist())
+                found.append(units.documents_with(flat, counts))
+                used.append(different(flat))
                 size += some.column("text").nbytes
-                none = pa.nulls(n, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), some.column("doc_id"), some.column("text"), none, none], names=names)
-                if len(found) > 16:
-                    found = [merged(found)]
-                if size >= CHUNK_BYTES:
-                    yield closing()
-                    chunk, size, found = chunk + 1, 0, []
+                yield row(chunk, some.column("doc_id").to_pylist(), counts, packed(flat), None, None, None)
         if found:
             yield closing()
 
@@ -525,38 +551,56 @@ def answers(parts: DataFrame, counted: DataFrame, nodes: int) -> DataFrame:
     return parts.select("shard", "node", "chunk", "pairs").groupBy("shard", "node").cogroup(copies(counted, nodes).groupBy("of_shard", "copy")).applyInArrow(look, kind)
 
 
-def aligned(docs: DataFrame, found: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Results of each document, from its chunk's counts."""
+def unit_results(words: Vocabularies, units: list[np.ndarray], pairs: np.ndarray, n: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Per unit the six sums of a document's result, and the groups as text, some units at a time."""
+    in_a, a, in_b, b = units
+    sums, written = np.zeros((6, len(in_a)), np.int64), []
+    sums[0], sums[1] = in_a, in_b
+    end_a, end_b = (np.concatenate([[0], np.cumsum(x)]) for x in (in_a, in_b))
+    for low in range(0, len(in_a), LEARNED_UNITS):
+        high = min(low + LEARNED_UNITS, len(in_a))
+        groups = Groups(words, a[end_a[low] : end_a[high]], in_a[low:high], b[end_b[low] : end_b[high]], in_b[low:high])
+        unit, pair, times = groups.links()
+        at = np.minimum(np.searchsorted(pairs, pair), max(0, len(pairs) - 1))
+        if len(pair) and (not len(pairs) or (pairs[at] != pair).any()):
+            raise ValueError("a chunk has a pair that its first pass did not have")
+        sums[2, low:high] = np.bincount(groups.unit, minlength=high - low)
+        for row, of_link in zip(sums[3:], (times, times * best[at], times * n[at]), strict=True):
+            np.add.at(row, low + unit, of_link)
+        written += groups.texts()
+    return sums, written
+
+
+def aligned(stored: DataFrame, found: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """Results of each document, from its chunk's ids and counts."""
     kind = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], ("groups_sha256", pa.string())])
 
     def read(some: pa.Table, known: pa.Table) -> pa.Table:
-        units = units_of_worker(path_a, path_b)
+        worker = units_of_worker(path_a, path_b)
+        worker.clear()
         flat = [known[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("found", "n", "best")]
         order = np.argsort(flat[0])
-        pairs, n, best = (x[order] for x in flat)
-        chain_, counts = units.read(some["text"].to_pylist())
-        used = np.flatnonzero(np.bincount(chain_, minlength=len(units.at)))
-        places_, sizes = units.pairs_of(used)
-        wanted = units.pairs[units.own[places_]]
-        at = np.minimum(np.searchsorted(pairs, wanted), max(0, len(pairs) - 1))
-        if len(wanted) and (not len(pairs) or (pairs[at] != wanted).any()):
-            raise ValueError("a chunk has a pair that its first pass did not have")
-        sums = np.zeros((6, len(units.at)), np.int64)
-        sums[:4, used] = units.sums[used, :4].T
-        owner = np.repeat(used, sizes)
-        np.add.at(sums[4], owner, units.times[places_] * best[at])
-        np.add.at(sums[5], owner, units.times[places_] * n[at])
-        ends = np.cumsum(counts)
-        full = counts > 0
-        rows = np.zeros((6, len(counts)), np.int64)
-        for row, of_unit in zip(rows, sums, strict=True):
-            if full.any():
-                row[full] = np.add.reduceat(of_unit[chain_], (ends - counts)[full])
-        names = map(units.groups.__getitem__, chain_.tolist())
-        hashes = [hashlib.sha256("".join(islice(names, c))[:-1].encode()).hexdigest() if c else "" for c in counts.tolist()]
-        return pa.Table.from_arrays([some["doc_id"], *map(pa.array, rows), pa.array(hashes, pa.string())], schema=kind)
-
-    return docs.groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(read, RESULT)
+        own, *units = map(unpacked, some.filter(pa.compute.is_valid(some["units"]))["units"][0].as_py())
+        sums, written = unit_results(worker.words, units, *(x[order] for x in flat))
+        place = np.zeros(int(own.max(initial=0)) + 1, np.int64)
+        place[own] = np.arange(len(own))
+        made = [kind.empty_table()]
+        for docs, sizes, numbers in zip(some["docs"], some["sizes"], some["numbers"], strict=True):
+            if not numbers.is_valid:
+                continue
+            counts, chain_ = sizes.values.to_numpy(), place[unpacked(numbers.as_py())]
+            full, starts = counts > 0, np.cumsum(counts) - counts
+            rows = np.zeros((6, len(counts)), np.int64)
+            for row, of_unit in zip(rows, sums, strict=True):
+                if full.any():
+                    row[full] = np.add.reduceat(of_unit[chain_], starts[full])
+            texts = map(written.__getitem__, chain_.tolist())
+            hashes = [hashlib.sha256("".join(islice(texts, c))[:-1].encode()).hexdigest() if c else "" for c in counts.tolist()]
+            made.append(pa.Table.from_arrays([docs.values, *map(pa.array, rows), pa.array(hashes, pa.string())], schema=kind))
+        return pa.concat_tables(made).combine_chunks()
+
+    sides = stored.select("chunk", "docs", "sizes", "numbers", "units")
+    return sides.groupBy("chunk").cogroup(found.groupBy("of_chunk")).applyInArrow(read, RESULT)
 
 
 def align_tokens(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, text: str = "text") -> DataFrame:
@@ -571,5 +615,4 @@ def align_tokens(docs: DataFrame, path_a: str | None = None, path_b: str | None
     parts = parts_by_shard(chunks, shards, nodes)
     counted = materialize(hashes.join(summed_vectors(parts, hashes, nodes), "shard"), "token-counts")
     found = answers(parts, counted, nodes)
-    texts = stored.filter("pairs IS NULL").select("chunk", "doc_id", "text")
-    return aligned(texts, found, path_a, path_b)
+    return aligned(stored, found, path_a, path_b)

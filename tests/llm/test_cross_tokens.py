@@ -114,16 +114,21 @@ def test_without_common_cuts(words, paths):
     for text in TEXTS:
         flat, counts = units.read([text])
         s = whole(words, text)
-        assert units.sums[flat, 2].sum() == len(s or []) and (s is None) == (counts[0] == 0)
+        assert units.in_a[flat].sum() == sum(len(a) for a, _ in s or []) and (s is None) == (counts[0] == 0)
 
 
-def test_large_groups_are_counted_once():
-    a, b = np.arange(300) % 7, np.arange(200) % 5
-    group, pairs, times = c.links(a, b, np.array([300]), np.array([200]))
-    assert len(pairs) == 35 and times.sum() == 60_000 and set(group) == {0}
-    small = c.links(a[:9], b[:4], np.array([1, 8]), np.array([2, 2]))
-    want = Counter([(0, 0, 0), (0, 0, 1)] + [(1, int(x), int(y)) for x in a[1:9] for y in b[2:4]])
-    assert Counter((int(g), int(p) >> 32, int(p) & 0xFFFFFFFF) for g, p in zip(small[0], small[1], strict=True)) == want
+def test_large_groups_are_counted_once(words):
+    groups = c.Groups(words, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    groups.a, groups.b = np.arange(300) % 7, np.arange(206) % 5
+    groups.in_a, groups.in_b, groups.unit = np.array([292, 8]), np.array([204, 2]), np.array([3, 3])
+    unit, pairs, times = groups.links()
+    assert len(pairs) == 35 + 16 and times.sum() == 292 * 204 + 16 and set(unit) == {3}
+    want = Counter((int(a), int(b)) for a in groups.a[:292] for b in groups.b[:204])
+    want.update((int(a), int(b)) for a in groups.a[292:] for b in groups.b[204:])
+    found = Counter()
+    for p, n in zip(pairs.tolist(), times.tolist(), strict=True):
+        found[p >> 32, p & 0xFFFFFFFF] += n
+    assert found == want
 
 
 def test_perfect_hash():
@@ -143,8 +148,10 @@ def test_the_cache_may_be_dropped(words, paths, monkeypatch):
     units = c.Units(*paths)
     for _ in range(2):
         for text in TEXTS:
+            if units.full():
+                units.clear()
             flat, counts = units.read([text])
-            assert units.sums[flat, 2].sum() == len(whole(words, text) or [])
+            assert units.in_b[flat].sum() == sum(len(b) for _, b in whole(words, text) or [])
             pairs, number = units.documents_with(flat, counts)
             assert {(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pairs} == {(a, b) for x, y in whole(words, text) or [] for a in x for b in y}
             assert (number == 1).all()
