@@ -161,15 +161,27 @@ def project(rows: DataFrame, n: int, sums: list[int], axes: np.ndarray) -> DataF
     return rows.mapInArrow(make, f"id {rows.schema['id'].dataType.simpleString()}, deviation decimal(38,0), whitened array<double>")
 
 
-def identity_error(scores: DataFrame, used: int) -> float:
+def identity_error(scores: DataFrame, n: int, used: int) -> float:
     """Largest absolute entry of the scores' covariance (divisor n, centred) minus the identity."""
-    pairs = [(i, j) for i in range(used) for j in range(i, used)]
-    if not pairs:
+    if not used:
         return 0.0
-    w = F.col("whitened")
-    covariances = [F.covar_pop(w[i], w[j]).alias(f"c{i}_{j}") for i, j in pairs]
-    found = scores.agg(*covariances).first()
-    return max(abs(v - (i == j)) for v, (i, j) in zip(found, pairs, strict=True))
+    size = used + 1
+
+    def products(batches: Iterator[pa.RecordBatch]):
+        total = np.zeros((size, size))
+        for batch in batches:
+            w = matrix(batch, "whitened")
+            w = np.hstack([np.ones((len(w), 1)), w[:, :used]])
+            total += w.T @ w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size), pa.int32()), pa.array(total.ravel())], names=["at", "total"])
+
+    sums = scores.select("whitened").mapInArrow(products, "at int, total double").groupBy("at").agg(F.sum("total").alias("total"))
+    total = np.zeros(size * size)
+    for row in sums.collect():
+        total[row["at"]] = row["total"]
+    total = total.reshape(size, size) / n
+    covariance = total[1:, 1:] - np.outer(total[0, 1:], total[0, 1:])
+    return float(np.abs(covariance - np.eye(used)).max())
 
 
 def whiten(df: DataFrame, vector: str = "embedding", key: str = "vec_id", count: int = COMPONENTS) -> DataFrame:
@@ -190,7 +202,7 @@ def whiten(df: DataFrame, vector: str = "embedding", key: str = "vec_id", count:
     scaled = axes / np.sqrt(np.where(real, values, 1.0))
     scores = materialize(project(rows, n, sums, scaled), "whitened")
     used = int(real.sum())
-    error = identity_error(scores, used)
+    error = identity_error(scores, n, used)
     explained = F.array(*[F.lit(float(v / trace) if trace > 0 else 0.0) for v in np.maximum(values, 0)] or [F.lit(0.0)])
     each = scores.select("id", "deviation", F.posexplode("whitened").alias("at", "score"))
     return each.select(
