@@ -1,17 +1,19 @@
 """Toxicity from a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Each word enters as two vectors: one of the word itself, and the mean of the vectors of its
-character pieces (beginnings, endings and inner runs). A gated recurrent layer reads a window of
-words in either direction, attention weighs its states, and a linear layer gives the window's logit.
-A text is scored by all its windows, half overlapping; the largest logit, calibrated, is its score.
+Each word enters as three vectors: one of the word itself, the mean of the vectors of its character
+pieces (beginnings, endings and inner runs), and the last state of a gated recurrent layer that reads its
+characters in order. A second such layer reads a window of words in either direction, attention weighs its
+states, and a linear layer gives the window's logit. A text is scored by all its windows, half
+overlapping; the largest logit, calibrated, is its score.
 
-Training takes a documented, bounded sample of the labelled rows (``MAX_PER_LABEL``, and
-``MAX_WINDOWS`` per text); the model sees text alone. In the first passes a window carries its
-text's label; then a toxic text is represented by its most toxic windows.
+Training takes a documented, bounded sample of the labelled rows (``MAX_PER_LABEL``) with all their
+windows; the model sees text alone. In the first passes a window carries its text's label; then a toxic
+text is represented by its most toxic windows. The driver holds the sampled texts as numbers of words.
 
 Null and empty texts have no window and score 0. Without labels of both kinds every score is 0.
-Repeated rows score alike, very long texts are read whole, an empty table gives an empty result.
-Labels that differ for one id count as toxic; other columns play no part.
+Repeated rows score alike, very long texts are read whole, a word beyond ``RUN`` bytes in runs of so many
+whose states are averaged. An empty table gives an empty result. Labels that differ for one id count as
+toxic. Columns of ``docs`` called held_out, score or predicted are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ from rotativa.llm.common import id_remainder, text_or_empty, worker_state
 
 WINDOW, STRIDE = 16, 8
 BUCKETS, WIDTH, HIDDEN = 1 << 16, 8, 8
-MAX_PER_LABEL, MAX_WINDOWS = 2000, 24
+RUN = 32
+MAX_PER_LABEL = 1000
 CALIBRATION_SHARE = 4  # one sampled text in so many is kept from training, for the calibration
 EPOCHS, BATCH, RATE, RARE = 5, 256, 0.03, 3
+WARM, CLEAR = 1, -4.0  # passes over all windows; the logit below which a clean text's window is learnt
 THRESHOLD = 0.7
 CACHED_WORDS = 1 << 18
 BATCH_WORDS = 120_000
@@ -49,6 +53,36 @@ def pieces(word: str) -> list[int]:
     return found or [crc32(w, 4)]
 
 
+def piece_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the pieces of all words in turn, and each word's number of pieces."""
+    counts = []
+
+    def each() -> Iterator[int]:
+        for word in words:
+            found = pieces(word)
+            counts.append(len(found))
+            yield from found
+
+    flat = np.fromiter(each(), np.int64) % BUCKETS
+    return flat.astype(np.int32), np.array(counts, np.int64)
+
+
+def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of words in runs as a matrix, longest first, how many runs have a byte at each place, and each run's word."""
+    runs, owner = [], []
+    for i, word in enumerate(words):
+        w = word.encode() or b" "
+        for at in range(0, len(w), RUN):
+            runs.append(w[at : at + RUN])
+            owner.append(i)
+    order = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
+    lengths = np.array([len(runs[i]) for i in order], np.int64)
+    real = np.arange(lengths.max(initial=0)) < lengths[:, None]
+    codes = np.zeros(real.shape, np.int64)
+    codes[real] = np.frombuffer(b"".join(map(runs.__getitem__, order)), np.uint8)
+    return codes, real.sum(axis=0), np.array(owner, np.int64)[order]
+
+
 def word_bucket(word: str) -> int:
     return crc32(word.encode(), 5) % BUCKETS
 
@@ -79,9 +113,9 @@ class Network:
         r = np.random.default_rng(seed)
         draw = lambda *shape: (r.standard_normal(shape) * 0.3).astype(np.float32)
         self.p = {"word": np.zeros((BUCKETS, WIDTH), np.float32), "char": np.zeros((BUCKETS, WIDTH), np.float32)}
-        for d in "fb":
-            self.p |= {f"W{d}": draw(2 * WIDTH, 3 * HIDDEN), f"U{d}": draw(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
-        self.p |= {"A": draw(2 * HIDDEN, HIDDEN), "v": draw(HIDDEN), "o": draw(2 * HIDDEN), "b": np.zeros(1, np.float32)}
+        for d, width in (("f", 3 * WIDTH), ("b", 3 * WIDTH), ("k", WIDTH)):
+            self.p |= {f"W{d}": draw(width, 3 * HIDDEN), f"U{d}": draw(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
+        self.p |= {"letter": draw(256, WIDTH), "A": draw(2 * HIDDEN, HIDDEN), "v": draw(HIDDEN), "o": draw(2 * HIDDEN), "b": np.zeros(1, np.float32)}
 
     @classmethod
     def of(cls, parameters: dict[str, np.ndarray]) -> Network:
@@ -91,34 +125,93 @@ class Network:
 
     def vectors(self, words: list[str]) -> np.ndarray:
         """Input vectors of words."""
-        parts = [pieces(w) for w in words]
-        counts = np.array([len(x) for x in parts], np.int64)
-        flat = np.fromiter(chain.from_iterable(parts), np.int64, counts.sum()) % BUCKETS
-        sums = np.add.reduceat(self.p["char"][flat], np.cumsum(counts) - counts) if len(words) else np.zeros((0, WIDTH), np.float32)
+        parts = [self._vectors(words[i : i + 8192]) for i in range(0, len(words), 8192)]
+        return np.vstack(parts) if parts else np.zeros((0, 3 * WIDTH), np.float32)
+
+    def _vectors(self, words: list[str]) -> np.ndarray:
+        flat, counts = piece_buckets(words)
+        sums = np.add.reduceat(self.p["char"][flat], np.cumsum(counts) - counts)
         own = self.p["word"][np.fromiter(map(word_bucket, words), np.int64, len(words))]
-        return np.hstack([own, sums / np.maximum(counts, 1)[:, None]]).astype(np.float32)
+        return np.hstack([own, sums / counts[:, None], self.spelled(words)[0]]).astype(np.float32)
+
+    def spelled(self, words: list[str], memory: dict | None = None):
+        """The state behind each word's last character, averaged over its runs, and the runs."""
+        codes, live, owner = runs = letters(words)
+        inputs = self.p["letter"] @ self.p["Wk"] + self.p["ck"]
+        last = np.zeros((len(codes), HIDDEN), np.float32)
+        for t, n in enumerate(live.tolist()):
+            before = last[:n].copy() if memory is not None else last[:n]
+            new, z, r, c, u = self.step("k", inputs[codes[:n, t]], before)
+            if memory is not None:
+                memory[t] = (before, z, r, c, u)
+            last[:n] = new
+        total = np.zeros((len(words), HIDDEN), np.float32)
+        np.add.at(total, owner, last)
+        return total / np.bincount(owner, minlength=len(words))[:, None], runs
+
+    def spelled_gradients(self, runs: tuple, memory: dict, d_words: np.ndarray) -> dict[str, np.ndarray]:
+        codes, live, owner = runs
+        carry = d_words[owner] / np.bincount(owner)[owner][:, None]
+        g_u, parts = np.zeros_like(self.p["Uk"]), []
+        for t in range(len(live) - 1, -1, -1):
+            n = live[t]
+            g, d_in, carry[:n] = self.step_gradients("k", memory[t], carry[:n])
+            g_u += g
+            parts.append(d_in)
+        at, flat = np.concatenate([codes[:n, t] for t, n in reversed(list(enumerate(live)))]), np.vstack(parts)
+        d_in = np.stack([np.bincount(at, flat[:, j], 256) for j in range(flat.shape[1])], axis=1).astype(flat.dtype)
+        return {"Uk": g_u, "Wk": self.p["letter"].T @ d_in, "ck": d_in.sum(axis=0), "letter": d_in @ self.p["Wk"].T}
 
     def step(self, d: str, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One step of the recurrent layer; ``x`` is already multiplied by the input weights."""
+        """One step of a recurrent layer; ``x`` is already multiplied by the input weights."""
         u = h @ self.p[f"U{d}"]
         gates = sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
         n = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
         return n + z * (h - n), z, r, n, u[:, 2 * HIDDEN :]
 
+    def step_gradients(self, d: str, kept: tuple[np.ndarray, ...], d_new: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Gradients of the recurrent weights, of the inputs and of the state before, from that of the state behind."""
+        h, z, r, n, u = kept
+        d_n = d_new * (1 - z) * (1 - n * n)
+        d_z = d_new * (h - n) * z * (1 - z)
+        d_r = d_n * u * r * (1 - r)
+        d_u = np.hstack([d_z, d_r, d_n * r])
+        return h.T @ d_u, np.hstack([d_z, d_r, d_n]), d_new * z + d_u @ self.p[f"U{d}"].T
+
+    def scan(self, d: str, inputs: np.ndarray, ids: np.ndarray, real: np.ndarray, memory: dict | None = None) -> np.ndarray:
+        """States of a layer over rows of ``ids``, which number rows of ``inputs``; a cell that isn't real keeps the state."""
+        count, steps = ids.shape
+        states, full = np.zeros((count, steps, HIDDEN), np.float32), real.all()
+        h = np.zeros((count, HIDDEN), np.float32)
+        for t in range(steps - 1, -1, -1) if d == "b" else range(steps):
+            new, z, r, n, u = self.step(d, inputs[ids[:, t]], h)
+            if memory is not None:
+                memory[t] = (h, z, r, n, u)
+            h = new if full else np.where(real[:, t : t + 1], new, h)
+            states[:, t] = h
+        return states
+
+    def unscan(self, d: str, memory: dict, ids: np.ndarray, real: np.ndarray, d_states: np.ndarray, size: int):
+        """Gradients of the recurrent weights and of the ``size`` rows of the inputs."""
+        count, steps = ids.shape
+        g_u, carry, parts = np.zeros_like(self.p[f"U{d}"]), np.zeros((count, HIDDEN), np.float32), []
+        order = range(steps) if d == "b" else range(steps - 1, -1, -1)
+        for t in order:
+            there = real[:, t : t + 1]
+            total = d_states[:, t] + carry
+            g, d_in, before = self.step_gradients(d, memory[t], total * there)
+            g_u += g
+            carry = before + total * ~there
+            parts.append(d_in)
+        at, flat = np.concatenate([ids[:, t] for t in order]), np.vstack(parts)
+        d_in = np.stack([np.bincount(at, flat[:, j], size) for j in range(flat.shape[1])], axis=1)
+        return g_u, d_in.astype(flat.dtype)
+
     def run(self, inputs: dict[str, np.ndarray], ids: np.ndarray, real: np.ndarray, keep: bool = False):
         """Logits of windows; ``inputs`` holds each word's products with the input weights per direction."""
-        count, steps = ids.shape
-        states = np.zeros((count, steps, 2 * HIDDEN), np.float32)
-        full, memory = real.all(), {"f": {}, "b": {}}
-        for d, side in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
-            h = np.zeros((count, HIDDEN), np.float32)
-            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                new, z, r, n, u = self.step(d, inputs[d][ids[:, t]], h)
-                if keep:
-                    memory[d][t] = (h, z, r, n, u)
-                h = new if full else np.where(real[:, t : t + 1], new, h)
-                states[:, t, side] = h
+        memory = {"f": {}, "b": {}} if keep else {"f": None, "b": None}
+        states = np.concatenate([self.scan(d, inputs[d], ids, real, memory[d]) for d in "fb"], axis=2)
         k = np.tanh(states @ self.p["A"])
         weigh = np.where(real, k @ self.p["v"], -1e9)
         weigh = np.exp(weigh - weigh.max(axis=1, keepdims=True))
@@ -132,8 +225,7 @@ class Network:
         p = self.p
         inputs = {d: vectors @ p[f"W{d}"] + p[f"c{d}"] for d in "fb"}
         logits, states, memory, k, weigh, pooled = self.run(inputs, ids, real, keep=True)
-        count, steps = ids.shape
-        e = ((sigmoid(logits) - label) / count).astype(np.float32)
+        e = ((sigmoid(logits) - label) / len(ids)).astype(np.float32)
         g = {"o": pooled.T @ e, "b": e.sum(keepdims=True)}
         d_pooled = e[:, None] * p["o"]
         d_states = weigh[:, :, None] * d_pooled[:, None, :]
@@ -145,51 +237,38 @@ class Network:
         d_states += d_k @ p["A"].T
         d_vectors = np.zeros_like(vectors)
         for d, side in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
-            d_in = np.zeros((len(vectors), 3 * HIDDEN), np.float32)
-            g[f"U{d}"] = np.zeros_like(p[f"U{d}"])
-            carry = np.zeros((count, HIDDEN), np.float32)
-            for t in range(steps - 1, -1, -1) if d == "f" else range(steps):
-                h, z, r, n, u = memory[d][t]
-                there = real[:, t : t + 1]
-                total = d_states[:, t, side] + carry
-                d_new = total * there
-                d_n = d_new * (1 - z) * (1 - n * n)
-                d_z = d_new * (h - n) * z * (1 - z)
-                d_r = d_n * u * r * (1 - r)
-                d_u = np.hstack([d_z, d_r, d_n * r])
-                g[f"U{d}"] += h.T @ d_u
-                carry = d_new * z + d_u @ p[f"U{d}"].T + total * ~there
-                np.add.at(d_in, ids[:, t], np.hstack([d_z, d_r, d_n]))
+            g[f"U{d}"], d_in = self.unscan(d, memory[d], ids, real, d_states[:, :, side], len(vectors))
             g[f"W{d}"] = vectors.T @ d_in
             g[f"c{d}"] = d_in.sum(axis=0)
             d_vectors += d_in @ p[f"W{d}"].T
         return g, d_vectors
 
 
-def padded(windows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows as a matrix of word numbers, and which of its cells are words."""
-    lengths = np.array([len(w) for w in windows])
-    real = np.arange(WINDOW) < lengths[:, None]
-    ids = np.zeros(real.shape, np.int64)
-    ids[real] = np.fromiter((i for w in windows for i in w), np.int64, lengths.sum())
-    return ids, real
+def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of so many words: the text of each window, its words' numbers within all words, and which of them are real."""
+    starts = [window_starts(n) for n in lengths]
+    owner = np.repeat(np.arange(len(lengths)), list(map(len, starts)))
+    inside = np.fromiter(chain.from_iterable(starts), np.int64, len(owner))
+    real = np.arange(WINDOW) < (lengths[owner] - inside)[:, None]
+    at = (np.cumsum(lengths) - lengths)[owner] + inside
+    return owner, np.minimum(at[:, None] + np.arange(WINDOW), max(0, lengths.sum() - 1)), real
 
 
-def train(texts: list[list[list[str]]], labels: list[int], seed: int = 7) -> Network:
-    """Fit a network on texts given as windows of words."""
+def train(texts: list[list[str]], labels: list[int], seed: int = 7) -> Network:
+    """Fit a network on texts given as words."""
     net, r = Network(seed), np.random.default_rng(seed)
-    number = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for win in t for w in win))}
-    windows = [[number[w] for w in win] for t in texts for win in t]
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    ids, real = padded(windows)
+    number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(texts)))}
+    words, lengths = list(number), np.array(list(map(len, texts)), np.int64)
+    flat_words = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int32, lengths.sum())
+    owner, at, real = windows_of(lengths)
+    ids = flat_words[at]
     label = np.array(labels, np.float32)[owner]
-    parts = [pieces(w) for w in number]
-    counts = np.array([len(x) for x in parts])
-    flat = np.fromiter(chain.from_iterable(parts), np.int64, counts.sum()) % BUCKETS
-    starts, own = np.cumsum(counts) - counts, np.fromiter(map(word_bucket, number), np.int64, len(number))
+    flat, counts = piece_buckets(words)
+    del at
+    starts, own = np.cumsum(counts) - counts, np.fromiter(map(word_bucket, words), np.int64, len(words))
     # A bucket that few texts touch would only learn those texts by heart.
-    seen = np.unique(np.stack([np.repeat(owner, real.sum(axis=1)), ids[real]]), axis=1)
-    in_texts = np.bincount(seen[1], minlength=len(number))
+    seen = np.unique(np.repeat(np.arange(len(texts)), lengths) * len(words) + flat_words)
+    in_texts = np.bincount(seen % len(words), minlength=len(words))
     usual = {
         "word": np.bincount(own, in_texts, BUCKETS) >= RARE,
         "char": np.bincount(flat, np.repeat(in_texts, counts), BUCKETS) >= RARE,
@@ -199,33 +278,37 @@ def train(texts: list[list[list[str]]], labels: list[int], seed: int = 7) -> Net
     squares = {k: np.full_like(v, 1e-6) for k, v in net.p.items()}
 
     def use(rows: np.ndarray) -> None:
-        words, at = np.unique(ids[rows], return_inverse=True)
-        vectors = np.hstack([net.p["word"][own[words]], np.stack([np.zeros(WIDTH, np.float32)] * len(words))])
-        spans = [np.arange(starts[w], starts[w] + counts[w]) for w in words]
-        touched = flat[np.concatenate(spans)]
-        n = counts[words]
-        vectors[:, WIDTH:] = np.add.reduceat(net.p["char"][touched], np.cumsum(n) - n) / n[:, None]
-        g, d_vectors = net.gradients(vectors.astype(np.float32), at.reshape(len(rows), WINDOW), real[rows], label[rows])
+        used, back = np.unique(ids[rows], return_inverse=True)
+        n = counts[used]
+        begin = np.cumsum(n) - n
+        touched = flat[np.repeat(starts[used] - begin, n) + np.arange(n.sum())]
+        memory: dict = {}
+        read, runs = net.spelled([words[i] for i in used.tolist()], memory)
+        vectors = np.hstack([net.p["word"][own[used]], np.add.reduceat(net.p["char"][touched], begin) / n[:, None], read])
+        g, d_vectors = net.gradients(vectors.astype(np.float32), back.reshape(len(rows), WINDOW), real[rows], label[rows])
+        g |= net.spelled_gradients(runs, memory, d_vectors[:, 2 * WIDTH :])
         for k, grad in g.items():
             squares[k] += grad * grad
             net.p[k] -= RATE * grad / np.sqrt(squares[k])
-        for name, index, grad in (("word", own[words], d_vectors[:, :WIDTH]), ("char", touched, np.repeat(d_vectors[:, WIDTH:] / n[:, None], n, axis=0))):
+        d_word, d_char = d_vectors[:, :WIDTH], d_vectors[:, WIDTH : 2 * WIDTH]
+        for name, index, grad in (("word", own[used], d_word), ("char", touched, np.repeat(d_char / n[:, None], n, axis=0))):
             rows_, inverse = np.unique(index, return_inverse=True)
             total = np.stack([np.bincount(inverse, grad[:, j], len(rows_)) for j in range(WIDTH)], axis=1).astype(np.float32)
             total *= usual[name][rows_][:, None]
             squares[name][rows_] += total * total
             net.p[name][rows_] -= RATE * total / np.sqrt(squares[name][rows_])
 
-    rows = np.arange(len(windows))
+    rows = np.arange(len(ids))
     for epoch in range(EPOCHS):
-        if epoch >= 2:
-            # Of a toxic text, only the windows that look toxic by now.
-            vectors = net.vectors(list(number))
+        if epoch >= WARM:
+            # Of a toxic text, only the windows that look toxic by now; of the others, those that aren't
+            # clearly clean, since the rest would move nothing.
+            vectors = net.vectors(words)
             inputs = {d: vectors @ net.p[f"W{d}"] + net.p[f"c{d}"] for d in "fb"}
-            logits = np.concatenate([net.run(inputs, ids[i : i + 8192], real[i : i + 8192]) for i in range(0, len(ids), 8192)])
+            logits = np.concatenate([net.run(inputs, ids[i : i + 4096], real[i : i + 4096]) for i in range(0, len(ids), 4096)])
             best = np.full(len(texts), -np.inf)
             np.maximum.at(best, owner, logits)
-            rows = np.flatnonzero((label == 0) | (logits >= best[owner] - 1))
+            rows = np.flatnonzero(np.where(label == 0, logits > CLEAR, logits >= best[owner] - 1))
         order = r.permutation(rows)
         for i in range(0, len(order), BATCH):
             use(order[i : i + BATCH])
@@ -267,19 +350,12 @@ class Scorer:
         row = self.kept["row"]
         flat = np.fromiter(map(row.__getitem__, chain.from_iterable(words)), np.int64)
         lengths = np.array([len(ws) for ws in words])
-        starts = [window_starts(n) for n in lengths]
-        owner = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
+        owner, at, real = windows_of(lengths)
         result = np.full(len(texts), -np.inf)
-        if not len(owner):
-            return result
-        inside = np.fromiter(chain.from_iterable(starts), np.int64, len(owner))
-        size = np.minimum(lengths[owner] - inside, WINDOW)
-        real = np.arange(WINDOW) < size[:, None]
-        at = (np.cumsum(lengths) - lengths)[owner] + inside
-        ids = flat[np.minimum(at[:, None] + np.arange(WINDOW), len(flat) - 1)]
         inputs = {"f": self.kept["x"][:, : 3 * HIDDEN], "b": self.kept["x"][:, 3 * HIDDEN :]}
-        for i in range(0, len(ids), 8192):
-            np.maximum.at(result, owner[i : i + 8192], self.net.run(inputs, ids[i : i + 8192], real[i : i + 8192]))
+        for i in range(0, len(owner), 8192):
+            some = slice(i, i + 8192)
+            np.maximum.at(result, owner[some], self.net.run(inputs, flat[at[some]], real[some]))
         return result
 
 
@@ -290,26 +366,22 @@ def sampled_ids(labels: DataFrame, learn_from: Column) -> DataFrame:
     return some[0].unionAll(some[1])
 
 
-def sample_windows(docs: DataFrame, ids: DataFrame, text: str = "text") -> list[tuple[int, int, list[list[str]]]]:
-    """(doc_id, toxic, windows), at most ``MAX_WINDOWS`` evenly spread windows of each sampled text."""
-
-    def cut(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            rows = []
-            for value in batch.column("text"):
-                words = split_words(value.as_py())
-                starts = window_starts(len(words))
-                kept = sorted({starts[i * len(starts) // MAX_WINDOWS] for i in range(MAX_WINDOWS)}) if starts else []
-                rows.append([b" ".join(words[i : i + WINDOW]).decode() for i in kept])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "toxic", "windows"]
-            )
-
-    # At most 2 * MAX_PER_LABEL ids, so they may be broadcast; so many texts' windows come back.
+def sample_texts(docs: DataFrame, ids: DataFrame, text: str = "text") -> list[tuple[int, int, list[str]]]:
+    """(doc_id, toxic, words) of the sampled texts, whole. Equal words of all texts are one object."""
+    # At most 2 * MAX_PER_LABEL ids, so they may be broadcast; so many texts come back.
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty(text).alias("text")).join(F.broadcast(ids), "doc_id")
-    one = chosen.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(cut, "doc_id bigint, toxic int, windows array<string>")
-    rows = one.groupBy("doc_id", "toxic").agg(F.min("windows").alias("windows")).filter("size(windows) > 0").collect()
-    return [(r["doc_id"], r["toxic"], [[bare(w) for w in win.encode().split()] for win in r["windows"]]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    rows = chosen.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
+    known: dict[bytes, str] = {}
+    found = []
+    for doc, toxic, value in zip(rows["doc_id"], rows["toxic"], rows["text"], strict=True):
+        words = []
+        for w in split_words(value.as_py()):
+            if w not in known:
+                known[w] = bare(w)
+            words.append(known[w])
+        if words:
+            found.append((doc.as_py(), int(toxic.as_py()), words))
+    return found
 
 
 def calibrate(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -350,14 +422,16 @@ def with_logits(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "text") -> tuple[Network, float, float] | None:
     """Network, slope and shift; None without labels of both kinds."""
-    sample = sample_windows(docs, sampled_ids(labels, learn_from), text)
+    sample = sample_texts(docs, sampled_ids(labels, learn_from), text)
     held = {d for d, _, _ in sample if crc32(str(d).encode(), 9) % CALIBRATION_SHARE == 0}
     learned = [s for s in sample if s[0] not in held]
     if len({t for _, t, _ in learned}) < 2:
         return None
     net = train([w for _, _, w in learned], [t for _, t, _ in learned])
+    kinds = [(d, t) for d, t, _ in sample]
+    del sample, learned
     spark = docs.sparkSession
-    some = [(d, t) for d, t, _ in sample if d in held] or [(d, t) for d, t, _ in learned]
+    some = [(d, t) for d, t in kinds if d in held] or kinds
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text)).join(F.broadcast(spark.createDataFrame(some, "doc_id bigint, toxic int")), "doc_id")
     rows = with_logits(chosen.select("doc_id", "toxic", text), net, text).select("row.toxic", "logit").filter("logit IS NOT NULL").collect()
     if len({r["toxic"] for r in rows}) < 2:

@@ -12,7 +12,7 @@ def test_gradients_match_differences():
     r = np.random.default_rng(0)
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    vectors = r.standard_normal((20, 2 * toxicity.WIDTH))
+    vectors = r.standard_normal((20, 3 * toxicity.WIDTH))
     ids = r.integers(0, 20, (5, toxicity.WINDOW))
     real = np.arange(toxicity.WINDOW) < np.array([toxicity.WINDOW, 3, toxicity.WINDOW, 9, 1])[:, None]
     label = np.array([1, 0, 1, 1, 0.0])
@@ -34,6 +34,82 @@ def test_gradients_match_differences():
         assert np.reshape(grad, -1)[i] == pytest.approx((above - below) / 2e-4, abs=2e-5), name
 
 
+def test_letter_gradients_match_differences():
+    r = np.random.default_rng(0)
+    net = toxicity.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    words = ["a", "bc", "word", "x" * 70, "año", "y" * toxicity.RUN]
+    weigh = r.standard_normal((len(words), toxicity.HIDDEN))
+    memory = {}
+    _, runs = net.spelled(words, memory)
+    g = net.spelled_gradients(runs, memory, weigh)
+    for name, grad in g.items():
+        array = net.p[name]
+        for i in [np.abs(grad).argmax(), *r.integers(array.size, size=2)]:
+            flat, kept = array.reshape(-1), array.reshape(-1)[i]
+            flat[i] = kept + 1e-3
+            above = (net.spelled(words)[0] * weigh).sum()
+            flat[i] = kept - 1e-3
+            below = (net.spelled(words)[0] * weigh).sum()
+            flat[i] = kept
+            assert grad.reshape(-1)[i] == pytest.approx((above - below) / 2e-3, abs=2e-3), name
+
+
+def plain_logit(net, words):
+    """The largest logit of a text's windows, one number at a time."""
+    p, size = net.p, toxicity.HIDDEN
+
+    def layer(d, x, h):
+        a = [sum(x[i] * p[f"W{d}"][i][j] for i in range(len(x))) + p[f"c{d}"][j] for j in range(3 * size)]
+        u = [sum(h[i] * p[f"U{d}"][i][j] for i in range(size)) for j in range(3 * size)]
+        z, t = ([1 / (1 + np.exp(-a[o + j] - u[o + j])) for j in range(size)] for o in (0, size))
+        n = [np.tanh(a[2 * size + j] + t[j] * u[2 * size + j]) for j in range(size)]
+        return [(1 - z[j]) * n[j] + z[j] * h[j] for j in range(size)]
+
+    def vector(word):
+        found = toxicity.pieces(word)
+        mean = [sum(p["char"][f % toxicity.BUCKETS][j] for f in found) / len(found) for j in range(toxicity.WIDTH)]
+        data, ends = word.encode() or b" ", []
+        for at in range(0, len(data), toxicity.RUN):
+            h = [0.0] * size
+            for c in data[at : at + toxicity.RUN]:
+                h = layer("k", list(p["letter"][c]), h)
+            ends.append(h)
+        return [*p["word"][toxicity.word_bucket(word)], *mean, *(sum(e[j] for e in ends) / len(ends) for j in range(size))]
+
+    best = -np.inf
+    for start in toxicity.window_starts(len(words)):
+        window = [vector(w) for w in words[start : start + toxicity.WINDOW]]
+        states = {}
+        for d, order in (("f", range(len(window))), ("b", range(len(window) - 1, -1, -1))):
+            h = [0.0] * size
+            for t in order:
+                states[d, t] = h = layer(d, window[t], h)
+        joined = [[*states["f", t], *states["b", t]] for t in range(len(window))]
+        keys = [np.tanh([sum(s[i] * p["A"][i][j] for i in range(2 * size)) for j in range(size)]) for s in joined]
+        weigh = np.exp([sum(k[j] * p["v"][j] for j in range(size)) for k in keys])
+        pooled = [sum(w * s[i] for w, s in zip(weigh, joined, strict=True)) / sum(weigh) for i in range(2 * size)]
+        best = max(best, sum(pooled[i] * p["o"][i] for i in range(2 * size)) + p["b"][0])
+    return best
+
+
+def test_scores_match_plain_loops():
+    r = np.random.default_rng(4)
+    net = toxicity.Network()
+    for name, value in net.p.items():
+        net.p[name] = value + (r.standard_normal(value.shape) * 0.2).astype(np.float32)
+    texts = ["one", "Some (short) text, año!", " ".join(f"w{i}" for i in range(16)), " ".join(f"w{i % 11}x" for i in range(37)), "z" * 80 + " end", "", None]
+    found = toxicity.Scorer(net, "plain")(texts)
+    for text, logit in zip(texts, found, strict=True):
+        words = [toxicity.bare(w) for w in toxicity.split_words(text)]
+        assert logit == pytest.approx(plain_logit(net, words), abs=1e-4) if words else logit == -np.inf
+
+
+def test_order_of_characters_counts():
+    net = toxicity.Network()
+    assert np.abs(net.spelled(["abcd"])[0] - net.spelled(["dcba"])[0]).max() > 1e-3
+
+
 def test_windows_cover_every_word():
     for n in range(1, 80):
         starts = toxicity.window_starts(n)
@@ -75,7 +151,7 @@ def test_held_out_labels_are_not_read(labelled):
 
 def test_scores_do_not_depend_on_the_batch(labelled):
     texts = [r["text"] for r in labelled.limit(40).collect()]
-    net = toxicity.train([[t.split()[:16]] for t in texts], [i % 2 for i in range(40)])
+    net = toxicity.train([t.split() for t in texts], [i % 2 for i in range(40)])
     one = toxicity.Scorer(net, "one")
     together = one(texts)
     assert np.allclose([one([t])[0] for t in texts], together, atol=1e-5)
