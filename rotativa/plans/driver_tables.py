@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rotativa.constants import MONTHS_ES
+from rotativa.operators.questions import Question
 
 FIRST_DAY = "2024-12-30"
 SITE = "https://www.example.com"
@@ -126,6 +127,37 @@ def spanish_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", text.alias("texto_fecha"))
 
 
+def market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a daily close: their mean price on working days."""
+    priced = table(spark, sf_dir, "orders").groupBy(_day("o_orderkey").alias("fecha")).agg(F.round(F.avg("o_totalprice"), 4).alias("cierre"))
+    return priced.filter(~F.dayofweek("fecha").isin(1, 7))
+
+
+def daily_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles and their mean length per day."""
+    return news(spark, sf_dir).groupBy("fecha").agg(F.count(F.lit(1)).alias("n_noticias"), F.avg(F.length("contenido")).alias("largo"))
+
+
+# Questions that the stand-in answers below belong to.
+BANK = (
+    Question("tendencia", "choice", "{diario} {fecha}: {titulo}", ("alcista", "bajista")),
+    Question("sube", "number", "{fecha}: {titulo}"),
+    Question("mineria", "impact", "{titulo}", high=3.0),
+    Question("exterior", "flag", "{seccion}"),
+)
+
+
+def question_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with a made answer to every question of the bank, some of them wrong, missing or unreadable."""
+    n = F.col("doc_id")
+    trend = F.when(n % 4 == 0, " Alcista").when(n % 4 == 1, "bajista").when(n % 4 == 2, "lateral")
+    impact = F.concat(F.when(n % 2 == 0, "+").otherwise("-"), (n % 6).cast("string"))
+    abroad = F.when(n % 3 == 0, "SI").when(n % 3 == 1, "no").otherwise("tal vez")
+    answer = F.to_json(F.struct(trend.alias("tendencia"), (F.length("contenido") % 130).alias("sube"), impact.alias("mineria"), abroad.alias("exterior")))
+    response = F.when(n % 17 == 0, "sin respuesta").otherwise(answer)
+    return news(spark, sf_dir).select("doc_id", "diario", "fecha", "seccion", "titulo", response.alias("response"))
+
+
 def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One feed document per event, with one item."""
     entries = entries_of(table(spark, sf_dir, "events"))

@@ -98,6 +98,86 @@ parts AS (
 SELECT {keys}, count(*) AS count_noticias, i::BIGINT AS i, round(avg(x), 6) AS x FROM parts GROUP BY {keys}, i"""
 
 
+def _unit_terms(rows: str) -> str:
+    """Unit tf-idf weights of the terms of ``rows`` (node, text)."""
+    return f"""
+words AS (SELECT node, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {rows}),
+counted AS (SELECT node, term, count(*) AS tf FROM words GROUP BY ALL),
+often AS (SELECT term, count(*) AS df FROM counted GROUP BY ALL),
+raw AS (
+  SELECT node, term, (1 + ln(tf)) * (1 + ln((1 + (SELECT count(*) FROM {rows})) / (1 + df)::DOUBLE)) AS w
+  FROM counted JOIN often USING (term)),
+unit AS MATERIALIZED (SELECT node, term, w / sqrt(sum(w * w) OVER (PARTITION BY node)) AS w FROM raw)"""
+
+
+def _hashed_terms(rows: str, dims: int) -> str:
+    """Unit vectors (node, at, x) of hashed terms, without zeros."""
+    return f"""{_unit_terms(rows)},
+hashed AS (
+  SELECT node, ('0x' || substr(md5(term), 1, 8))::BIGINT % {dims} AS place, sum(CASE WHEN substr(md5(term), 9, 1) < '8' THEN w ELSE -w END) AS x
+  FROM unit GROUP BY ALL),
+vectors AS MATERIALIZED (SELECT node, place, x / sqrt(sum(x * x) OVER (PARTITION BY node)) AS x FROM hashed)"""
+
+
+_DETECTED = f"""
+{_NEWS},
+triples AS (
+  SELECT doc_id, seccion, unnest(flatten([[substr(w, i, 3) FOR i IN range(1, length(w) - 1)] FOR w IN
+    ['_' || v || '_' FOR v IN regexp_extract_all(lower(coalesce(contenido, '')), '\\p{{L}}+')]])) AS triple
+  FROM news),
+known AS (
+  SELECT seccion AS language, triple, 301 - row_number() OVER (PARTITION BY seccion ORDER BY count(*) DESC, triple) AS gain
+  FROM triples WHERE doc_id % 3 <> 1 AND seccion IS NOT NULL GROUP BY seccion, triple QUALIFY gain > 0),
+gains AS (SELECT doc_id, language, sum(gain) AS gain FROM triples JOIN known USING (triple) GROUP BY ALL),
+best AS (SELECT doc_id, language FROM gains QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY gain DESC, language) = 1),
+detected AS (SELECT doc_id, fecha, language AS idioma FROM news LEFT JOIN best USING (doc_id))"""
+
+
+_TARGET = f"""
+{_NEWS},
+market AS (
+  SELECT DATE '2024-12-30' + CAST(o_orderkey % 124 AS INT) AS fecha, round(avg(o_totalprice), 4) AS cierre FROM orders GROUP BY 1
+  HAVING dayofweek(DATE '2024-12-30' + CAST(o_orderkey % 124 AS INT)) NOT IN (0, 6)),
+daily AS (SELECT fecha, count(*) AS n_noticias, avg(length(contenido)) AS largo FROM news GROUP BY fecha),
+target AS (
+  SELECT d.*, p.cierre AS cierre_previo, q.cierre AS cierre_siguiente FROM daily d
+  ASOF LEFT JOIN market p ON d.fecha >= p.fecha ASOF LEFT JOIN market q ON d.fecha < q.fecha)"""
+
+
+def _ridge(rows: str, by: str) -> str:
+    """Penalised least squares of y on x and z per group, written out for two features."""
+    return f"""
+means AS (SELECT {by}, count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my FROM {rows} GROUP BY {by}),
+moments AS (
+  SELECT {by}, sum((x - mx) * (x - mx)) + 1 AS xx, sum((z - mz) * (z - mz)) + 1 AS zz, sum((x - mx) * (z - mz)) AS xz,
+         sum((x - mx) * (y - my)) AS xy, sum((z - mz) * (y - my)) AS zy
+  FROM {rows} JOIN means USING ({by}) GROUP BY {by}),
+slopes AS (SELECT {by}, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM moments),
+fitted AS (SELECT {by}, n, my, bx, bz, my - bx * mx - bz * mz AS b0 FROM means JOIN slopes USING ({by}))"""
+
+
+_ASKED = f"""
+{_NEWS},
+given AS (
+  SELECT doc_id, fecha, doc_id % 17 = 0 AS unread,
+         CASE doc_id % 4 WHEN 0 THEN 'alcista' WHEN 1 THEN 'bajista' END AS trend, doc_id % 4 = 3 AS no_trend,
+         length(contenido) % 130 AS sube, (doc_id % 6) * (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END) AS impact, doc_id % 3 AS abroad
+  FROM news),
+answers AS (
+  SELECT doc_id, fecha, 'tendencia' AS question, 'choice' AS kind, NULL::DOUBLE AS value, CASE WHEN NOT unread THEN trend END AS label,
+         CASE WHEN unread THEN 'unreadable' WHEN no_trend THEN 'missing' WHEN trend IS NULL THEN 'type' END AS violation FROM given
+  UNION ALL
+  SELECT doc_id, fecha, 'sube', 'number', CASE WHEN NOT unread AND sube <= 100 THEN sube END, NULL,
+         CASE WHEN unread THEN 'unreadable' WHEN sube > 100 THEN 'range' END FROM given
+  UNION ALL
+  SELECT doc_id, fecha, 'mineria', 'impact', CASE WHEN NOT unread AND abs(impact) <= 3 THEN impact END,
+         CASE WHEN NOT unread AND abs(impact) <= 3 THEN CASE sign(impact) WHEN 1 THEN 'positivo' WHEN -1 THEN 'negativo' ELSE 'neutro' END END,
+         CASE WHEN unread THEN 'unreadable' WHEN abs(impact) > 3 THEN 'range' END FROM given
+  UNION ALL
+  SELECT doc_id, fecha, 'exterior', 'flag', CASE WHEN NOT unread THEN CASE abroad WHEN 0 THEN 1 WHEN 1 THEN 0 END END, NULL,
+         CASE WHEN unread THEN 'unreadable' WHEN abroad = 2 THEN 'type' END FROM given)"""
+
+
 _ANSWERED = """
 answered AS (
   SELECT n.*, l.quality, l.toxic, l.quality = 1 AS good FROM news n LEFT JOIN labels l USING (doc_id))"""
@@ -463,6 +543,88 @@ means AS (SELECT fecha_dia, i, avg(x) AS x FROM parts GROUP BY 1, 2),
 days AS (SELECT fecha_dia, list(x ORDER BY i) AS v FROM means GROUP BY 1)
 SELECT a.fecha_dia AS fecha_dia_a, b.fecha_dia AS fecha_dia_b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine
 FROM days a, days b""",
+    "q_near_articles": f"""
+WITH RECURSIVE texts AS (SELECT text, min(doc_id) AS node FROM documents GROUP BY text), {_unit_terms("texts")},
+links AS (
+  SELECT a.node AS a, b.node AS b FROM unit a JOIN unit b ON a.term = b.term AND a.node < b.node
+  GROUP BY ALL HAVING sum(a.w * b.w) >= 0.75),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT node AS a, node AS b FROM unit UNION SELECT r.a, l.b FROM reach r JOIN ends l ON r.b = l.a),
+classes AS (SELECT a AS node, min(b) AS class_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, class_id IS NULL OR class_id = doc_id AS kept,
+       CASE WHEN class_id IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY class_id) END AS members
+FROM documents d JOIN texts t ON d.text IS NOT DISTINCT FROM t.text LEFT JOIN classes USING (node)""",
+    "q_term_vectors": f"""
+WITH {_NEWS}, titles AS (SELECT doc_id AS node, titulo AS text FROM news), {_hashed_terms("titles", 64)},
+places AS (SELECT node, unnest(range(64)) AS place FROM (SELECT DISTINCT node FROM vectors WHERE x IS NOT NULL))
+SELECT node AS doc_id, place AS i, round(coalesce(x, 0), 6) AS x FROM places LEFT JOIN vectors USING (node, place)""",
+    "q_similar_articles": f"""
+WITH articles AS (SELECT doc_id AS node, text FROM documents), {_hashed_terms("articles", 256)},
+cosines AS (
+  SELECT q.node AS query_id, v.node AS doc_id, round(sum(q.x * v.x), 9) AS cosine FROM vectors q JOIN vectors v ON q.place = v.place AND q.node <> v.node
+  WHERE q.node % 50 = 0 GROUP BY ALL HAVING cosine >= 0.65)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank, doc_id, round(cosine, 6) AS cosine
+FROM cosines QUALIFY rank <= 10""",
+    "q_similar_days": f"""
+WITH {_VECTORS},
+parts AS (SELECT fecha_dia, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM vectors),
+means AS (SELECT fecha_dia, i, avg(x) AS x FROM parts GROUP BY 1, 2),
+days AS (SELECT fecha_dia, list(x ORDER BY i) AS v FROM means GROUP BY 1),
+cosines AS (
+  SELECT a.fecha_dia, b.fecha_dia AS other, round(list_cosine_similarity(a.v, b.v), 9) AS cosine FROM days a JOIN days b ON a.fecha_dia <> b.fecha_dia)
+SELECT fecha_dia, row_number() OVER (PARTITION BY fecha_dia ORDER BY cosine DESC, other) AS rank, other, round(cosine, 6) AS cosine
+FROM cosines QUALIFY rank <= 5""",
+    "q_language": f"WITH {_DETECTED} SELECT doc_id, idioma FROM detected",
+    "q_language_days": f"""
+WITH {_DETECTED}
+SELECT CAST(fecha AS VARCHAR) AS fecha, idioma, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY fecha), 9) AS share
+FROM detected GROUP BY fecha, idioma""",
+    "q_next_traded": f"""
+WITH {_TARGET}
+SELECT CAST(fecha AS VARCHAR) AS fecha, n_noticias, cierre_previo, cierre_siguiente, round(cierre_siguiente / cierre_previo - 1, 9) AS retorno
+FROM target""",
+    "q_next_day_ridge": f"""
+WITH {_TARGET},
+usable AS (SELECT 1 AS g, n_noticias::DOUBLE AS x, largo AS z, cierre_siguiente AS y FROM target WHERE cierre_siguiente IS NOT NULL AND largo IS NOT NULL),
+{_ridge("usable", "g")}
+SELECT n, unnest(['n_noticias', 'largo', 'intercept']) AS term, round(unnest([bx, bz, b0]), 6) AS coefficient FROM fitted""",
+    "q_next_day_folds": f"""
+WITH {_TARGET},
+placed AS (SELECT *, ((row_number() OVER (ORDER BY fecha) - 1) * 4) // (count(*) OVER ()) AS stretch FROM target),
+folds AS (
+  SELECT fold, stretch < fold AS learnt, n_noticias::DOUBLE AS x, largo AS z, cierre_siguiente AS y
+  FROM placed, (SELECT unnest([1, 2, 3]) AS fold) WHERE stretch <= fold AND cierre_siguiente IS NOT NULL AND largo IS NOT NULL),
+known AS (SELECT fold, x, z, y FROM folds WHERE learnt),
+{_ridge("known", "fold")}
+SELECT fold::BIGINT AS fold, any_value(n) AS n_aprende, count(*) AS n_prueba, round(sqrt(avg((y - b0 - bx * x - bz * z) ** 2)), 6) AS error,
+       round(sqrt(avg((y - my) ** 2)), 6) AS error_base
+FROM folds JOIN fitted USING (fold) WHERE NOT learnt GROUP BY fold""",
+    "q_axis_correlations": f"""
+WITH axes AS ({_pca("fecha_dia", "fecha_dia, count_noticias")}),
+shares AS (SELECT CAST(label AS BIGINT) AS fecha_dia, avg(CASE WHEN vec_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END) AS politica FROM embeddings GROUP BY 1),
+days AS (SELECT * FROM axes JOIN shares USING (fecha_dia)),
+pairs AS (
+  SELECT lag, x.count_noticias::DOUBLE AS count_noticias, x.politica, y.pc1, y.pc2
+  FROM days x CROSS JOIN (SELECT unnest([0, 1, 2]) AS lag) JOIN days y ON y.fecha_dia = x.fecha_dia + lag),
+found AS (
+  SELECT 'count_noticias' AS a, 'pc1' AS b, lag, count_noticias AS u, pc1 AS v FROM pairs UNION ALL
+  SELECT 'count_noticias', 'pc2', lag, count_noticias, pc2 FROM pairs UNION ALL
+  SELECT 'politica', 'pc1', lag, politica, pc1 FROM pairs UNION ALL SELECT 'politica', 'pc2', lag, politica, pc2 FROM pairs)
+SELECT a, b, lag::BIGINT AS lag, count(*) AS n, CASE WHEN max(u) > min(u) AND max(v) > min(v) THEN round(corr(u, v), 6) END AS corr
+FROM found GROUP BY a, b, lag""",
+    "q_question_prompts": f"""
+WITH {_NEWS}, filled AS (
+  SELECT doc_id, coalesce(diario, 'unknown') AS diario, coalesce(CAST(fecha AS VARCHAR), 'unknown') AS fecha,
+         coalesce(seccion, 'unknown') AS seccion, coalesce(titulo, 'unknown') AS titulo FROM news)
+SELECT doc_id, unnest(['tendencia', 'sube', 'mineria', 'exterior']) AS id, unnest([
+  diario || ' ' || fecha || ': ' || titulo || ' [alcista | bajista]', fecha || ': ' || titulo || ' [0.0 .. 100.0]',
+  titulo || ' [+/- 0.0 .. 3.0]', seccion || ' [si | no]']) AS prompt FROM filled""",
+    "q_question_answers": f"WITH {_ASKED} SELECT doc_id, question, kind, value, label, violation FROM answers",
+    "q_question_days": f"""
+WITH {_ASKED}
+SELECT CAST(fecha AS VARCHAR) AS fecha, question, count(*) AS n, count(*) FILTER (violation IS NULL) AS valid, round(avg(value), 9) AS avg_value,
+       count(*) FILTER (label IN ('alcista', 'positivo')) AS up
+FROM answers GROUP BY fecha, question""",
     "q_prompt": f"WITH {_NEWS} SELECT doc_id, {_user_prompt()} AS user_prompt FROM news",
     "q_score": f"""
 WITH {_NEWS}, prompts AS (SELECT doc_id, {_user_prompt()} AS p FROM news)

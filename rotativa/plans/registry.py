@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 from rotativa.constants import BORDER_DAYS, NEWS_COLUMNS, WINDOW_END, WINDOW_START
 from rotativa.functions import dates, text, urls
 from rotativa.functions.vectors import l2_normalize
-from rotativa.operators import aggregates, articles, dedup, feature_days, features, filters, paging, rank, sampling, schema_ops, vectors
+from rotativa.operators import (
+    aggregates, articles, dedup, feature_days, features, filters, languages, market, near, paging, questions, rank, sampling, schema_ops, similar, terms, vectors,
+)
 from rotativa.operators.joins import backfill, in_table, lookup_pages
 from rotativa.plans import consolidation, exploration, extraction, ingestion
 from rotativa.plans import driver_tables as data
@@ -446,6 +448,108 @@ def q_exploration_export(spark, sf):
     return readers.read_table(spark, paths["daily_news_counts"], schema)
 
 
+# Near and similar articles, languages
+
+
+def q_near_articles(spark, sf):
+    """Classes of articles whose texts nearly agree; one of each stays."""
+    return near.near_articles(data.news(spark, sf), "doc_id", "contenido")
+
+
+def q_term_vectors(spark, sf):
+    """Articles as unit vectors of hashed tf-idf terms."""
+    made = terms.hashed_vectors(data.news(spark, sf), "doc_id", "titulo", 64)
+    return _rows(made, "embedding", "doc_id")
+
+
+def q_similar_articles(spark, sf):
+    """The ten nearest other articles of every fiftieth, where their cosine reaches 0.65."""
+    made = terms.hashed_vectors(data.news(spark, sf), "doc_id", "contenido")
+    found = similar.similar_articles(made, F.col("doc_id") % 50 == 0, "doc_id")
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("cosine", 6).alias("cosine"))
+
+
+def q_similar_days(spark, sf):
+    """The five days most like each day."""
+    days = cut_lineage(vectors.mean_vectors(_vectors(spark, sf), ["fecha_dia"]))
+    found = similar.similar_groups(days, "fecha_dia")
+    return found.select("fecha_dia", F.col("rank").cast("long").alias("rank"), "other", F.round("cosine", 6).alias("cosine"))
+
+
+def _detected(spark, sf):
+    """Articles with the language found by profiles of two thirds of them."""
+    articles_ = data.news(spark, sf)
+    known = languages.profiles(articles_.filter(F.col("doc_id") % 3 != 1), "seccion", "contenido")
+    return languages.detect_language(articles_.select("doc_id", "fecha", "seccion", "contenido"), known, "doc_id", "contenido")
+
+
+def q_language(spark, sf):
+    return _detected(spark, sf).select("doc_id", "idioma")
+
+
+def q_language_days(spark, sf):
+    shares = languages.language_shares(_detected(spark, sf), "fecha")
+    return shares.select(_iso("fecha").alias("fecha"), "idioma", "n", F.round("share", 9).alias("share"))
+
+
+# Next-day targets, correlations, question bank
+
+
+def _daily_target(spark, sf):
+    return market.next_traded(data.daily_news(spark, sf), data.market(spark, sf))
+
+
+def q_next_traded(spark, sf):
+    """Days of news with the close known on the day and that of the next traded day."""
+    found = _daily_target(spark, sf)
+    return found.select(_iso("fecha").alias("fecha"), "n_noticias", "cierre_previo", "cierre_siguiente", F.round("retorno", 9).alias("retorno"))
+
+
+def q_next_day_ridge(spark, sf):
+    """The next close from the number and length of a day's articles."""
+    found = market.ridge(_daily_target(spark, sf), ["n_noticias", "largo"], "cierre_siguiente", 1.0)
+    return found.withColumn("coefficient", F.round("coefficient", 6))
+
+
+def q_next_day_folds(spark, sf):
+    """Errors of that regression on later days than those it learnt from."""
+    folds = market.time_folds(_daily_target(spark, sf), 3)
+    found = market.fold_errors(folds, ["n_noticias", "largo"], "cierre_siguiente", 1.0)
+    return found.select(F.col("fold").cast("long").alias("fold"), "n_aprende", "n_prueba", F.round("error", 6).alias("error"), F.round("error_base", 6).alias("error_base"))
+
+
+def q_axis_correlations(spark, sf):
+    """Daily counts and shares of a section against the days' principal components, up to two days later."""
+    made = _vectors(spark, sf)
+    axes = exploration.daily_map(vectors.mean_vectors(made, ["fecha_dia"]))
+    share = made.groupBy("fecha_dia").agg(F.avg((F.col("seccion") == "politica").cast("double")).alias("politica"))
+    days = axes.withColumns({"pc1": F.round("pc1", 6), "pc2": F.round("pc2", 6)}).join(share, "fecha_dia")
+    dated = days.withColumn("fecha", F.date_add(F.lit(data.FIRST_DAY).cast("date"), F.col("fecha_dia").cast("int")))
+    found = market.lagged_correlations(dated, ["count_noticias", "politica"], ["pc1", "pc2"], "fecha", [0, 1, 2])
+    return found.select("a", "b", F.col("lag").cast("long").alias("lag"), "n", F.round("corr", 6).alias("corr"))
+
+
+def q_question_prompts(spark, sf):
+    """The bank's questions as they are put to each article."""
+    fields = {c: c for c in ("diario", "fecha", "seccion", "titulo")}
+    asked = questions.with_questions(data.news(spark, sf), data.BANK, fields)
+    return asked.select("doc_id", F.explode("questions").alias("q")).select("doc_id", "q.id", "q.prompt")
+
+
+def q_question_answers(spark, sf):
+    """Every answer, read by its question's kind, or what is wrong with it."""
+    found = questions.checked_answers(data.question_answers(spark, sf), data.BANK, ["doc_id"])
+    return found.drop("raw")
+
+
+def q_question_days(spark, sf):
+    """Answers per day and question: how many, how many valid, the mean of the numbers, and how many positive or bullish."""
+    found = questions.checked_answers(data.question_answers(spark, sf), data.BANK, ["fecha"])
+    days = questions.answer_summary(found, ["fecha"])
+    up = F.coalesce(F.try_element_at("labels", F.lit("alcista")), F.try_element_at("labels", F.lit("positivo")), F.lit(0))
+    return days.select(_iso("fecha").alias("fecha"), "question", "n", "valid", F.round("avg_value", 9).alias("avg_value"), up.cast("long").alias("up"))
+
+
 # Model features
 
 
