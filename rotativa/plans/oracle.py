@@ -156,6 +156,34 @@ slopes AS (SELECT {by}, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * x
 fitted AS (SELECT {by}, n, my, bx, bz, my - bx * mx - bz * mz AS b0 FROM means JOIN slopes USING ({by}))"""
 
 
+def _topics(rounds: int = 4, k: int = 3) -> str:
+    """Multiplicative updates of the factors of days and title terms, round by round."""
+    names = [f"t{i}" for i in range(k)]
+    start = lambda key: ", ".join(f"('0x' || substr(md5('{i}:' || {key}), 1, 8))::BIGINT / 4294967296.0::DOUBLE + 0.5 AS t{i}" for i in range(k))
+    steps = [f"""
+{_NEWS},
+cells AS MATERIALIZED (
+  SELECT "row", col, count(*)::DOUBLE AS x FROM (
+    SELECT CAST(fecha AS VARCHAR) AS "row", unnest(regexp_extract_all(lower(coalesce(titulo, '')), '[\\p{{L}}\\p{{N}}]+')) AS col FROM news)
+  GROUP BY 1, 2),
+row_0 AS MATERIALIZED (SELECT "row", {start('"row"')} FROM (SELECT DISTINCT "row" FROM cells)),
+col_0 AS MATERIALIZED (SELECT col, {start("col")} FROM (SELECT DISTINCT col FROM cells))"""]
+    for r in range(rounds):
+        for key, other, old_other in (("col", "row", f"row_{r}"), ("row", "col", f"col_{r + 1}")):
+            quoted, by = ('"row"', "col") if key == "row" else ("col", '"row"')
+            gram = ", ".join(f"sum({a} * {b}) AS g_{a}_{b}" for a in names for b in names)
+            new = ", ".join(f"s.{a} * n_{a} / greatest({' + '.join(f'g_{a}_{b} * s.{b}' for b in names)}, 1e-12) AS {a}" for a in names)
+            sums = ", ".join(f"sum(x * o.{a}) AS n_{a}" for a in names)
+            steps.append(f"""{key}_{r + 1} AS MATERIALIZED (
+  SELECT s.{quoted}, {new} FROM {key}_{r} s JOIN (SELECT c.{quoted}, {sums} FROM cells c JOIN {old_other} o ON c.{by} = o.{by} GROUP BY 1) n
+    ON s.{quoted} = n.{quoted}, (SELECT {gram} FROM {old_other}) g)""")
+    return ",\n".join(steps)
+
+
+def _long(table: str, key: str, value: str) -> str:
+    return " UNION ALL ".join(f"SELECT {key}, {i} AS topic, {value.format(t=f't{i}')} AS w FROM {table}" for i in range(3))
+
+
 _ASKED = f"""
 {_NEWS},
 given AS (
@@ -625,6 +653,19 @@ WITH {_ASKED}
 SELECT CAST(fecha AS VARCHAR) AS fecha, question, count(*) AS n, count(*) FILTER (violation IS NULL) AS valid, round(avg(value), 9) AS avg_value,
        count(*) FILTER (label IN ('alcista', 'positivo')) AS up
 FROM answers GROUP BY fecha, question""",
+    "q_topics": f"""
+WITH {_topics()},
+long AS ({_long("col_4", "col", "{t}")}),
+shares AS (SELECT topic, col AS term, round(w / sum(w) OVER (PARTITION BY topic), 9) AS weight FROM long)
+SELECT topic::BIGINT AS topic, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank, term, round(weight, 7) AS weight
+FROM shares QUALIFY rank <= 10""",
+    "q_topic_days": f"""
+WITH {_topics()},
+long AS ({_long("row_4", '"row"', "{t} * (SELECT sum({t}) FROM col_4)")}),
+fit AS (SELECT c.x, coalesce(r.t0 * k.t0 + r.t1 * k.t1 + r.t2 * k.t2, 0) AS y FROM row_4 r CROSS JOIN col_4 k LEFT JOIN cells c ON c."row" = r."row" AND c.col = k.col)
+SELECT "row" AS fecha, topic::BIGINT AS topic, round(w / sum(w) OVER (PARTITION BY "row"), 7) AS share,
+       (SELECT round(sum((coalesce(x, 0) - y) ** 2), 3) FROM fit) AS error
+FROM long""",
     "q_prompt": f"WITH {_NEWS} SELECT doc_id, {_user_prompt()} AS user_prompt FROM news",
     "q_score": f"""
 WITH {_NEWS}, prompts AS (SELECT doc_id, {_user_prompt()} AS p FROM news)

@@ -12,7 +12,8 @@ from rotativa.constants import BORDER_DAYS, NEWS_COLUMNS, WINDOW_END, WINDOW_STA
 from rotativa.functions import dates, text, urls
 from rotativa.functions.vectors import l2_normalize
 from rotativa.operators import (
-    aggregates, articles, dedup, feature_days, features, filters, languages, market, near, paging, questions, rank, sampling, schema_ops, similar, terms, vectors,
+    aggregates, articles, dedup, feature_days, features, filters, languages, market, near, paging, questions, rank, sampling, schema_ops, similar, terms,
+    topics, vectors,
 )
 from rotativa.operators.joins import backfill, in_table, lookup_pages
 from rotativa.plans import consolidation, exploration, extraction, ingestion
@@ -492,6 +493,23 @@ def q_language_days(spark, sf):
     return shares.select(_iso("fecha").alias("fecha"), "idioma", "n", F.round("share", 9).alias("share"))
 
 
+def _topics(spark, sf):
+    return topics.factorise(topics.term_cells(data.news(spark, sf), "fecha", "titulo"), 3, rounds=4)
+
+
+def q_topics(spark, sf):
+    """The ten strongest terms of three topics of the titles of days."""
+    found = topics.topic_terms(_topics(spark, sf))
+    return found.select(F.col("topic").cast("long").alias("topic"), F.col("rank").cast("long").alias("rank"), "term", F.round("weight", 7).alias("weight"))
+
+
+def q_topic_days(spark, sf):
+    """What share of each day's titles is each topic's, and the squared error of the whole."""
+    made = _topics(spark, sf)
+    shares = topics.topic_shares(made).withColumn("error", F.lit(made.errors[-1]))
+    return shares.select(F.col("row").alias("fecha"), F.col("topic").cast("long").alias("topic"), F.round("share", 7).alias("share"), F.round("error", 3).alias("error"))
+
+
 # Next-day targets, correlations, question bank
 
 
