@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotativa.llm.common import hot_keys, possibly_in, text_or_empty, with_parts
+from rotativa.llm.common import SHARES, hot_keys, possibly_in, text_or_empty, with_parts
 from rotativa.session import materialize
 
 SHINGLE = 5
@@ -151,19 +151,25 @@ def signed(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
 
 
 def shared_buckets(signatures: DataFrame) -> DataFrame:
-    """(key, node) of the buckets with two texts or more."""
+    """(key, node) of the buckets with two texts or more.
+
+    Keys are counted first, and a filter of the counted ones keeps the others out of the second shuffle.
+    """
     entries = signatures.select("node", F.explode("keys").alias("key"))
-    ends = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    several = ends.filter("low != high").select("key")
-    hot = hot_keys(entries, ["key"])
-    parted = with_parts(entries, ["key"], hot).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")))
-    copied = with_parts(several, ["key"], hot).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    text = F.xxhash64("node")
+    counted = entries.groupBy("key").agg(F.min(text).alias("low"), F.max(text).alias("high"), F.count(F.lit(1)).alias("n"))
+    several = materialize(counted.filter("low != high").select("key", "n"), "several")
+    share = F.greatest(several.agg(F.sum("n")).scalar() / SHARES, F.lit(64.0))
+    hot = several.filter(F.col("n") > share).select(F.col("key").alias("_hot_0"), F.ceil(F.col("n") / share).cast("int").alias("_parts"))
+    likely = possibly_in(entries, F.col("key"), several.select("key")).filter("_maybe").drop("_maybe")
+    parted = with_parts(likely, ["key"], hot).withColumn("_part", F.pmod(F.xxhash64("node"), F.col("_parts")))
+    copied = with_parts(several.select("key"), ["key"], hot).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     copied = copied.select("key", F.col("_part").cast("bigint").alias("_part"))
     return parted.join(copied, ["key", "_part"], "left_semi").select("key", "node").distinct()
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
-    """(node, shingles) of the given texts."""
+def shingle_sets(docs: DataFrame, signatures: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
+    """(node, shingles) of the given texts, each made from the row with the smallest doc_id that has the text."""
 
     def make(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -172,11 +178,16 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataF
                 sets = [shingles(t.as_py()).view(np.int64) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
+    identity = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
+    first = signatures.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").select("node", identity)
     content = text_or_empty(text)
-    texts = docs.select(F.unhex(F.md5(content.cast("binary"))).alias("node"), content.alias("text"))
-    likely = possibly_in(texts, F.col("node"), nodes).filter("_maybe").drop("_maybe")
-    wanted = likely.join(nodes, "node", "left_semi")
-    return wanted.mapInArrow(make, "node binary, shingles array<bigint>").dropDuplicates(["node"])
+    texts = docs.select(F.unhex(F.md5(content.cast("binary"))).alias("node"), F.col("doc_id").cast("bigint").alias("doc_id"), content.alias("text"))
+    texts = texts.select("node", identity, "text")
+    row = F.xxhash64("node", "id")
+    likely = possibly_in(texts, row, first.select(row.alias("row"))).filter("_maybe").drop("_maybe")
+    # Equal rows are reduced in each task, on the keys of the join.
+    wanted = likely.dropDuplicates(["node", "id"]).join(first, ["node", "id"], "left_semi")
+    return wanted.select("node", "text").mapInArrow(make, "node binary, shingles array<bigint>")
 
 
 def check_pairs(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -221,7 +232,7 @@ def pivot_pairs(named: DataFrame) -> DataFrame:
 
 
 def prints(sets: DataFrame, nodes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(node, keys, bytes, elements): band keys, a byte per coordinate, and the sorted set."""
+    """(node, keys, bytes): band keys, and a byte per coordinate."""
 
     def make(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -233,11 +244,10 @@ def prints(sets: DataFrame, nodes: DataFrame, bands: int = BANDS, rows: int = RO
                     part.column("node"),
                     pa.array(list(band_keys(signatures, bands, rows)), pa.list_(pa.int64())),
                     pa.array([s.tobytes() for s in mix(signatures).astype(np.uint8)], pa.binary()),
-                    pa.array([np.sort(s).tobytes() for s in some], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "keys", "bytes", "elements"])
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "keys", "bytes"])
 
-    return sets.join(nodes, "node", "left_semi").mapInArrow(make, "node binary, keys array<bigint>, bytes binary, elements binary")
+    return sets.join(nodes, "node", "left_semi").mapInArrow(make, "node binary, keys array<bigint>, bytes binary")
 
 
 def in_blocks(named: DataFrame) -> DataFrame:
@@ -288,7 +298,7 @@ def joining(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
     if not found:
         return pd.DataFrame({"a": [], "b": []})
     a, b, agree = (np.concatenate(c) for c in zip(*found, strict=True))
-    sets = [np.frombuffer(x, np.uint64) for x in frame["elements"]]
+    sets = [np.asarray(x).view(np.uint64) for x in frame["shingles"]]
     label, node = pd.factorize(frame["label"])[0].tolist(), frame["node"].tolist()
     parent = list(range(max(label) + 1))
 
@@ -312,10 +322,13 @@ def joining(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
 def joining_pairs(named: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs that connect different classes within the buckets that still hold several."""
     looks = materialize(prints(sets, named.select("node").distinct()), "prints")
-    met = in_blocks(named).join(looks.drop("elements"), "node")
+    met = in_blocks(named).join(looks, "node")
     entry = "key bigint, i int, j int, block int, node binary, label binary"
     chosen = met.groupBy("key", "i", "j").applyInPandas(lambda f: active(f, similarity), entry)
-    chosen = materialize(chosen, "active").join(looks, "node")
+    chosen = materialize(chosen, "active")
+    # Each set is read once for all blocks of its text that have a likely pair.
+    some = looks.join(sets.join(chosen.select("node").distinct(), "node", "left_semi"), "node")
+    chosen = chosen.join(some, "node")
     return chosen.groupBy("key", "i", "j").applyInPandas(lambda f: joining(f, similarity), "a binary, b binary").distinct()
 
 
@@ -323,7 +336,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = SIM
     """(doc_id, node, class_id, first, members): one row per row of ``docs``; a class is named by its smallest doc_id."""
     signatures = materialize(signed(docs, text), "signatures")
     buckets = materialize(shared_buckets(signatures), "buckets")
-    sets = materialize(shingle_sets(docs, buckets.select("node").distinct(), text), "shingles")
+    sets = materialize(shingle_sets(docs, signatures, buckets.select("node").distinct(), text), "shingles")
     each = buckets.withColumn("label", F.col("node"))
     links = materialize(check_pairs(materialize(pivot_pairs(each), "pairs"), sets, similarity), "found")
     labels = components(links)
