@@ -8,7 +8,8 @@ history occurred and c(hw) those it was followed by w,
     P(w | h) = (c(hw) + M P(w | shorter h)) / (c(h) + M),        P(w) = (c(w) + 1) / (N + V + 1),
 
 so an arc weighs log10 P(w | h) and a failure arc log10 M / (c(h) + M); the weights out of a state
-add up to one. Lookups of each token's longest n-gram take the place of a walk by states; the scores are equal.
+add up to one. A text is walked once from left to right: it carries its state, follows failure arcs
+down to a state that has an arc for the next word, and adds up what it passes.
 
 The n-grams of the corpus are counted over all training texts without any cut. Texts are dealt into
 chunks of about ``CHUNK_BYTES``. A chunk sends each of its different n-grams once, as packed arrays
@@ -16,8 +17,9 @@ of 64-bit hashes, to buckets that add up the counts; the buckets answer with the
 n-grams, in the order asked, and each chunk builds its part of the automaton and walks its texts.
 Neither the model nor the vocabulary is ever in one place.
 
-A null or empty text is the end token alone. Repeated rows are counted and scored each. An empty
-table gives an empty result. Texts are read whole, and a text longer than a chunk is a chunk.
+A null or empty text is the end token alone. Repeated rows are counted and scored each, and share a
+chunk if their ids are equal too. An empty table gives an empty result. Texts are read whole, and a text
+longer than a chunk makes its chunk that long. Ties don't arise; other columns play no part.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from rotativa.session import materialize
 ORDER = 2
 PRIOR = 20.0
 CHUNK_BYTES = 8 << 20
+PART = 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _END, _BEGIN = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 SCORES = (
@@ -110,38 +113,92 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Automaton:
-    """States and arcs of the n-grams of one chunk, with counts from the whole corpus.
+    """States and arcs for the texts of one chunk, with counts from the whole corpus.
 
-    For each n, ``seen`` tells whether an n-gram of the chunk is an arc, ``weight`` is that arc's
-    weight and ``failure`` the weight of its history's failure arc.
+    State 0 is the empty history; every seen history of up to ``order - 1`` tokens that the chunk has is a
+    state, begin marks included. ``arcs`` are sorted numbers ``state * words + word``, with a ``weight`` and
+    the state they lead to, which is the longest history that the chunk has seen by then. State 0 has an arc for every
+    word of the chunk, any other state only those seen in training, and ``failure`` leads to the next
+    shorter history at the cost ``descent``.
     """
 
-    def __init__(self, keys, counts, places, starts, tokens: int, types: int, prior: float):
+    def __init__(self, keys, counts, places, lengths: np.ndarray, tokens: int, types: int, prior: float):
+        self.places, self.lengths = places, lengths
+        starts = np.cumsum(lengths) - lengths
         first = np.zeros(len(places[0]), bool)
         first[starts] = True
-        texts = counts[0][np.searchsorted(keys[0], _END)]  # learned texts, as each has one end
+        order, self.words = len(keys), len(keys[0])
+        texts = int(counts[0][np.searchsorted(keys[0], _END)])  # learned texts, as each has one end
+        # States: the empty history, the begin marks of 1, 2, ... tokens, then the n-grams of the chunk.
+        sizes = [len(k) for k in keys[: order - 1]]
+        self.offsets = order + np.cumsum([0, *sizes])
+        self.known = np.concatenate([np.ones(1, bool), np.full(order - 1, texts > 0), *[c > 0 for c in counts[: order - 1]]])
+        occurred = np.concatenate([np.zeros(1), np.full(order - 1, texts), *counts[: order - 1]])
+        self.descent = np.log10(prior / (occurred + prior))
+        self.failure = np.maximum(np.arange(len(occurred)) - 1, 0)
+        source, word, weight, target = [], [], [], []
         chance = (counts[0] + 1) / (tokens + types + 1)
-        self.seen, self.weight, self.failure = [np.ones(len(chance), bool)], [np.log10(chance)], [np.zeros(len(chance))]
-        for n in range(1, len(keys)):
+        for n in range(order):
             some = np.empty(len(keys[n]), np.int64)
             some[places[n]] = np.arange(len(places[n]))  # a token at which each n-gram ends
-            before = counts[n - 1][places[n - 1][some - 1]]
-            history = np.where(first[some], texts, before)
-            chance = (counts[n] + prior * chance[places[n - 1][some]]) / (history + prior)
-            self.seen.append(counts[n] > 0)
-            self.weight.append(np.log10(chance))
-            self.failure.append(np.log10(prior / (history + prior)))
-
-    def walk(self, places: list[np.ndarray]) -> np.ndarray:
-        """The weight that each token adds: failure arcs down to a state that has an arc for it."""
-        added = np.zeros(len(places[0]))
-        waiting = np.arange(len(added))
-        for n in range(len(places) - 1, -1, -1):
-            at = places[n][waiting]
-            hit = self.seen[n][at]
-            added[waiting[hit]] += self.weight[n][at[hit]]
-            added[waiting[~hit]] += self.failure[n][at[~hit]]
-            waiting = waiting[~hit]
+            if 0 < n:
+                history = self.state_before(some, first, n)
+                chance = (counts[n] + prior * chance[places[n - 1][some]]) / (occurred[history] + prior)
+                arc = counts[n] > 0
+            else:
+                history, arc = np.zeros(len(some), np.int64), np.ones(len(some), bool)
+            if n < order - 1:
+                own = slice(self.offsets[n], self.offsets[n + 1])
+                self.failure[own] = self.offsets[n - 1] + places[n - 1][some] if n else 0
+            source.append(history[arc])
+            word.append(places[0][some[arc]])
+            weight.append(np.log10(chance[arc]))
+            target.append(self.longest(some[arc], min(n + 1, order - 1)))
+        arcs = np.concatenate(source) * self.words + np.concatenate(word)
+        by_number = np.argsort(arcs)
+        self.arcs, self.weight, self.target = arcs[by_number], np.concatenate(weight)[by_number], np.concatenate(target)[by_number]
+        self.first, self.starts, self.order = first, starts, order
+
+    def state_before(self, at: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+        """The history of ``n`` tokens before each token, seen or not."""
+        return np.where(first[at], n, self.offsets[n - 1] + self.places[n - 1][at - 1])
+
+    def longest(self, at: np.ndarray, most: int) -> np.ndarray:
+        """The state of the longest seen history, of ``most`` tokens or fewer, that ends with each token."""
+        found = np.zeros(len(at), np.int64)
+        for n in range(1, most + 1):
+            state = self.offsets[n - 1] + self.places[n - 1][at]
+            found = np.where(self.known[state], state, found)
+        return found
+
+    def walk(self) -> np.ndarray:
+        """The weight that each token adds, from left to right.
+
+        Texts are walked side by side, one token a step, each carrying its state. A long text is walked in
+        parts of ``PART`` tokens, which start in the state that the tokens before them lead to.
+        """
+        added = np.zeros(len(self.first))
+        parts = -(-self.lengths // PART)
+        inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = np.repeat(self.starts, parts) + inside * PART
+        size = np.minimum(np.repeat(self.lengths, parts) - inside * PART, PART)
+        most = self.order - 1
+        state = np.where(inside == 0, most if self.known[most] else 0, self.longest(begin - 1, most))
+        by_size = np.argsort(-size, kind="stable")
+        begin, size, state = begin[by_size], size[by_size], state[by_size]
+        for step in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(-size, -step, "left"))
+            at = begin[:live] + step
+            word, waiting = self.places[0][at], np.arange(live)
+            while len(waiting):
+                number = state[waiting] * self.words + word[waiting]
+                arc = np.minimum(np.searchsorted(self.arcs, number), len(self.arcs) - 1)
+                hit = self.arcs[arc] == number
+                added[at[waiting[hit]]] += self.weight[arc[hit]]
+                state[waiting[hit]] = self.target[arc[hit]]
+                waiting = waiting[~hit]
+                added[at[waiting]] += self.descent[state[waiting]]
+                state[waiting] = self.failure[state[waiting]]
         return added
 
 
@@ -150,12 +207,13 @@ def score_texts(docs: DataFrame, learn: Column, order: int = ORDER, prior: float
     size = docs.agg(F.sum(F.octet_length(text_or_empty(text)))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
     buckets = chunks
-    # Rows go to the chunks in turn, so that rows alike do not meet in one.
+    # By id and text, so that a row is in the same chunk whenever it is read again, and copies of a text
+    # under many ids don't meet in one.
     dealt = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         text_or_empty(text).alias("text"),
         F.coalesce(learn, F.lit(False)).alias("learn"),
-        (F.monotonically_increasing_id() % chunks).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), text_or_empty(text)), F.lit(chunks)).cast("int").alias("chunk"),
     )
 
     def ask(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -195,7 +253,7 @@ def score_texts(docs: DataFrame, learn: Column, order: int = ORDER, prior: float
         answers = answers.sort_values(["n", "bucket"])
         counts = [np.concatenate([unpacked(c) for c in part["counts"]]).astype(np.int64) for _, part in answers.groupby("n")]
         starts = np.cumsum(lengths) - lengths
-        walked = Automaton(keys, counts, places, starts, tokens, types, prior).walk(places)
+        walked = Automaton(keys, counts, places, lengths, tokens, types, prior).walk()
         base = np.log10((counts[0] + 1) / (tokens + types + 1))[places[0]]
         return pd.DataFrame({
             "doc_id": frame["doc_id"],

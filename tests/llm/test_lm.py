@@ -41,9 +41,10 @@ def brute(docs, order, prior):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores_match_brute_force(spark, monkeypatch, order):
     monkeypatch.setattr(lm, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(lm, "PART", 4)
     r = random.Random(order)
     texts = [" ".join(r.choice(["A", "b", "C", "dd", "É", f"x{r.randrange(40)}"]) for _ in range(r.randint(0, 15))) for _ in range(60)]
     learned = [i % 4 > 0 for i in range(60)]
@@ -71,6 +72,41 @@ def test_weights_out_of_a_state_add_up_to_one():
         assert sum(chances) == pytest.approx(1)
 
 
+def automaton(texts, learned, order):
+    import pandas as pd
+
+    keys, counts, places, lengths = lm.chunk_ngrams(pd.DataFrame({"text": texts}), np.array(learned), order)
+    total, types = int(counts[0].sum()), int((counts[0] > 0).sum())
+    return lm.Automaton(keys, counts, places, lengths, total, types, lm.PRIOR)
+
+
+def test_states_are_the_longest_seen_histories():
+    made = automaton(["a b a c", "a b d", "d d q"], [True, True, False], 3)
+    assert made.words == 6  # four words of the texts learnt from or not, one only scored, and the end
+    # From any state, failure arcs end in the empty history, which has an arc for every word.
+    for state in range(len(made.failure)):
+        steps = 0
+        while state:
+            state, steps = made.failure[state], steps + 1
+        assert steps < 3
+    assert made.arcs[: made.words].tolist() == list(range(made.words))
+    # Arcs lead only to histories that were seen.
+    assert made.known[made.target].all()
+
+
+def test_parts_of_a_text_carry_on_where_the_last_ended(monkeypatch):
+    r = random.Random(0)
+    texts = [" ".join(r.choice("abcd") for _ in range(n)) for n in (40, 3, 0, 17)]
+    whole = automaton(texts, [True, True, True, False], 3).walk()
+    monkeypatch.setattr(lm, "PART", 5)
+    assert automaton(texts, [True, True, True, False], 3).walk() == pytest.approx(whole, abs=1e-12)
+
+
+def test_without_training_texts():
+    made = automaton(["a b", ""], [False, False], 2)
+    assert made.walk() == pytest.approx(np.log10(np.ones(4)), abs=1e-12)
+
+
 def test_packed_numbers():
     for values in ([], [0], [255, 256], [1 << 40, 3], [(1 << 64) - 1]):
         array = np.array(values, np.uint64)
