@@ -1,21 +1,28 @@
 """Streams that keep tables up to date.
 
-Each returns a started query. Offsets live in ``checkpoint`` and tables in ``path``, both on storage
+Each returns a started query. Offsets and state live in ``checkpoint`` and tables in ``path``, both on storage
 that all executors share. Every batch step may be repeated after a failure without changing the
-result: appends skip stored keys and the other tables are replaced or versioned by batch.
+result: a repeated append skips the rows that are stored, and the other tables are versioned by batch.
+What a stream has seen is kept in its state store by key, so a batch touches its own keys alone.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from rotativa.functions.dates import utc_instant, utc_wall
-from rotativa.operators.dedup import unseen
+from rotativa.operators.dedup import seen_keys, unseen
 from rotativa.operators.rank import rss_ranked
 from rotativa.sources.readers import table_or_empty
+from rotativa.sources.versions import VersionedTable
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def table_stream(spark: SparkSession, path: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
@@ -44,78 +51,127 @@ def drop_repeats(stream: DataFrame, keys: list[str], time: str, delay: str) -> D
     return _event_time(stream, time).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+class FirstRow(StatefulProcessor):
+    """Lets the first row of each key through, by the order columns among rows of one batch, and no later one."""
+
+    def __init__(self, order: list[str]):
+        self.order = order
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "known boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # Rows travel as one struct, which keeps their types; nulls come first, as in a sort. Names that
+        # begin with an underscore would be changed on the way.
+        place = lambda row: [(row[c] is not None, row[c]) for c in self.order]
+        least = None
+        for frame in rows:
+            for row in frame.get("row", ()):  # none for a key of the initial state alone
+                if least is None or place(row) < place(least):
+                    least = row
+        if least is not None and not self.seen.exists():
+            self.seen.update((True,))
+            yield pd.DataFrame({"row": pd.Series([least], dtype=object)})
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.seen.update((True,))
+
+
+def first_ever(stream: DataFrame, keys: list[str], order: list[str], stored: DataFrame | None = None) -> DataFrame:
+    """The first row of each key that the stream has not had before, and that ``stored`` doesn't hold when the stream begins.
+
+    Keys that were seen stay in the state store for good. ``stored`` is read once, with the first batch.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rows = stream.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.struct("*").alias("row")).groupBy(*[f"key_{i}" for i in range(len(keys))])
+    initial = None
+    if stored is not None:
+        named = stored.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)]).distinct()
+        initial = named.groupBy(*named.columns)
+    out = T.StructType().add("row", stream.schema)
+    return rows.transformWithStateInPandas(FirstRow(order), out, "append", "none", initial).select("row.*")
+
+
+class Attempts:
+    """Which batches of a stream were begun, in its checkpoint folder."""
+
+    def __init__(self, spark: SparkSession, checkpoint: str):
+        self._hadoop, self._folder = spark.sparkContext._jvm.org.apache.hadoop.fs, f"{checkpoint.rstrip('/')}/begun"
+        self._fs = self._hadoop.Path(self._folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def repeated(self, batch_id: int) -> bool:
+        """True if the batch was begun before; else notes it and forgets the one before it."""
+        again = not self._fs.createNewFile(self._hadoop.Path(f"{self._folder}/{batch_id}"))
+        self._fs.delete(self._hadoop.Path(f"{self._folder}/{batch_id - 1}"), False)
+        return again
+
+
 def append_unseen(
     stream: DataFrame, path: str, checkpoint: str, order: list[str], key: str = "url", every: str | None = None
 ) -> StreamingQuery:
-    """Append the rows whose key the table does not hold yet, one per key.
+    """Append the rows whose key the table does not hold yet, one per key; rows without a key are dropped.
 
-    Each batch reads the key column of the table, nothing else of it.
+    The table's keys enter the stream's state with its first batch. After that a batch reads nothing of
+    the table, unless it is the repetition of one that failed.
     """
+    spark = stream.sparkSession
+    stored = seen_keys(table_or_empty(spark, path, stream.schema), key)
+    new = first_ever(stream.filter(F.col(key).isNotNull()), [key], order, stored)
+    attempts = Attempts(spark, checkpoint)
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        stored = table_or_empty(batch.sparkSession, path, batch.schema)
-        unseen(batch, stored, order, key).select(*batch.columns).write.mode("append").parquet(path)
+        if attempts.repeated(batch_id):
+            batch = unseen(batch, table_or_empty(batch.sparkSession, path, batch.schema), order, key).select(*batch.columns)
+        batch.write.mode("append").parquet(path)
 
-    return _start(stream.writeStream.foreachBatch(add), checkpoint, every)
+    return _start(new.writeStream.foreachBatch(add), checkpoint, every)
 
 
 def daily_counts(
     stream: DataFrame, path: str, checkpoint: str, time: str, delay: str = "2 days", every: str | None = None
 ) -> StreamingQuery:
-    """Keep ``fecha_dia, count_noticias`` in ``path``, the still open last day included."""
+    """Keep ``fecha_dia, count_noticias`` in a versioned table at ``path``, the still open last day included.
+
+    Days older than ``delay`` behind the newest row leave the state and change no more; rows that come later
+    than that are dropped. A batch writes its changed days over those of the version before.
+    """
     timed = _event_time(stream, time).withWatermark(time, delay)
     days = timed.groupBy(F.window(time, "1 day")).agg(F.count(F.lit(1)).alias("count_noticias"))
 
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        table = batch.select(utc_wall("window.start").cast("date").alias("fecha_dia"), "count_noticias")
-        table.coalesce(1).write.mode("overwrite").parquet(path)
+    def change(batch: DataFrame, batch_id: int) -> None:
+        table = VersionedTable(batch.sparkSession, path)
+        changed = batch.select(utc_wall("window.start").cast("date").alias("fecha_dia"), "count_noticias")
+        before = table.current()
+        if before is not None:
+            changed = before.join(changed.select("fecha_dia"), "fecha_dia", "left_anti").unionByName(changed)
+        table.write(changed.coalesce(1), batch_id)
 
-    return _start(days.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, every)
+    return _start(days.writeStream.outputMode("update").foreachBatch(change), checkpoint, every)
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest ``version=`` directory."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.filter(F.col("version") == newest).drop("version")
+    """The rows of a versioned table."""
+    return VersionedTable(spark, path).current()
 
 
 def rolling_top(
     stream: DataFrame, path: str, checkpoint: str, n: int = 10, every: str | None = None
 ) -> StreamingQuery:
-    """Keep the top ``n`` entries per source over all polls in ``path``.
+    """Keep the top ``n`` entries per source over all polls in a versioned table at ``path``.
 
-    Every (source, title) ever seen is kept in ``path/_seen``, one folder per batch, so a title that
-    left the top and comes back stays what it was. Entries whose title is new join the previous top;
-    ``poll`` puts what was seen in an earlier batch first.
+    Every (source, title) ever seen stays in the stream's state, so a title that left the top and comes back stays
+    what it was. Entries whose title is new join the previous top; ``poll`` puts what was seen in an
+    earlier batch first. A batch reads its own entries and the previous top.
     """
-    seen_path = f"{path}/_seen"
-    title_key = {"_source": F.col("source"), "_title": F.lower(F.trim("title"))}
-
-    def earlier(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-        try:
-            return spark.read.parquet(folder).filter(F.col("version") < batch_id)
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return None
+    titled = stream.filter(F.trim("title") != "").withColumn("_title", F.lower(F.trim("title")))
+    new = first_ever(titled, ["source", "_title"], ["feed_pos", "entry_pos"]).drop("_title")
 
     def update(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        entries = batch.withColumns({"poll": F.lit(batch_id).cast("long"), **title_key})
-        seen, versions = earlier(spark, seen_path, batch_id), earlier(spark, path, batch_id)
-        if seen is not None:
-            known = seen.select(F.col("_source").alias("_s"), F.col("_title").alias("_t"))
-            same = F.col("_source").eqNullSafe(F.col("_s")) & F.col("_title").eqNullSafe(F.col("_t"))
-            entries = entries.join(known, same, "left_anti")
-        keys = entries.select("_source", "_title").distinct()
-        entries = entries.drop("_source", "_title")
-        if versions is not None:
-            newest = versions.agg(F.max("version")).scalar()
-            entries = entries.unionByName(versions.filter(F.col("version") == newest).select(*entries.columns))
-        top = rss_ranked(entries, n, seen_order=("poll", "feed_pos", "entry_pos"))
-        top.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        # Last, so that a batch that is repeated sees its own titles as new again.
-        keys.write.mode("overwrite").parquet(f"{seen_path}/version={batch_id}")
-
-    return _start(stream.writeStream.foreachBatch(update), checkpoint, every)
+        table = VersionedTable(batch.sparkSession, path)
+        entries = batch.withColumn("poll", F.lit(batch_id).cast("long"))
+        before = table.current()
+        if before is not None:
+            entries = entries.unionByName(before.select(*entries.columns))
+        table.write(rss_ranked(entries, n, seen_order=("poll", "feed_pos", "entry_pos")), batch_id)
+
+    return _start(new.writeStream.foreachBatch(update), checkpoint, every)
