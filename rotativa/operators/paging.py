@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(df: DataFrame, order: str, value: str, out: str, bucket: int = 100_000) -> DataFrame:
-    """Running sum of ``value`` by an integer ``order`` column.
+def running_total(df: DataFrame, order: str, value: str, out: str, bucket: int = 1000, levels: int = 3) -> DataFrame:
+    """Running sum of ``value`` by an integer ``order`` column; null values count as 0, rows of equal order as one step.
 
-    Done in two levels: sums per bucket of consecutive orders give each bucket its starting value,
-    and rows are summed inside their bucket. Only the bucket sums pass through one task.
+    A prefix scan over a tree: sums per ``bucket`` consecutive orders, sums of ``bucket`` such sums, and so
+    on for ``levels`` levels. Each level gives its buckets their starting values, and rows are summed
+    inside their bucket, so one task only meets what covers ``bucket ** levels`` orders a row.
     """
+    inside = Window.partitionBy("_bucket").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     bucketed = df.withColumn("_bucket", F.floor(F.col(order) / bucket))
-    sums = bucketed.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        bucketed.join(starts, "_bucket")
-        .withColumn(out, F.col("_start") + F.sum(value).over(inside))
-        .drop("_bucket", "_start")
-    )
+    sums = bucketed.groupBy("_bucket").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
+    if levels > 1:
+        upto = running_total(sums.withColumnRenamed("_bucket", "_order"), "_order", "_sum", "_upto", bucket, levels - 1).withColumnRenamed("_order", "_bucket")
+    else:
+        upto = sums.withColumn("_upto", F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    starts = upto.select("_bucket", (F.col("_upto") - F.col("_sum")).alias("_start"))
+    total = F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return bucketed.join(starts, "_bucket").withColumn(out, total).drop("_bucket", "_start")
 
 
 def page_summary(articles: DataFrame, page: str = "pagina", date: str = "fecha", order: str = "pos") -> DataFrame:

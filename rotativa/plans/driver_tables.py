@@ -43,7 +43,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paper_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Articles as the four tables the papers' readers leave, one language each."""
+    """Articles as the four tables the papers' readers leave: three languages, and all the rest."""
     articles = news(spark, sf_dir)
     text_day = F.col("fecha").cast("string")
     story = [
@@ -64,7 +64,7 @@ def paper_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.concat(text_day, F.lit("T22:30:00-03:00")).alias("fecha_publicacion"), "titulo", "url",
             F.lit(None).cast("string").alias("bajada"), F.col("contenido").alias("texto"), F.lit(200).alias("status"),
         ),
-        "pagina12": articles.filter("seccion = 'fr'").select(*story),
+        "pagina12": articles.filter("seccion IS NULL OR seccion NOT IN ('de', 'en', 'es')").select(*story),
     }
 
 

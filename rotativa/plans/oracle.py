@@ -395,7 +395,7 @@ WITH {_NEWS}
 SELECT CASE seccion WHEN 'de' THEN 'Ámbito Financiero' WHEN 'en' THEN 'Clarín' WHEN 'es' THEN 'La Nación' ELSE 'Pagina 12' END AS diario,
        CAST(fecha AS VARCHAR) AS fecha, titulo, contenido, url,
        CASE seccion WHEN 'de' THEN 'opinion' WHEN 'es' THEN 'es' ELSE 'economia' END AS seccion
-FROM news WHERE seccion IN ('de', 'en', 'es', 'fr') AND fecha BETWEEN DATE '2025-01-01' AND DATE '2025-04-30'""",
+FROM news WHERE fecha BETWEEN DATE '2025-01-01' AND DATE '2025-04-30'""",
     "q_schema_report": f"""
 WITH findings(source, lang, "column", kind) AS (VALUES
   ('ambito', 'de', 'diario', 'missing'), ('ambito', 'de', 'contenido', 'missing'),

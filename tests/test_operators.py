@@ -223,6 +223,15 @@ def test_base_text(spark):
     assert [r["texto_base"] for r in aggregates.with_base_text(some.drop("texto", "bajada")).collect()] == ["T", "T", ""]
 
 
+def test_running_total_over_several_levels(spark):
+    rows = [(i * 7 % 5000, i % 9 if i % 5 else None) for i in range(900)] + [(35, 100), (-3, 4)]
+    df = spark.createDataFrame(rows, "pagina bigint, n bigint")
+    for levels in (1, 2, 4):
+        found = paging.running_total(df, "pagina", "n", "total", bucket=4, levels=levels).collect()
+        assert len(found) == len(rows)
+        assert all(r["total"] == sum(n or 0 for p, n in rows if p <= r["pagina"]) for r in found)
+
+
 def test_running_total_matches_brute_force(spark):
     rng = random.Random(3)
     pages = sorted(rng.sample(range(10_000), 500))
