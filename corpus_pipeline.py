@@ -3,6 +3,12 @@
 Each stage takes what its predecessor kept and wrote. Toxic documents go, one document of each group
 of near-duplicates stays, personal data is replaced by its kind, sources are repeated or thinned to
 their target weights, and the documents are packed into sequences.
+
+All stages but the last return the columns they get, whatever their names. Null and empty texts are not
+toxic, are alike to none, hold nothing personal and add no words, and become one token each; a null
+source is a source. Very long texts are read whole. Of equal rows, and of rows with one id and equal texts, one stays after
+near-duplicates; ties between equal texts go to the smallest id, a null id last. An empty table goes through every
+stage as an empty table. Without labels of both kinds no document is toxic.
 """
 
 from __future__ import annotations
@@ -15,22 +21,36 @@ from rotativa.llm.common import table
 from rotativa.session import materialize
 
 
+# What the operators read; other columns travel under names that none of them uses.
+READ = ("doc_id", "text", "source", "lang", "n_chars")
+
+
+def aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with its other columns out of the way."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in READ else f"aside_{i}") for i, c in enumerate(docs.columns)])
+
+
+def back(made: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` under their own names."""
+    return made.select(*[F.col(c if c in READ else f"aside_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return toxicity.score_toxicity(docs, labels).filter("predicted = 0").select(docs.columns)
+    return back(toxicity.score_toxicity(aside(docs), labels).filter("predicted = 0"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.keep_first(docs).select(docs.columns)
+    return back(near_dup.keep_first(aside(docs)), docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    redacted = pii.redact(pii.find_pii(docs))
-    return redacted.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    redacted = pii.redact(pii.find_pii(aside(docs)))
+    return back(redacted.withColumn("n_chars", F.length("text").cast("bigint")), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeated(mixing.mix(docs)).select(docs.columns)
+    return back(mixing.repeated(mixing.mix(aside(docs))), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

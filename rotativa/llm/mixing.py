@@ -6,8 +6,9 @@ document is taken once per integer that its own step crosses. Neighbours in that
 sizes or nearly so, which keeps the words taken close to the target.
 
 Null texts have size 0 and null sources are a source of their own. Documents of size 0 take part in
-the numbering and add no words. An empty table gives an empty result. Repeated rows are documents
-of their own. Other columns pass through.
+the numbering and add no words; texts of any length count whole. An empty table gives an empty result.
+Repeated rows are documents of their own. Columns called size, source_size, target or copies are
+replaced, others pass through.
 """
 
 from __future__ import annotations

@@ -3,10 +3,11 @@
 A rule is written ``host/path``. It fits its host and all hosts below it if the URL's path starts
 with the rule's path. The deepest host wins, then the longest path; between an allow and a block
 rule of the same host and path, block wins. A URL without a rule, also a null or one without
-``://``, gets the default verdict. Other columns pass through, an empty table gives an empty result.
+``://``, gets the default verdict. Columns called host, path, rule or verdict are replaced, others pass
+through. Repeated rows are judged each, URLs of any length are read whole, an empty table gives an empty result.
 
-The trie goes to every task, so the rules must be few enough: ``MAX_RULES`` is checked. Longer lists
-go through ``judge_by_join``, which gives the same rows.
+The trie goes to every task, so the rules must be few: more than ``MAX_RULES`` are refused. Whoever has longer
+lists calls ``judge_by_join``, which gives the same rows.
 """
 
 from __future__ import annotations
@@ -92,8 +93,7 @@ def url_parts(url: str = "url") -> tuple[Column, Column]:
 def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url: str = "url") -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict``."""
     if len(rules) > MAX_RULES:
-        made = pages.sparkSession.createDataFrame(rules, "verdict string, rule string")
-        return judge_by_join(pages, made, default, url)
+        raise ValueError(f"{len(rules)} rules are too many for every task to hold; see judge_by_join")
     host, path = url_parts(url)
     kept = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     trie = pages.sparkSession.sparkContext.broadcast(build_trie(rules))

@@ -88,3 +88,39 @@ def test_all_tokens_are_packed(stages):
 def test_run_gives_the_last_stage(spark, stages):
     rows = corpus_pipeline.run(spark, stages["sf"]).select("doc_id", "length", "ids_crc32").collect()
     assert sorted(rows) == sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in stages["packing"])
+
+
+@pytest.fixture(scope="module")
+def no_labels(spark, tmp_path_factory):
+    sf = str(tmp_path_factory.mktemp("unlabelled"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    return sf
+
+
+def test_odd_rows_go_through_every_stage(spark, odd_docs, no_labels):
+    """Nulls, blank and very long texts, repeated rows, and columns named like those used inside."""
+    for c in ("held_out", "predicted", "target", "source_size", "class_id", "value", "aside_0", "n_chars"):
+        odd_docs = odd_docs.withColumn(c, odd_docs["size"].cast("string"))
+    docs, counts = odd_docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        made = materialize(stage(spark, docs, no_labels), f"odd-{name}")
+        counts.append(made.count())
+        if name != "packing":
+            assert made.columns == odd_docs.columns
+            docs = made
+    # Nothing is toxic; of the three equal texts one stays.
+    assert counts[:3] == [9, 7, 7]
+    kept = {r["doc_id"]: r for r in docs.collect()}
+    if None in kept:
+        assert kept[None]["text"].startswith("mail [EMAIL] or [PHONE] from [IP]")
+    assert all(r["predicted"] == (None if r["size"] is None else str(r["size"])) for r in kept.values())
+    assert counts[4] >= counts[3]
+
+
+def test_an_empty_table_goes_through_every_stage(spark, no_docs, no_labels):
+    docs = no_docs
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, no_labels), f"empty-{name}")
+        assert docs.count() == 0
+        if name != "packing":
+            assert docs.columns == no_docs.columns

@@ -43,5 +43,13 @@ def test_odd_urls(spark):
     }
 
 
+def test_too_many_rules_are_refused(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(url_rules, "MAX_RULES", 2)
+    with pytest.raises(ValueError):
+        url_rules.judge_urls(spark.createDataFrame([(1, "a://b/")], "page_id int, url string"), URL_RULES)
+
+
 def test_empty(spark):
     assert url_rules.judge_urls(spark.createDataFrame([], "page_id int, url string"), URL_RULES).count() == 0
