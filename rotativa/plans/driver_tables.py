@@ -220,6 +220,94 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.col("page_id").alias("pagina"), html.alias("html"))
 
 
+def varied_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per article, with all that readers must put up with.
+
+    Copies of a text share a URL. By the id: failed and unknown statuses, missing pages, live badges, site
+    names behind titles, and JSON-LD as an object, as a list, with a broken script before it, with items that
+    are no articles, or left out for a meta element.
+    """
+    n, day = F.col("doc_id"), F.col("fecha").cast("string")
+    ident = n.cast("string")
+    script = lambda body: F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
+    whole = script(F.concat(F.lit('{"@type": "NewsArticle", "datePublished": "'), day, F.lit('T10:00:00-03:00", "articleSection": "Politica"}')))
+    several = script(
+        F.concat(F.lit('[{"@type": "Organization", "articleSection": "x"}, {"@type": "Article", "dateCreated": "'), day, F.lit('T11:30:00Z", "articleSection": ""}]'))
+    )
+    strange = script(F.concat(F.lit('[1, "x", null, {"@type": ["NewsArticle"], "datePublished": "1999-01-01"}, {"@type": "WebPage"}]')))
+    broken = F.concat(script(F.lit('{"@type": "NewsArticle", "datePublished": ')), whole)
+    meta = F.concat(F.lit('<meta property="article:published_time" content="'), day, F.lit('T09:15:00.250-0300">'))
+    described = F.when(n % 5 == 0, whole).when(n % 5 == 1, several).when(n % 5 == 2, broken).when(n % 5 == 3, F.concat(strange, meta)).otherwise(meta)
+    site = F.when(n % 3 == 0, " - LA NACION").when(n % 3 == 1, "-la nacion  ").otherwise(" - LA NACION Deportes")
+    badge = F.when(n % 4 == 0, '<span class="news-headline-lbp__live-badge">VIVO</span>').otherwise("")
+    summary = F.when(n % 2 == 0, F.concat(F.lit('<h2 class="news-headline__article-summary"> Resumen \n '), ident, F.lit(" </h2>"))).otherwise("")
+    html = F.concat(
+        F.lit("<html><head><title> Nota "), ident, site, F.lit('</title><meta name="description" content=" bajada '), ident, F.lit('  ">'),
+        described, F.lit("</head><body>"), badge, F.lit('<h1 class="news-headline__title big">Titular  '), ident, F.lit("</h1>"), summary,
+        F.lit('<article class="article-body"><p>corto '), ident, F.lit("</p><p>Un parrafo que pasa de los cuarenta caracteres, numero "),
+        ident, F.lit("</p></article></body></html>"),
+    )
+    status = F.when(n % 7 == 0, 404).when(n % 7 == 1, F.lit(None)).otherwise(200)
+    pages = news(spark, sf_dir).select("doc_id", "url", status.cast("int").alias("status"), F.when(n % 11 > 0, html).alias("html"))
+    return pages
+
+
+def labelled_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages of eleven articles: some anchors have a label, some no link, some come second."""
+    n = F.col("doc_id")
+    ident = n.cast("string")
+    label = F.when(n % 3 == 0, F.concat(F.lit(' aria-label="Ir a la nota Titular '), ident, F.lit('"'))).when(
+        n % 3 == 1, F.concat(F.lit(' aria-label="Titular '), ident, F.lit('"'))
+    ).otherwise("")
+    link = F.when(n % 5 > 0, F.concat(F.lit(' href="'), F.when(n % 2 == 0, F.lit(SITE)).otherwise(""), F.lit("/nota/"), ident, F.lit('"'))).otherwise("")
+    item = F.concat(F.lit("<article><div><a"), label, link, F.lit(">texto "), ident, F.lit('</a></div><a href="/otra">otra</a></article>'))
+    rows = news(spark, sf_dir).select("pagina", F.struct("doc_id", item.alias("item")).alias("i"))
+    joined = rows.groupBy("pagina").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    return joined.select("pagina", F.concat(F.lit("<html><body><a href='/menu'>menu</a>"), F.array_join("items.item", "\n"), F.lit("</body></html>")).alias("html"))
+
+
+def many_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of up to twenty entries, by turns RSS 2.0, Atom, RSS 1.0 and cut off in the middle."""
+    n = F.col("event_id")
+    kind = F.floor(n / 20) % 4
+    ident, link = n.cast("string"), F.concat(F.lit("https://example.com/e/"), n.cast("string"))
+    day = F.substring(F.col("ts").cast("string"), 1, 10)
+    rss = F.concat(
+        F.lit("<item><title><![CDATA[ T & "), ident, F.lit("]]></title>"), F.when(n % 6 > 0, F.concat(F.lit("<link> "), link, F.lit("</link>"))).otherwise(""),
+        F.when(n % 4 > 0, F.concat(F.lit("<pubDate>"), day, F.lit("</pubDate>"))).otherwise(F.concat(F.lit("<updated>u "), day, F.lit("</updated>"))), F.lit("</item>"),
+    )
+    atom = F.concat(
+        F.lit("<entry><title>A "), ident, F.lit('</title><link rel="self" href="self"/>'),
+        F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("<link"), F.when(n % 3 == 1, F.lit(' rel="alternate"')).otherwise(""), F.lit(' href="'), link, F.lit('"/>'))),
+        F.lit("<updated>"), day, F.lit("</updated></entry>"),
+    )
+    old = F.concat(F.lit("<item><title>R "), ident, F.lit("</title><link>"), link, F.lit('</link><dc:date>'), day, F.lit("</dc:date></item>"))
+    item = F.when(kind == 1, atom).when(kind == 2, old).otherwise(rss)
+    rows = table(spark, sf_dir, "events").select(F.floor(n / 20).alias("feed"), kind.alias("kind"), F.struct("event_id", item.alias("item")).alias("i"))
+    joined = rows.groupBy("feed", "kind").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    body = F.array_join("items.item", "")
+    xml = (
+        F.when(F.col("kind") == 1, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>'), body, F.lit("</feed>")))
+        .when(F.col("kind") == 2, F.concat(F.lit('<rdf:RDF xmlns:rdf="http://r" xmlns:dc="http://d"><channel><title>c</title></channel>'), body, F.lit("</rdf:RDF>")))
+        .when(F.col("kind") == 3, F.concat(F.lit("<rss><channel>"), body))
+        .otherwise(F.concat(F.lit("<rss><channel><title>c</title>"), body, F.lit("</channel></rss>")))
+    )
+    return joined.select("feed", xml.alias("xml"))
+
+
+def many_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemaps of up to thirty entries; some have no address, some a news date, some no date at all."""
+    n = F.col("page_id")
+    loc = F.when(n % 8 > 0, F.concat(F.lit("<loc>\n "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc>"))).otherwise("")
+    dated = F.when(n % 3 == 0, F.concat(F.lit("<news:news><news:publication_date>"), _day("page_id").cast("string"), F.lit("</news:publication_date></news:news>"))).otherwise("")
+    last = F.when(n % 5 > 0, "<lastmod>2024-06-01</lastmod>").otherwise("")
+    entry = F.concat(F.lit("<url>"), loc, last, dated, F.lit("</url>"))
+    rows = table(spark, sf_dir, "pages").select(F.floor(n / 30).alias("sitemap"), F.struct("page_id", entry.alias("entry")).alias("e"))
+    joined = rows.groupBy("sitemap").agg(F.array_sort(F.collect_list("e")).alias("entries"))
+    xml = F.concat(F.lit('<urlset xmlns:news="http://example.com/news">'), F.array_join("entries.entry", "\n"), F.lit("</urlset>"))
+    return joined.select("sitemap", xml.alias("xml"))
+
+
 ANSWER = {
     "diario": None,
     "fecha": "",

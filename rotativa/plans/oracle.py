@@ -206,6 +206,12 @@ answers AS (
          CASE WHEN unread THEN 'unreadable' WHEN abroad = 2 THEN 'type' END FROM given)"""
 
 
+_VARIED = f"""
+{_NEWS},
+varied AS (
+  SELECT *, doc_id % 7 NOT IN (0, 1) AS read, doc_id % 11 > 0 AS there, CAST(fecha AS VARCHAR) AS dia FROM news)"""
+
+
 _ANSWERED = """
 answered AS (
   SELECT n.*, l.quality, l.toxic, l.quality = 1 AS good FROM news n LEFT JOIN labels l USING (doc_id))"""
@@ -554,6 +560,43 @@ WHERE starts_with(url, 'https://') AND (contains(lower({_PATH}), '/en/') OR cont
     "q_page_lookup": f"""
 SELECT url AS link, CASE WHEN page_id % 2 = 1 THEN CAST({_PAGE_DAY} AS VARCHAR) ELSE '2024-06-01' END AS lastmod, page_id
 FROM pages""",
+    "q_feed_many": """
+WITH entries AS (
+  SELECT event_id // 20 AS feed, (event_id // 20) % 4 AS kind, row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id) - 1 AS entry_pos,
+         event_id AS n, 'https://example.com/e/' || event_id AS url, strftime(ts, '%Y-%m-%d') AS dia FROM events)
+SELECT feed, entry_pos, CASE kind WHEN 1 THEN 'A ' WHEN 2 THEN 'R ' ELSE 'T & ' END || n AS title,
+       CASE WHEN kind = 1 AND n % 3 = 0 THEN 'self' WHEN kind = 0 AND n % 6 = 0 THEN '' ELSE url END AS link,
+       CASE WHEN kind = 0 AND n % 4 = 0 THEN 'u ' ELSE '' END || dia AS published
+FROM entries WHERE kind < 3""",
+    "q_feed_quarantine": "SELECT DISTINCT event_id // 20 AS feed, 'malformed XML' AS error FROM events WHERE (event_id // 20) % 4 = 3",
+    "q_sitemap_many": f"""
+SELECT page_id // 30 AS sitemap, row_number() OVER (PARTITION BY page_id // 30 ORDER BY page_id) - 1 AS pos, url,
+       CASE WHEN page_id % 3 = 0 THEN CAST({_PAGE_DAY} AS VARCHAR) WHEN page_id % 5 > 0 THEN '2024-06-01' END AS lastmod
+FROM pages QUALIFY page_id % 8 > 0""",
+    "q_linked_varied": f"""
+WITH {_VARIED}
+SELECT regexp_extract(url, '-nid([0-9]+)', 1) AS id, CASE WHEN there AND doc_id % 5 IN (0, 2) THEN 'Politica' ELSE seccion END AS seccion,
+       CASE WHEN there THEN dia || CASE doc_id % 5 WHEN 1 THEN 'T11:30:00+00:00' WHEN 0 THEN 'T10:00:00-03:00' WHEN 2 THEN 'T10:00:00-03:00'
+         ELSE 'T09:15:00.25-03:00' END END AS fecha_publicacion,
+       CASE WHEN there THEN 'Nota ' || doc_id || CASE WHEN doc_id % 3 = 2 THEN ' - LA NACION Deportes' ELSE '' END END AS titulo, url,
+       CASE WHEN there THEN 'bajada ' || doc_id END AS bajada,
+       CASE WHEN there THEN 'Un parrafo que pasa de los cuarenta caracteres, numero ' || doc_id END AS texto, 200::BIGINT AS status
+FROM varied WHERE read""",
+    "q_headline_varied": f"""
+WITH {_VARIED}
+SELECT url, 'No encontrada' AS fecha_raw, 'Titular ' || doc_id AS titulo, CASE WHEN doc_id % 2 = 0 THEN 'Resumen ' || doc_id ELSE 'No encontrado' END AS resumen,
+       'corto ' || doc_id || 'Un parrafo que pasa de los cuarenta caracteres, numero ' || doc_id AS articulo
+FROM varied WHERE read AND there AND doc_id % 4 > 0""",
+    "q_unreadable_pages": "SELECT doc_id, 'no page' AS error FROM documents WHERE doc_id % 11 = 0",
+    "q_varied_lookup": f"""
+WITH {_VARIED}, first_page AS (SELECT url, min(doc_id) AS page_doc FROM varied WHERE read GROUP BY url)
+SELECT doc_id, page_doc FROM varied JOIN first_page USING (url)""",
+    "q_listing_labels": """
+WITH articles AS (SELECT doc_id, doc_id // 11 AS pagina, row_number() OVER (PARTITION BY doc_id // 11 ORDER BY doc_id) AS nth FROM documents)
+SELECT pagina, nth - 1 AS pos, CASE WHEN doc_id % 5 > 0 AND doc_id % 3 < 2 THEN 'Titular ' || doc_id END AS title,
+       'https://www.example.com' || CASE WHEN doc_id % 5 > 0 THEN '/nota/' || doc_id ELSE '/otra' END AS link
+FROM articles""",
+    "q_page_file_rows": "SELECT filas, count(*) AS archivos FROM (SELECT count(*) AS filas FROM documents GROUP BY doc_id // 11) GROUP BY filas",
     "q_l2_normalize": """
 WITH parts AS (
   SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x,

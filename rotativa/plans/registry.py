@@ -381,6 +381,65 @@ def q_page_lookup(spark, sf):
     return found.select("link", "lastmod", "page_id")
 
 
+# The same readers over documents with many entries, failures and odd pieces
+
+
+def q_feed_many(spark, sf):
+    """Entries of feeds in three dialects; those cut off have none."""
+    found = xml_feeds.feed_entries(data.many_feeds(spark, sf))
+    return found.select("feed", F.col("entry_pos").cast("long").alias("entry_pos"), "title", "link", "published")
+
+
+def q_feed_quarantine(spark, sf):
+    return xml_feeds.unreadable(data.many_feeds(spark, sf)).select("feed", "error")
+
+
+def q_sitemap_many(spark, sf):
+    found = xml_feeds.sitemap_urls(data.many_sitemaps(spark, sf))
+    return found.select("sitemap", F.col("pos").cast("long").alias("pos"), "url", "lastmod")
+
+
+def q_linked_varied(spark, sf):
+    """Article records where statuses, JSON-LD and titles vary; failed pages give none, missing ones the address alone."""
+    found = articles.linked_records(articles.fetched(data.varied_pages(spark, sf)), "LA NACION", with_text=True)
+    return found.withColumn("status", F.col("status").cast("long"))
+
+
+def q_headline_varied(spark, sf):
+    """Records without live blogs."""
+    found = articles.headline_records(articles.fetched(data.varied_pages(spark, sf)), "economia")
+    return found.select("url", "fecha_raw", "titulo", "resumen", "articulo")
+
+
+def q_unreadable_pages(spark, sf):
+    return articles.unreadable_pages(data.varied_pages(spark, sf)).select("doc_id", "error")
+
+
+def q_varied_lookup(spark, sf):
+    """Every article's URL with the one page that was read for it, the first by id."""
+    pages = articles.fetched(data.varied_pages(spark, sf)).withColumnRenamed("doc_id", "page_doc")
+    listing = data.news(spark, sf).select("doc_id", F.col("url").alias("link"))
+    return lookup_pages(listing, pages, ["page_doc"]).select("doc_id", "page_doc")
+
+
+def q_listing_labels(spark, sf):
+    """Titles from labels, links of the first anchor that has one."""
+    parsed = articles.parse_pages(data.labelled_listings(spark, sf))
+    found = articles.listing_links(parsed, data.SITE, title_from="label", with_href=True)
+    return found.select("pagina", F.col("pos").cast("long").alias("pos"), "title", "link")
+
+
+def q_page_file_rows(spark, sf):
+    """Files per number of rows, of a folder with a CSV file per listing page."""
+    path = shared_dir(spark, "page-files")
+    rows = data.news(spark, sf).select("pagina", "diario", _iso("fecha").alias("fecha"), F.col("titulo").alias("titulo noticia"), "contenido", F.col("url").alias("link"))
+    one = rows.repartition(8, "pagina").sortWithinPartitions("pagina")
+    one.write.options(header="true", escape='"').partitionBy("pagina").csv(path)
+    read = readers.read_page_files(spark, f"{path}/*/*.csv", RAW_ARTICLE)
+    files = aggregates.counts_by(read.withColumn("archivo", F.col("_metadata.file_path")), "archivo", name="filas")
+    return aggregates.counts_by(files, "filas", name="archivos")
+
+
 # Vectors
 
 
