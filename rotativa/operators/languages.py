@@ -13,9 +13,9 @@ PROFILE = 300
 
 def letter_triples(text: str) -> Column:
     """All runs of three letters of a text's words, which have a mark before and behind."""
-    words = F.regexp_extract_all(F.lower(or_default(text)), F.lit(r"\p{L}+"), F.lit(0))
-    padded = F.transform(words, lambda w: F.concat(F.lit("_"), w, F.lit("_")))
-    return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
+    marked = F.concat(F.lit("_"), F.regexp_replace(F.lower(or_default(text)), r"[^\p{L}]+", "_"), F.lit("_"))
+    # One pass that looks at every place; marks are neighbours of one word only.
+    return F.regexp_extract_all(marked, F.lit(r"(?=([^_]{3}|_[^_]{2}|[^_]{2}_|_[^_]_))"), F.lit(1))
 
 
 def profiles(df: DataFrame, language: str, text: str, size: int = PROFILE) -> DataFrame:
