@@ -388,6 +388,15 @@ def load_failing_scorer():
     return ask
 
 
+def load_no_scorer():
+    """A model that cannot be reached."""
+
+    def ask(prompts: list[str]) -> list[str]:
+        raise ConnectionError("no model")
+
+    return ask
+
+
 # Letters that the stand-in encoder looks for.
 STUB_LETTERS = "aeinrstu"
 

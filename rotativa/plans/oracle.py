@@ -715,7 +715,9 @@ WITH {_NEWS}, prompts AS (SELECT doc_id, {_user_prompt()} AS p FROM news)
 SELECT doc_id, length(p) AS largo, contains(lower(p), ' {STUB_WORDS['inflacion']} ') AS inflacion,
        contains(lower(p), ' {STUB_WORDS['pbi']} ') AS pbi
 FROM prompts""",
-    "q_score_missing": f"WITH {_NEWS} SELECT doc_id, url, true AS answered FROM news",
+    "q_score_missing": f"""
+WITH {_NEWS}, prompts AS (SELECT doc_id, url, {_user_prompt()} AS p FROM news)
+SELECT doc_id, url, length(p) AS largo, contains(lower(p), ' {STUB_WORDS['reservas']} ') AS reservas, true AS answered FROM prompts""",
     "q_parse_features": f"""
 WITH {_NEWS}, {_ANSWERED}
 SELECT doc_id, quality IS NULL AS corrupt, CASE WHEN quality IS NOT NULL THEN 0.25::DOUBLE END AS confianza,

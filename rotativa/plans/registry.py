@@ -644,12 +644,15 @@ def q_score(spark, sf):
 
 
 def q_score_missing(spark, sf):
-    """Score with a stored answer table; the second pass finds every answer there."""
+    """Score with a stored answer table; the second pass, whose model only fails, finds every answer there."""
     path = shared_dir(spark, "answers")
     prompts = features.with_prompt(data.news(spark, sf)).select("doc_id", "url", "user_prompt")
     features.score_missing(prompts, data.load_stub_scorer, path)
-    answered = features.score_missing(prompts, data.load_stub_scorer, path)
-    return answered.select("doc_id", "url", F.col("response").isNotNull().alias("answered"))
+    answered = features.parse_features(features.score_missing(prompts, data.load_no_scorer, path))
+    return answered.select(
+        "doc_id", "url", F.col("features.evento.horizonte_dias").cast("long").alias("largo"),
+        F.col("features.tematicas.menciona_reservas").alias("reservas"), F.col("error").isNull().alias("answered"),
+    )
 
 
 def q_parse_features(spark, sf):
