@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rotativa.constants import BORDER_DAYS, WINDOW_END, WINDOW_START
 from rotativa.functions.dates import parse_day
+from rotativa.operators.joins import SMALL_KEY_ROWS, copy_rows, hot_keys, split_rows
 
 
 def date_window(df: DataFrame, col: str = "fecha", start: str = WINDOW_START, end: str = WINDOW_END) -> DataFrame:
@@ -56,13 +57,16 @@ def months_overlapping(df: DataFrame, month: Column, start: date | str, end: dat
     return df.filter((month >= F.lit(first.replace(day=1))) & (month <= F.lit(last)))
 
 
-def month_window_join(df: DataFrame, month_col: str, windows: DataFrame) -> DataFrame:
+def month_window_join(df: DataFrame, month_col: str, windows: DataFrame, small: int = SMALL_KEY_ROWS) -> DataFrame:
     """Pair rows with every window (``start``, ``end`` and other columns) their month overlaps.
 
     Each window is expanded to its months, so this is an equi-join and not a range comparison of
-    all pairs. A month listed twice in one window is impossible, so nothing is repeated.
+    all pairs. A month listed twice in one window is impossible, so nothing is repeated. There are few
+    months, so those with many rows are split and the windows copied to their parts.
     """
     months = windows.withColumn(
         month_col, F.explode(F.sequence(F.trunc("start", "MM"), F.col("end"), F.expr("INTERVAL 1 MONTH")))
     )
-    return df.join(months, month_col)
+    hot = hot_keys(df, [month_col], small)
+    left, right = split_rows(df, hot, [month_col]), copy_rows(months, hot, [month_col])
+    return left.join(right, [month_col, "_part"]).drop("_part")

@@ -140,6 +140,14 @@ def test_month_windows_match_brute_force(spark):
     assert {(r["mes"], r["w"]) for r in found.collect()} == expected
 
 
+def test_hot_months_are_split(spark):
+    rows = [(date(2025, 1, 1), i) for i in range(90)] + [(None, 500), (date(2025, 2, 1), 501)]
+    df = spark.createDataFrame(rows, "mes date, k int")
+    windows = spark.createDataFrame([("a", date(2024, 12, 5), date(2025, 1, 2)), ("b", date(2025, 1, 1), date(2025, 2, 1))], "w string, start date, end date")
+    found = filters.month_window_join(df, "mes", windows, small=20).collect()
+    assert sorted((r["k"], r["w"]) for r in found) == sorted([(i, w) for i in range(90) for w in "ab"] + [(501, "b")])
+
+
 def test_quarantine(spark):
     df = spark.createDataFrame([("2025-01-01",), ("nada",), (None,)], "f string")
     good, bad = filters.good_and_bad_dates(df, "f")
