@@ -1,13 +1,16 @@
 """Repetition inside a text, from suffix arrays over its words.
 
 The words of many texts form one sequence in which every text ends in a word of its own. Prefix
-doubling sorts all suffixes; the ranks of each doubling step give the longest common prefix of
+doubling sorts all suffixes, and a scan along the text gives the longest common prefix of
 neighbours. An interval of that array with value n is a substring of n words that occurs at all its
-suffixes and cannot be extended; the deepest interval around a suffix marks the words that this
-suffix shares. The union of those spans and the longest of them are what the rule limits.
+suffixes and cannot be extended to the right at all of them; it is maximal if the words before its suffixes differ
+too. Each suffix belongs to its deepest interval, and the spans of the maximal ones are united: the words of
+an interval that could be extended to the left lie within the spans of the longer one. The covered fraction and the longest
+repeat are what the rule limits.
 
 Null and empty texts have no words and no repeats. Repeated rows get a row each, an empty table an
-empty result; texts of any length are read whole. Extra columns pass through the query's select.
+empty result; texts of any length are read whole, with a few arrays of numbers as long as the text. Ties
+don't arise. Extra columns pass through the query's select.
 """
 
 from __future__ import annotations
@@ -24,19 +27,22 @@ MIN_REPEAT = 8
 MAX_COVERED = 0.2
 MAX_LONGEST = 50
 BATCH_WORDS = 400_000
+COMPARED = 64  # words compared at once
 SYMBOLS = "#*$%&|<>"
 
 
-def suffix_order(words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array of a sequence, and the ranks by the first 1, 2, 4, ... words.
+def suffix_order(words: np.ndarray, alike: int = 1) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffix array of a sequence, ranks by the first words, and how many: as doubling reaches within ``alike``.
 
     Suffixes with equal beginnings share the rank of the first of them; a step sorts only those that
     still share one.
     """
     n = len(words)
     order = np.argsort(words, kind="stable")
-    rank = _ranks(words[order], order, np.arange(n))
-    levels, length = [rank], 1
+    new = np.r_[True, words[order][1:] != words[order][:-1]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    kept, reach, length = rank, 1, 1
     while True:
         counts = np.bincount(rank, minlength=n)
         tied = np.flatnonzero(counts[rank] > 1)
@@ -47,47 +53,99 @@ def suffix_order(words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         at = np.lexsort((second, rank[tied]))
         sorted_ = tied[at]
         key = rank[sorted_] * np.int64(n + 1) + second[at]
-        fresh = rank.copy()
         # Within its old group, a suffix ranks by the first place of those equal to it.
         starts = np.flatnonzero(np.r_[True, rank[sorted_][1:] != rank[sorted_][:-1]])
         inside = np.arange(len(sorted_)) - np.repeat(starts, np.diff(np.r_[starts, len(sorted_)]))
         new = np.r_[True, key[1:] != key[:-1]]
         first = np.maximum.accumulate(np.where(new, np.arange(len(sorted_)), 0))
+        fresh = rank.copy()
         fresh[sorted_] = rank[sorted_] + inside[first]
         rank, length = fresh, length * 2
-        levels.append(rank)
-    order = np.argsort(rank, kind="stable")
-    return order, levels
-
+        if length <= alike:
+            kept, reach = rank, length
+    return np.argsort(rank, kind="stable"), kept, reach
 
-def _ranks(sorted_values: np.ndarray, order: np.ndarray, places: np.ndarray) -> np.ndarray:
-    new = np.r_[True, sorted_values[1:] != sorted_values[:-1]]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, places, 0))
-    return rank
 
+def common_prefixes(words: np.ndarray, order: np.ndarray, kept: np.ndarray, reach: int) -> np.ndarray:
+    """Words that each suffix of the array shares with the one before it; ``kept`` ranks them by ``reach`` words.
 
-def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """Words that each suffix of the array shares with the one before it."""
+    Along the text, a suffix shares at most one word less with its neighbour than the suffix before
+    it did, so what was compared once isn't compared again.
+    """
     n = len(order)
-    shared = np.zeros(n, np.int64)
-    tied = np.flatnonzero(levels[0][order[1:]] == levels[0][order[:-1]]) + 1
-    a, b = order[tied - 1], order[tied]
-    found = np.zeros(len(tied), np.int64)
-    for step in range(len(levels) - 1, -1, -1):
-        x, y = a + found, b + found
-        inside = np.maximum(x, y) < n
-        same = inside & (levels[step][np.minimum(x, n - 1)] == levels[step][np.minimum(y, n - 1)])
-        found += same.astype(np.int64) << step
-    shared[tied] = found
+    shared, same = np.zeros(n, np.int64), np.ones(n - 1, bool)
+    for step in range(reach):
+        x, y = order[:-1] + step, order[1:] + step
+        same &= np.maximum(x, y) < n
+        same[same] = words[x[same]] == words[y[same]]
+        shared[1:] += same
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    tied = np.flatnonzero(kept[order[1:]] == kept[order[:-1]]) + 1
+    found, last = 0, -2
+    for at in np.sort(order[tied]).tolist():
+        found = max(reach, found - 1) if at == last + 1 else reach
+        other, last = int(order[place[at] - 1]), at
+        room = n - max(at, other)
+        found = min(found, room)
+        while found < room:
+            step = min(COMPARED, room - found)
+            differ = words[at + found : at + found + step] != words[other + found : other + found + step]
+            equal = int(differ.argmax()) if differ.any() else step
+            found += equal
+            if equal < step:
+                break
+        shared[place[at]] = found
     return shared
 
 
-def deepest(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """For each position, the words of the longest substring that starts there and occurs elsewhere."""
-    longest = np.empty(len(order), np.int64)
-    longest[order] = np.maximum(shared, np.r_[shared[1:], 0])
-    return longest
+def intervals(shared: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, first and last suffix of every interval of at least ``least`` words, and each edge's deepest interval or -1.
+
+    Suffixes are numbered by their place in the array; edge i lies between suffix i - 1 and suffix i.
+    """
+    depth, left, right, of_edge = [], [], [], np.full(len(shared) + 1, -1, np.int64)
+    stack, before = [], -2
+    edges = np.flatnonzero(shared >= least)
+    for edge, value in zip(edges.tolist(), shared[edges].tolist(), strict=True):
+        if edge != before + 1:
+            for i in stack:
+                right[i] = before
+            stack.clear()
+        start = edge - 1
+        while stack and depth[stack[-1]] > value:
+            start = left[stack[-1]]
+            right[stack.pop()] = edge - 1
+        if not stack or depth[stack[-1]] < value:
+            stack.append(len(depth))
+            depth.append(value)
+            left.append(start)
+            right.append(edge)
+        of_edge[edge] = stack[-1]
+        before = edge
+    for i in stack:
+        right[i] = before
+    return *(np.array(x, np.int64) for x in (depth, left, right)), of_edge
+
+
+def maximal(words: np.ndarray, order: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which intervals have suffixes with different words before them; the beginning counts as a word of its own."""
+    before = np.where(order > 0, words[order - 1], -1)
+    changes = np.cumsum(np.r_[0, before[1:] != before[:-1]])
+    return changes[right] > changes[left]
+
+
+def repeat_spans(words: np.ndarray, order: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """For each position, the words of the deepest interval there if that one is maximal, else 0."""
+    depth, left, right, of_edge = intervals(shared, least)
+    if not len(depth):
+        return np.zeros(len(words), np.int64)
+    size = np.r_[depth, 0]  # the last stands for no interval
+    one, two = of_edge[:-1], of_edge[1:]
+    deepest = np.where(size[one] >= size[two], one, two)
+    spans = np.zeros(len(words), np.int64)
+    spans[order] = np.where(np.r_[maximal(words, order, left, right), False][deepest], size[deepest], 0)
+    return spans
 
 
 def covered(lengths: np.ndarray) -> np.ndarray:
@@ -108,20 +166,10 @@ def maximal_repeats(words: list, least: int = MIN_REPEAT) -> list[tuple[int, lis
         return []
     names = {w: i for i, w in enumerate(dict.fromkeys(words))}
     ids = np.array([names[w] for w in words] + [len(names)], np.int64)
-    order, levels = suffix_order(ids)
-    shared = common_prefixes(order, levels)
-    found, stack = [], []
-    for i, value in enumerate([*shared[1:], 0]):
-        left = i
-        while stack and stack[-1][0] > value:
-            depth, left = stack.pop()
-            places = order[left : i + 1]
-            before = {int(ids[p - 1]) if p else -1 for p in places}
-            if depth >= least and (len(before) > 1 or -1 in before):
-                found.append((int(depth), sorted(map(int, places))))
-        if value and (not stack or stack[-1][0] < value):
-            stack.append((value, left))
-    return found
+    order, kept, reach = suffix_order(ids, least)
+    depth, left, right, _ = intervals(common_prefixes(ids, order, kept, reach), least)
+    chosen = np.flatnonzero(maximal(ids, order, left, right)) if len(depth) else []
+    return [(int(depth[i]), sorted(order[left[i] : right[i] + 1].tolist())) for i in chosen]
 
 
 class Measure:
@@ -145,10 +193,12 @@ class Measure:
         # equal words of two texts are different words.
         own = np.repeat(np.arange(len(texts)), np.diff(np.r_[0, ends]))
         sequence = own * np.int64(len(names) + len(texts) + 1) + sequence
-        order, levels = suffix_order(sequence)
-        longest = deepest(order, common_prefixes(order, levels))
+        order, kept, reach = suffix_order(sequence, min(self.window, self.least))
+        shared = common_prefixes(sequence, order, kept, reach)
+        longest = np.empty(len(order), np.int64)
+        longest[order] = np.maximum(shared, np.r_[shared[1:], 0])
         windows = covered(np.where(longest >= self.window, self.window, 0))
-        spans = covered(np.where(longest >= self.least, longest, 0))
+        spans = covered(repeat_spans(sequence, order, shared, self.least))
         at = np.array([0, *ends[:-1]])
         sums = [np.add.reduceat(x.astype(np.int64), at) for x in (windows, spans)]
         return list(zip(*[s.tolist() for s in sums], np.maximum.reduceat(longest, at).tolist(), strict=True))

@@ -73,3 +73,17 @@ def test_query_over_the_table(spark, tmp_path):
 
 def test_empty(no_docs):
     assert repetition.measure_repetition(no_docs).count() == 0
+
+
+def test_long_periodic_texts_take_linear_time():
+    """Every suffix shares nearly all of its words with the next, and intervals lie within intervals."""
+    for period in (1, 9):
+        words = [b"w%d" % (i % period) for i in range(60_000)]
+        assert repetition.Measure(5, 8)([words]) == [(60_000, 60_000, 60_000 - period)]
+
+
+def test_intervals_that_reach_to_the_left_add_no_words():
+    words = "x a b c d e f g h i q a b c d e f g h i z x a b c d e f g h i".split()
+    found = repetition.maximal_repeats(words, 8)
+    assert sorted(found) == [(9, [1, 11, 22]), (10, [0, 21])]
+    assert repetition.Measure(5, 8)([[w.encode() for w in words]]) == [brute(words)]
