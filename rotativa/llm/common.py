@@ -37,8 +37,11 @@ def unit_hash(text: Column) -> Column:
 
 
 def worker_state(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, across its tasks."""
-    return sys.__dict__.setdefault("_rotativa_state", {}).setdefault(name, {})
+    """A dictionary that lives as long as the Python worker, across its tasks, until another operator asks for one."""
+    states = sys.__dict__.setdefault("_rotativa_state", {})
+    for other in [k for k in states if k != name]:
+        del states[other]
+    return states.setdefault(name, {})
 
 
 def hot_keys(df: DataFrame, keys: list[str], least: int = 64) -> DataFrame:

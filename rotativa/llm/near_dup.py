@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotativa.llm.common import SHARES, hot_keys, possibly_in, text_or_empty, with_parts
+from rotativa.llm.common import SHARES, hot_keys, possibly_in, text_or_empty, with_parts, worker_state
 from rotativa.session import materialize
 
 SHINGLE = 5
@@ -126,6 +126,7 @@ def signed(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
     """(doc_id, node, keys): the text's hash and its band keys; null keys for a text without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]):
+        worker_state("near duplicates")  # lets go of what the operator before has kept
         for batch in batches:
             ids, nodes, texts = (batch.column(n) for n in ("doc_id", "node", "text"))
             at = 0

@@ -333,7 +333,7 @@ class Scorer:
         vectors, p = self.net.vectors(fresh), self.net.p
         products = np.hstack([vectors @ p["Wf"] + p["cf"], vectors @ p["Wb"] + p["cb"]]).astype(np.float32)
         if used + len(fresh) > len(self.kept["x"]):
-            grown = np.zeros((max(2 * len(self.kept["x"]), used + len(fresh)), 6 * HIDDEN), np.float32)
+            grown = np.zeros((max(min(2 * len(self.kept["x"]), CACHED_WORDS), used + len(fresh)), 6 * HIDDEN), np.float32)
             grown[:used] = self.kept["x"][:used]
             self.kept["x"] = grown
         self.kept["x"][used : used + len(fresh)] = products
