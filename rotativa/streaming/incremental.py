@@ -8,13 +8,9 @@ What a stream has seen is kept in its state store by key, so a batch touches its
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from rotativa.functions.dates import utc_instant, utc_wall
 from rotativa.operators.dedup import seen_keys, unseen
@@ -51,45 +47,34 @@ def drop_repeats(stream: DataFrame, keys: list[str], time: str, delay: str) -> D
     return _event_time(stream, time).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-class FirstRow(StatefulProcessor):
-    """Lets the first row of each key through, by the order columns among rows of one batch, and no later one."""
-
-    def __init__(self, order: list[str]):
-        self.order = order
-
-    def init(self, handle) -> None:
-        self.seen = handle.getValueState("seen", "known boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Rows travel as one struct, which keeps their types; nulls come first, as in a sort. Names that
-        # begin with an underscore would be changed on the way.
-        place = lambda row: [(row[c] is not None, row[c]) for c in self.order]
-        least = None
-        for frame in rows:
-            for row in frame.get("row", ()):  # none for a key of the initial state alone
-                if least is None or place(row) < place(least):
-                    least = row
-        if least is not None and not self.seen.exists():
-            self.seen.update((True,))
-            yield pd.DataFrame({"row": pd.Series([least], dtype=object)})
+def known_keys(stored: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """The keys of ``stored`` as a stream. They are copied to ``path`` once, so every later start reads the same files."""
+    spark = stored.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        stored.select(*keys).distinct().write.mode("overwrite").parquet(path)
+    return spark.readStream.schema(stored.select(*keys).schema).parquet(path)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.seen.update((True,))
 
+def first_ever(stream: DataFrame, keys: list[str], order: list[str], known: DataFrame | None = None) -> DataFrame:
+    """The first row of each key that the stream has not had before, by the order columns among rows of one batch.
 
-def first_ever(stream: DataFrame, keys: list[str], order: list[str], stored: DataFrame | None = None) -> DataFrame:
-    """The first row of each key that the stream has not had before, and that ``stored`` doesn't hold when the stream begins.
+    Nulls come first, as in a sort. ``known`` is a stream of keys that count as seen, all of them in its first
+    batch. Keys stay in the state store for good, with their first row. Write the result in update mode.
 
-    Keys that were seen stay in the state store for good. ``stored`` is read once, with the first batch.
+    A key's row leaves in the batch that brought the key: then the times of its first and last batch are the
+    same. The time is that of the batch, which a repetition of it has too.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    rows = stream.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.struct("*").alias("row")).groupBy(*[f"key_{i}" for i in range(len(keys))])
-    initial = None
-    if stored is not None:
-        named = stored.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)]).distinct()
-        initial = named.groupBy(*named.columns)
-    out = T.StructType().add("row", stream.schema)
-    return rows.transformWithStateInPandas(FirstRow(order), out, "append", "none", initial).select("row.*")
+    named = [F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)]
+    rows = stream.select(*named, F.struct("*").alias("row"), F.struct(*order).alias("place"), F.current_timestamp().alias("at"))
+    if known is not None:
+        nothing = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("row", "place")]
+        rows = rows.unionByName(known.select(*named, *nothing, F.timestamp_seconds(F.lit(0)).alias("at")))
+    seen = rows.groupBy(*[f"key_{i}" for i in range(len(keys))]).agg(
+        F.min_by("row", "place").alias("row"), F.min("at").alias("born"), F.max("at").alias("latest")
+    )
+    return seen.filter("born = latest AND row IS NOT NULL").select("row.*")
 
 
 class Attempts:
@@ -116,7 +101,8 @@ def append_unseen(
     """
     spark = stream.sparkSession
     stored = seen_keys(table_or_empty(spark, path, stream.schema), key)
-    new = first_ever(stream.filter(F.col(key).isNotNull()), [key], order, stored)
+    known = known_keys(stored, [key], f"{checkpoint.rstrip('/')}/known")
+    new = first_ever(stream.filter(F.col(key).isNotNull()), [key], order, known)
     attempts = Attempts(spark, checkpoint)
 
     def add(batch: DataFrame, batch_id: int) -> None:
@@ -124,7 +110,7 @@ def append_unseen(
             batch = unseen(batch, table_or_empty(batch.sparkSession, path, batch.schema), order, key).select(*batch.columns)
         batch.write.mode("append").parquet(path)
 
-    return _start(new.writeStream.foreachBatch(add), checkpoint, every)
+    return _start(new.writeStream.outputMode("update").foreachBatch(add), checkpoint, every)
 
 
 def daily_counts(
@@ -174,4 +160,4 @@ def rolling_top(
             entries = entries.unionByName(before.select(*entries.columns))
         table.write(rss_ranked(entries, n, seen_order=("poll", "feed_pos", "entry_pos")), batch_id)
 
-    return _start(new.writeStream.foreachBatch(update), checkpoint, every)
+    return _start(new.writeStream.outputMode("update").foreachBatch(update), checkpoint, every)

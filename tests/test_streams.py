@@ -117,3 +117,9 @@ def test_rolling_top(spark, arrivals, tmp_path):
     assert [(r["rank_in_source"], r["title"], r["date"]) for r in top.collect()] == [
         (1, "d", "2025-01-02"), (2, "c", "2025-01-01"), (3, "b", "2025-01-01")
     ]
+
+
+def test_first_rows_of_keys_are_found_without_python(spark, arrivals):
+    new = inc.first_ever(stream(spark, arrivals), ["url"], ["pos"])
+    plan = new._jdf.queryExecution().analyzed().toString()
+    assert "Pandas" not in plan and "Python" not in plan and new.columns == ["url", "pos", "ts"]
