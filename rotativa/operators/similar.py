@@ -2,78 +2,69 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rotativa.functions.vectors import as_doubles, l2_norm, l2_normalize
-from rotativa.operators.joins import join_one
 from rotativa.operators.rank import top_n
 from rotativa.operators.vectors import cosine_matrix
 from rotativa.session import materialize
 
-BANDS, BITS, FLIPS = 16, 16, 8
 LEAST = 0.65
-
-
-def band_codes(rows: DataFrame, bands: int = BANDS, bits: int = BITS, flips: int = 0, seed: int = 11) -> DataFrame:
-    """(id, code): for each band, on which sides of ``bits`` random hyperplanes through 0 a vector lies.
-
-    With ``flips``, also the codes in which any of the band's ``flips`` least certain sides, those whose
-    planes pass closest to the vector, are turned.
-    """
-
-    def make(batches: Iterator[pa.RecordBatch]):
-        planes = None
-        subsets = (np.arange(1 << flips)[:, None] >> np.arange(flips) & 1).astype(np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                x = part.column("vector").flatten().to_numpy().reshape(part.num_rows, -1)
-                if planes is None:
-                    planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * bits))
-                far = (x @ planes).reshape(len(x), bands, bits)
-                code = ((far > 0) << np.arange(bits)).sum(axis=2)
-                closest = np.argsort(np.abs(far), axis=2)[:, :, :flips]
-                turned = np.einsum("nbf,sf->nbs", np.int64(1) << closest, subsets)
-                codes = (code[:, :, None] ^ turned) | (np.arange(bands) << 32)[:, None]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(list(codes.reshape(len(x), -1)), pa.list_(pa.int64()))], names=["id", "codes"]
-                )
-
-    kind = rows.schema["id"].dataType.simpleString()
-    made = rows.mapInArrow(make, f"id {kind}, codes array<bigint>")
-    return made.select("id", F.explode("codes").alias("code"))
+# A task compares about so many queries with about so many rows, and a few queries at once.
+QUERIES, ROWS, TOGETHER = 65536, 49152, 128
+
+
+def nearest_of_block(least: float, k: int):
+    """Function of two groups (id, vector), rows and queries: each query's ``k`` most similar other rows."""
+
+    def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        kind, found = rows.schema.field("id").type, []
+        if rows.num_rows and queries.num_rows:
+            # In the order of their ids, so that ties go to the smaller place.
+            rows = rows.take(pc.sort_indices(rows, [("id", "ascending")])).combine_chunks()
+            x, y = (t["vector"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (rows, queries))
+            own = pc.fill_null(pc.index_in(queries["id"], value_set=rows["id"].combine_chunks()), -1).to_numpy()
+            for at in range(0, len(y), TOGETHER):
+                near = y[at : at + TOGETHER] @ x.T
+                for n, line in enumerate(near, at):
+                    place = np.flatnonzero(line >= least - 1e-9)
+                    cosine = np.round(line[place], 9)
+                    good = (cosine >= least) & (place != own[n])
+                    place, cosine = place[good], cosine[good]
+                    first = np.lexsort((place, -cosine))[:k]
+                    found.append((np.full(len(first), n), place[first], cosine[first]))
+        q, r, c = (np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        ids = [t["id"].take(pa.array(at)).combine_chunks() for t, at in ((queries, q), (rows, r))]
+        return pa.Table.from_arrays([ids[0].cast(kind), ids[1].cast(kind), pa.array(c)], names=["query_id", "id", "cosine"])
+
+    return search
 
 
 def similar_articles(
-    df: DataFrame, asked: Column, key: str, vector: str = "embedding", k: int = 10, least: float = LEAST,
-    bands: int = BANDS, bits: int = BITS, flips: int = FLIPS,
+    df: DataFrame, asked: Column, key: str, vector: str = "embedding", k: int = 10, least: float = LEAST
 ) -> DataFrame:
     """(query_id, rank, key, cosine): the ``k`` most similar other rows of each row for which ``asked`` holds.
 
-    Only neighbours whose cosine reaches ``least`` count; cosines that agree in nine digits are ties, which go to the smaller key. Candidates share the
-    code of a band with the query or with one of its turned codes; every candidate's cosine is exact.
-    A neighbour at cosine 0.65 is missed with a probability below 0.01 at the default settings, and the more similar, the
-    less often (the tests measure it). ``key`` names each row once. Rows with a null or zero vector take no part.
+    Only neighbours whose cosine reaches ``least`` count; cosines that agree in nine digits are ties, which go to the smaller key.
+    ``key`` names each row once. Rows with a null or zero vector take no part.
 
-    Of rows with equal vectors only the k + 1 smallest keys can be among anyone's neighbours, so the
-    others aren't indexed: a text with very many copies doesn't fill a code.
-    """
+    Every query meets every row: rows and queries are dealt into groups, a task compares one group of
+    queries with one of rows, and only its ``k`` nearest of each query leave it. So the work
+    grows with queries times rows, but no pair is shuffled.
+    """
     usable = df.filter(F.col(vector).isNotNull() & (l2_norm(vector) > 0))
     rows = materialize(usable.select(F.col(key).alias("id"), l2_normalize(vector).alias("vector"), asked.alias("asked")), "unit-vectors")
-    same = Window.partitionBy("vector").orderBy("id")
-    indexed = rows.withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).select("id", "vector")
-    queries = rows.filter("asked").select("id", "vector")
-    probes = band_codes(queries, bands, bits, flips).withColumnRenamed("id", "query_id")
-    met = probes.join(band_codes(indexed, bands, bits), "code").select("query_id", "id").filter("query_id != id").distinct()
-    with_query = join_one(met, queries.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), ["query_id"])
-    both = join_one(with_query, rows.select("id", "vector"), ["id"])
-    cosine = F.aggregate(F.zip_with("q", "vector", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    scored = both.select("query_id", "id", F.round(cosine, 9).alias("cosine")).filter(F.col("cosine") >= least)
+    queries = rows.filter("asked")
+    groups, parts = (max(1, -(-t.count() // size)) for t, size in ((rows, ROWS), (queries, QUERIES)))
+    turn = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("i"), F.pmod(F.hash("id"), F.lit(parts)).cast("int").alias("j")
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c) for n, c in ((groups, "i"), (parts, "j"))]
+    kind = rows.schema["id"].dataType.simpleString()
+    blocks = rows.select(turn[0], every[1], "id", "vector").groupBy("i", "j").cogroup(queries.select(every[0], turn[1], "id", "vector").groupBy("i", "j"))
+    scored = blocks.applyInArrow(nearest_of_block(least, k), f"query_id {kind}, id {kind}, cosine double")
     top = top_n(scored, ["query_id"], [F.desc("cosine"), F.col("id")], k)
     return top.select("query_id", "rank", F.col("id").alias(key), "cosine")
 

@@ -51,8 +51,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Shuffle files of a written table are of no more use.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it again."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    """Write a table to the shared folder and read it again. The shuffle files of the write are deleted after it."""
+    path, conf = shared_dir(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES)
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

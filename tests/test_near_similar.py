@@ -185,3 +185,32 @@ def test_profile_order(spark):
     df = spark.createDataFrame([("x", "aaa aaa bbb"), (None, "ccc")], "lang string, text string")
     rows = [(r["triple"], r["gain"]) for r in languages.profiles(df, "lang", "text", 4).orderBy(F.desc("gain")).collect()]
     assert rows == [("_aa", 4), ("aa_", 3), ("aaa", 2), ("_bb", 1)]
+
+
+def test_similar_articles_in_blocks_are_all_of_them(spark, monkeypatch):
+    """No neighbour is missed, and only a query's nearest leave a block of rows."""
+    monkeypatch.setattr(similar, "ROWS", 100)
+    monkeypatch.setattr(similar, "QUERIES", 20)
+    r = np.random.default_rng(3)
+    x = np.repeat(r.standard_normal((8, 12)), 50, axis=0) + r.standard_normal((400, 12)) * 0.7
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(f"{i:03}", v.tolist()) for i, v in enumerate(x)], "k string, embedding array<double>")
+    rows = similar.similar_articles(df, F.col("k") % 5 == 0, "k", k=4, least=0.5)
+    want = set()
+    for q in range(0, 400, 5):
+        cosine = np.round(unit @ unit[q], 9)
+        near_ = sorted((i for i in np.flatnonzero(cosine >= 0.5) if i != q), key=lambda i: (-cosine[i], i))[:4]
+        want |= {(f"{q:03}", rank, f"{i:03}") for rank, i in enumerate(near_, 1)}
+    assert {(q["query_id"], q["rank"], q["k"]) for q in rows.collect()} == want and len(want) > 200
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from rotativa.session import materialize
+
+    def files():
+        folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return folder.getAllFiles().size()
+
+    before = files()
+    assert materialize(spark.range(1000).groupBy((F.col("id") % 500).alias("g")).count(), "test").count() == 500
+    assert files() <= before + 4  # those of the count itself
