@@ -300,3 +300,13 @@ def test_top_of_feeds(spark):
     assert {r["source"] for r in feed_top(documents, feeds, ["t", "zz"]).collect()} == {"t"}
     with pytest.raises(ValueError):
         feed_top(documents, feeds, ["zz"])
+
+
+def test_few_pages_are_held_at_once():
+    import pyarrow as pa
+
+    from rotativa.sources import html
+
+    pages = pa.array(["<p>a</p>", None] * 75)
+    parts = list(html._read_batches(iter([pages]), False))
+    assert [len(p) for p in parts] == [64, 64, 22] and pa.concat_arrays(parts).null_count == 75
