@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +27,8 @@ USER_PROMPT = (
 )
 
 Scorer = Callable[[list[str]], list[str | None]]
+# Prompts that a scorer gets at once.
+CALLS = 256
 
 
 def with_prompt(
@@ -46,30 +48,33 @@ def with_prompt(
 def score(df: DataFrame, load_scorer: Callable[[], Scorer], prompt: str = "user_prompt", tasks: int | None = None) -> DataFrame:
     """Add the model's answer as ``response`` and a failure as ``error``.
 
-    The scorer gets the prompts of a batch at once; where that fails, each prompt on its own, so a
+    The scorer gets up to ``CALLS`` prompts at once; where that fails, each prompt on its own, so a
     failing call marks its row only. ``tasks`` bounds how many calls run at once.
     """
     spread = df if tasks is None else df.repartition(tasks)
 
-    @F.pandas_udf("struct<response:string,error:string>")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<response:string,error:string>")
+    def ask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = load_scorer()
-        for prompts in batches:
-            try:
-                answers = list(scorer(list(prompts)))
-                errors = [None] * len(prompts)
-                if len(answers) != len(prompts):
-                    raise ValueError("the scorer gave another number of answers")
-            except Exception:
-                answers, errors = [], []
-                for text in prompts:
-                    try:
-                        answers.append(scorer([text])[0])
-                        errors.append(None)
-                    except Exception as error:
-                        answers.append(None)
-                        errors.append(f"{type(error).__name__}: {error}")
-            yield pd.DataFrame({"response": answers, "error": errors}, dtype=object)
+        for batch in batches:
+            # Only a slice of a batch is held as Python texts, whatever the session's batch size.
+            for at in range(0, len(batch), CALLS):
+                prompts = batch.slice(at, CALLS).to_pylist()
+                try:
+                    answers = list(scorer(prompts))
+                    errors = [None] * len(prompts)
+                    if len(answers) != len(prompts):
+                        raise ValueError("the scorer gave another number of answers")
+                except Exception:
+                    answers, errors = [], []
+                    for text in prompts:
+                        try:
+                            answers.append(scorer([text])[0])
+                            errors.append(None)
+                        except Exception as error:
+                            answers.append(None)
+                            errors.append(f"{type(error).__name__}: {error}")
+                yield pa.StructArray.from_arrays([pa.array(answers, pa.string()), pa.array(errors, pa.string())], ["response", "error"])
 
     # Otherwise a filter on the answer is pushed below the projection and asks everything twice.
     ask = ask.asNondeterministic()

@@ -197,3 +197,10 @@ def test_outline_lists_what_is_checked(spark):
     assert "evidencia.citas_evidencia: array<string> size <= 3" in lines
     df = spark.createDataFrame([("d", "2025-01-01", "s", "t", "c", "u")], "diario string, fecha string, seccion string, titulo string, contenido string, url string")
     assert f.with_prompt(df).first()["system_prompt"] == f.record_outline()
+
+
+def test_a_scorer_gets_few_prompts_at_once(spark):
+    df = spark.range(1000).coalesce(1).selectExpr("cast(id AS string) AS user_prompt")
+    rows = f.score(df, lambda: lambda prompts: [f"{len(prompts)} {p}" for p in prompts]).collect()
+    assert max(int(r["response"].split()[0]) for r in rows) <= 256
+    assert all(r["response"].split()[1] == r["user_prompt"] and r["error"] is None for r in rows) and len(rows) == 1000
