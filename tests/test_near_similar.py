@@ -91,6 +91,37 @@ def test_no_pair_is_lost_without_first_meetings(spark, written):
     assert met.count() < sharing / 4
 
 
+@pytest.mark.parametrize(("block", "entries", "together"), [(7, 1 << 19, 50), (8192, 40, 1), (8192, 1 << 19, 1 << 20)])
+def test_blocks_of_texts_meet_without_a_shuffle_of_pairs(spark, written, block, entries, together, monkeypatch):
+    """The same pairs whatever the sizes, none within a class, and nothing is shuffled behind the stored blocks."""
+    for name, value in (("BLOCK", block), ("ENTRIES", entries), ("TOGETHER", together)):
+        monkeypatch.setattr(near, name, value)
+    texts = sorted({t for _, t in written if t})[:90]
+    df = spark.createDataFrame([(t.encode(), t) for t in texts], "node binary, text string")
+    lists = near.rare_terms(terms.term_weights(df, "node", "text"), 0.75).persist()
+    one = {t.encode() for t in texts[10:40]}
+    labels = spark.createDataFrame([(n, min(one)) for n in sorted(one)], "node binary, label binary")
+    met = near.other_meetings(lists, labels, 0.75)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    rows = lists.collect()
+    lists.unpersist()
+    known = {bytes(r["node"]): (r["last"], r["rests"]) for r in rows}
+    vectors = {n: {} for n in known}
+    for r in rows:
+        vectors[bytes(r["node"])][r["term"]] = r["x"]
+    want = set()
+    for a in known:
+        for b in known:
+            shared = vectors[a].keys() & vectors[b].keys()
+            if a < b and shared and not (a in one and b in one):
+                level = min(known[a][0], known[b][0])
+                if sum(vectors[a][t] * vectors[b][t] for t in shared) + known[a][1][level] * known[b][1][level] >= 0.75 - near.SLACK:
+                    want.add((a, b))
+    found = [(bytes(r["a"]), bytes(r["b"])) for r in met.collect()]
+    assert len(found) == len(set(found)) and set(found) == want and want
+
+
 def test_near_articles_of_an_empty_table(spark):
     df = spark.createDataFrame([], "k bigint, text string")
     assert near.near_articles(df, "k", "text").count() == 0
