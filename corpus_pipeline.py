@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(materialize(packing.cut_pieces(docs), "pieces"))
+    return packing.pack(packing.stored_pieces(docs))
 
 
 STAGES = [

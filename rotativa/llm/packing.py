@@ -25,10 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rotativa.llm.common import numbered, unit_hash, worker_state
+from rotativa.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 800_000
+# Two lots of so many words are kept, and texts come to Python so many rows at a time.
+CACHED_WORDS = 300_000
+BATCH_ROWS = 512
 BEHIND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # punctuation that never starts a contraction
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -51,7 +54,8 @@ class WordIds(dict):
 
     The tokenizer drops blanks and never joins what they part, so a text's ids are those of its
     words in turn. A word of Latin letters, maybe with punctuation behind, is one run of letters to
-    the tokenizer, lower-cased, and goes to its merges at once; any other goes the whole way.
+    the tokenizer, lower-cased, and goes to its merges at once; any other goes the whole way. When
+    ``CACHED_WORDS`` are known, they step back; those that come again are kept, the others go with the next lot.
     """
 
     def __init__(self, path: str):
@@ -60,31 +64,38 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model
-        parts = json.loads(self.tokenizer.to_str())
-        steps = [x.get("type") for x in (parts["normalizer"] or {}).get("normalizers", [])]
-        cuts = [x.get("type") for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        # The parts alone, as the whole vocabulary as Python objects would take much memory.
+        steps, cuts = (
+            [x.get("type") for x in (json.loads(part.__getstate__()) if part else {}).get(name, [])]
+            for part, name in ((self.tokenizer.normalizer, "normalizers"), (self.tokenizer.pre_tokenizer, "pretokenizers"))
+        )
         self.plain = steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"]
         self.letters = byte_letters()
+        self.before: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
+            self.before = dict(self)
             self.clear()
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.made(word)
+        self[word] = ids
+        return ids
+
+    def made(self, word: bytes) -> bytes:
         text = word.decode()
         core = text.rstrip(BEHIND)
         low = core.lower()
         # No letter below U+0250 is changed by normalization but for its case.
         if self.plain and low.isalpha() and max(core) < "\u0250":
             if len(core) < len(text):
-                ids = self[low.encode()] + self[text[len(core) :].encode()]
-            elif low != core:
-                ids = self[low.encode()]
-            else:
-                written = word.decode("latin-1").translate(self.letters)
-                ids = np.array([t.id for t in self.merges.tokenize(written)], "<u4").tobytes()
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
+                return self[low.encode()] + self[text[len(core) :].encode()]
+            if low != core:
+                return self[low.encode()]
+            written = word.decode("latin-1").translate(self.letters)
+            return np.array([t.id for t in self.merges.tokenize(written)], "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").encode().split()))
@@ -117,6 +128,11 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
+def stored_pieces(docs: DataFrame) -> DataFrame:
+    """The pieces, written and read again. Whole texts make wide rows, so few of them are in Arrow at once."""
+    return materialize(cut_pieces(docs), "pieces", BATCH_ROWS)
+
+
 class Stock:
     """How many pieces of each length are left."""
 

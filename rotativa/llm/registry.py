@@ -63,7 +63,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(materialize(packing.cut_pieces(table(spark, sf_dir, "documents")), "pieces"))
+    return packing.pack(packing.stored_pieces(table(spark, sf_dir, "documents")))
 
 
 def op11_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

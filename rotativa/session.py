@@ -53,15 +53,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 # Shuffle files of a written table are of no more use.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it again. The shuffle files of the write are deleted after it."""
+def materialize(df: DataFrame, label: str, batch_rows: int = 0) -> DataFrame:
+    """Write a table to the shared folder and read it again. The shuffle files of the write are deleted after it.
+
+    With ``batch_rows`` the write sends at most so many rows to Python at once, or fewer if the session says so.
+    """
     path, conf = shared_dir(df.sparkSession, label), df.sparkSession.conf
-    before = conf.get(FREE_SHUFFLES)
+    before = {k: conf.get(k) for k in (FREE_SHUFFLES, BATCH_ROWS)}
     conf.set(FREE_SHUFFLES, "true")
+    if batch_rows and not 0 < int(before[BATCH_ROWS]) < batch_rows:
+        conf.set(BATCH_ROWS, str(batch_rows))
     try:
         df.write.parquet(path)
     finally:
-        conf.set(FREE_SHUFFLES, before)
+        for k, v in before.items():
+            conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,10 +3,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from rotativa import session
 from rotativa.llm import packing
 
 ODD_TEXTS = [
@@ -22,6 +24,40 @@ def test_ids_are_the_tokenizers():
         assert words.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_words_that_come_again_outlive_a_full_cache(monkeypatch):
+    """At most two lots are held, ids stay the tokenizer's, and a word in use is encoded once."""
+    monkeypatch.setattr(packing, "CACHED_WORDS", 40)
+    words, whole, made = packing.WordIds(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path()), []
+    monkeypatch.setattr(packing.WordIds, "made", lambda self, word, f=packing.WordIds.made: made.append(word) or f(self, word))
+    for i in range(300):
+        text = f"again Again, n{i} {'x' * (i % 17)}y{i}"
+        assert words.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert max(len(words), len(words.before)) <= 43
+    assert made.count(b"again") == 1
+
+
+def test_few_rows_are_in_python_at_once(spark, monkeypatch):
+    """The batch size holds for the write alone, and a smaller one of the session wins."""
+    seen = spark.conf.get(session.BATCH_ROWS)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    try:
+        for own, asked, most in (("1000", 8, 8), ("0", 8, 8), ("5", 8, 5), ("1000", 0, 50)):
+            spark.conf.set(session.BATCH_ROWS, own)
+            table = session.materialize(spark.range(50).coalesce(1).mapInArrow(sizes, "n bigint"), "sizes", asked)
+            assert table.agg({"n": "max"}).first()[0] == most and spark.conf.get(session.BATCH_ROWS) == own
+        rows = []
+        spark.conf.set(session.BATCH_ROWS, "1000")
+        monkeypatch.setattr(packing, "materialize", lambda df, label, n=0: rows.append(n) or session.materialize(df, label, n))
+        docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id bigint, text string")
+        assert packing.stored_pieces(docs).count() == 20 and rows == [packing.BATCH_ROWS]
+    finally:
+        spark.conf.set(session.BATCH_ROWS, seen)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_ids_of_any_text(text):
