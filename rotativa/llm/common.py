@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,22 @@ def unit_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def give_back() -> None:
+    """Lets the allocators of this process return what is free; a worker outlives its tasks, and they keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def worker_state(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, across its tasks, until another operator asks for one."""
     states = sys.__dict__.setdefault("_rotativa_state", {})
-    for other in [k for k in states if k != name]:
+    others = [k for k in states if k != name]
+    for other in others:
         del states[other]
+    if others:
+        give_back()
     return states.setdefault(name, {})
 
 

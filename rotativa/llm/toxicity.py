@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rotativa.llm.common import id_remainder, text_or_empty, worker_state
+from rotativa.llm.common import give_back, id_remainder, text_or_empty, worker_state
 
 WINDOW, STRIDE = 16, 8
 BUCKETS, WIDTH, HIDDEN = 1 << 16, 8, 8
@@ -322,31 +322,38 @@ class Scorer:
         self.net = net
         for other in [k for k in worker_state("toxicity") if k != name]:
             del worker_state("toxicity")[other]
-        self.kept = worker_state("toxicity").setdefault(name, {"row": {}, "bare": {}, "x": np.zeros((0, 6 * HIDDEN), np.float32)})
+        self.kept = worker_state("toxicity").setdefault(name, {})
+        if not self.kept:
+            self.forget()
+
+    def forget(self, words: int = 0) -> None:
+        """No words; room for two rows per word, its own and its bare one, of which only the written ones take memory."""
+        self.kept.clear()
+        self.kept |= {"row": {}, "used": 0, "x": np.zeros((2 * max(words, CACHED_WORDS), 6 * HIDDEN), np.float32)}
 
     def learn(self, new: list[bytes]) -> None:
-        if len(self.kept["row"]) + len(new) > CACHED_WORDS:
-            self.kept |= {"row": {}, "bare": {}, "x": np.zeros((0, 6 * HIDDEN), np.float32)}
-        # Words that differ in the punctuation around them share a row.
-        bares, rows = [bare(w) for w in new], self.kept["bare"]
-        fresh, used = [w for w in dict.fromkeys(bares) if w not in rows], len(rows)
-        vectors, p = self.net.vectors(fresh), self.net.p
-        products = np.hstack([vectors @ p["Wf"] + p["cf"], vectors @ p["Wb"] + p["cb"]]).astype(np.float32)
-        if used + len(fresh) > len(self.kept["x"]):
-            grown = np.zeros((max(min(2 * len(self.kept["x"]), CACHED_WORDS), used + len(fresh)), 6 * HIDDEN), np.float32)
-            grown[:used] = self.kept["x"][:used]
-            self.kept["x"] = grown
-        self.kept["x"][used : used + len(fresh)] = products
-        rows.update(zip(fresh, range(used, used + len(fresh)), strict=True))
-        self.kept["row"].update(zip(new, map(rows.__getitem__, bares), strict=True))
+        # Words that differ in the punctuation around them share a row, that of the bare word.
+        row, p, bares = self.kept["row"], self.net.p, [bare(w).encode() for w in new]
+        fresh = [w for w in dict.fromkeys(bares) if w not in row]
+        for at in range(0, len(fresh), 8192):
+            some, used = fresh[at : at + 8192], self.kept["used"]
+            vectors = self.net.vectors([w.decode() for w in some])
+            products = np.hstack([vectors @ p["Wf"] + p["cf"], vectors @ p["Wb"] + p["cb"]])
+            self.kept["used"] = end = used + len(some)
+            self.kept["x"][used:end] = products
+            row.update(zip(some, range(used, end), strict=True))
+        row.update((w, row[b]) for w, b in zip(new, bares, strict=True) if w != b)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """-inf for a text without words."""
         words = [split_words(t) for t in texts]
-        new = set().union(*words).difference(self.kept["row"])
-        if new:
-            self.learn(sorted(new))
-            self.learn(sorted(set().union(*words).difference(self.kept["row"])))
+        asked = set().union(*words)
+        new = asked.difference(self.kept["row"])
+        if new and len(self.kept["row"]) + len(new) > CACHED_WORDS:
+            self.forget(len(asked))
+            new = asked
+        self.learn(sorted(new))
+        del asked, new
         row = self.kept["row"]
         flat = np.fromiter(map(row.__getitem__, chain.from_iterable(words)), np.int64)
         lengths = np.array([len(ws) for ws in words])
@@ -403,19 +410,23 @@ def with_logits(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """(row, logit): each row as one column, and its logit, null for a text without words."""
     model = docs.sparkSession.sparkContext.broadcast(net.p)
     name = f"{crc32(net.p['char'].tobytes())}"
-    rows = docs.select(F.struct("*").alias("row"), text_or_empty(text).alias("text"))
+    # The text travels once, within its row, unless it isn't a plain column of it.
+    place = docs.columns.index(text) if docs.dtypes.count((text, "string")) == docs.columns.count(text) == 1 else None
+    rows = docs.select(F.struct("*").alias("row"), *([] if place is not None else [text_or_empty(text).alias("text")]))
 
     def score(batches: Iterator[pa.RecordBatch]):
         scorer = Scorer(Network.of(model.value), name)
         for batch in batches:
-            texts, at, found = batch.column("text"), 0, []
-            sizes = pa.compute.binary_length(texts).to_numpy()
+            texts, at, found = batch.column("text") if place is None else batch.column("row").field(place), 0, []
+            sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
             while at < len(texts):
                 some = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_WORDS * 6)))
                 found.append(scorer(texts[at : at + some].to_pylist()))
                 at += some
             logits = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(logits, mask=np.isinf(logits))], names=["row", "logit"])
+            del batch, texts  # before the next batch comes
+            give_back()
 
     return rows.mapInArrow(score, T.StructType([rows.schema["row"]]).add("logit", "double"))
 

@@ -29,3 +29,13 @@ def test_ids_and_words(spark):
     row = spark.createDataFrame([(5, "a\x0bb\xa0c  d"), (None, None)], "doc_id bigint, text string")
     found = row.select(common.id_remainder("doc_id", 7).alias("r"), common.word_count().alias("n")).collect()
     assert [(r["r"], r["n"]) for r in found] == [(__import__("zlib").crc32(b"5") % 7, 3), (0, 0)]
+
+
+def test_another_operator_gives_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    common.worker_state("one")["kept"] = [0]
+    calls.clear()
+    assert common.worker_state("one") == {"kept": [0]} and not calls
+    assert common.worker_state("two") == {} and calls == [1]
+    assert common.worker_state("one") == {}

@@ -157,6 +157,23 @@ def test_scores_do_not_depend_on_the_batch(labelled):
     assert np.allclose([one([t])[0] for t in texts], together, atol=1e-5)
 
 
+def test_a_text_may_hold_more_words_than_are_kept(monkeypatch):
+    net, text = toxicity.Network(), " ".join(f"w{i}" for i in range(9))
+    expected = toxicity.Scorer(net, "wide")([text, "(w1) w2,"])
+    monkeypatch.setattr(toxicity, "CACHED_WORDS", 4)
+    narrow = toxicity.Scorer(net, "narrow")
+    narrow(["w1 w2, w3"])
+    assert np.allclose(narrow([text, "(w1) w2,"]), expected, atol=1e-6)
+
+
+def test_a_text_reaches_python_once(spark):
+    docs = spark.createDataFrame([(1, "some words", "x"), (2, None, "y")], "doc_id bigint, text string, source string")
+    found = toxicity.with_logits(docs, toxicity.Network())
+    sent = found._jdf.queryExecution().analyzed().toString().split("MapInArrow")[1].split("LogicalRDD")[0]
+    assert "coalesce(text" not in sent
+    assert [(r["row"]["text"], r["logit"] is None) for r in found.orderBy("row.doc_id").collect()] == [("some words", False), (None, True)]
+
+
 def test_odd_rows(spark, odd_docs, labelled):
     labels = labelled.select("doc_id", "toxic").unionAll(spark.createDataFrame([(None, 1), (5, None), (0, 0)], "doc_id bigint, toxic int"))
     more = labelled.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 100)
