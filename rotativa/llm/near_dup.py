@@ -29,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rotativa.llm.common import SHARES, hot_keys, possibly_in, text_or_empty, with_parts, worker_state
+from rotativa.llm.common import SHARES, give_back, hot_keys, possibly_in, text_or_empty, with_parts, worker_state
 from rotativa.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6
-BATCH_ELEMENTS = 300_000
+BATCH_ELEMENTS = 100_000
 BLOCK_NODES = 1024
+FILE_LINKS = 4096
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([1 / np.e / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880, 3628800, 39916800)])
@@ -145,6 +146,8 @@ def signed(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
                 yield pa.RecordBatch.from_arrays(
                     [ids[first:at], nodes[first:at], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"]
                 )
+            del batch, ids, nodes, texts  # before the next batch comes
+            give_back()
 
     content = text_or_empty(text)
     made = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.md5(content.cast("binary"))).alias("node"), content.alias("text"))
@@ -202,17 +205,22 @@ def check_pairs(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each linked node is connected with."""
+    """(node, label): the smallest node that each linked node is connected with.
+
+    Labels are written again and again, so by as many tasks as the links are worth, not by one per shuffle partition.
+    """
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, "links")
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    files = both.count() // FILE_LINKS + 1
+    first = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")
+    labels = materialize(first.coalesce(files), "labels")
     while True:
         # The neighbours' labels, then the label of the label.
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         better = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
         moved = better.join(jump, "next").select("node", F.least("next", "jump").alias("next"), "label")
-        moved = materialize(moved, "labels")
+        moved = materialize(moved.coalesce(files), "labels")
         if moved.filter("next != label").isEmpty():
             return labels
         labels = moved.select("node", F.col("next").alias("label"))

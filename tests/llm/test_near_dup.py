@@ -95,6 +95,18 @@ def test_components_of_a_chain(spark):
     assert labels == {**{f"{i:03}": "000" for i in range(41)}, "x": "x", "y": "x"}
 
 
+def test_few_links_make_few_files(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "FILE_LINKS", 10)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        labels = near_dup.components(spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(0, 20, 2)], "a string, b string"))
+        assert len(labels.inputFiles()) <= 20 // 10 + 1
+        assert labels.count() == 20
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_odd_rows(odd_docs):
     found = defaultdict(list)
     for r in near_dup.near_duplicates(odd_docs).collect():
