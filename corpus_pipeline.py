@@ -9,6 +9,9 @@ toxic, are alike to none, hold nothing personal and add no words, and become one
 source is a source. Very long texts are read whole. Of equal rows, and of rows with one id and equal texts, one stays after
 near-duplicates; ties between equal texts go to the smallest id, a null id last. An empty table goes through every
 stage as an empty table. Without labels of both kinds no document is toxic.
+
+The first two stages send whole texts to Python from a lazy result, so they leave the session with Arrow
+batches of at most ``TEXT_ROWS`` rows; ``run`` puts its setting back.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ from pyspark.sql import functions as F
 
 from rotativa.llm import mixing, near_dup, packing, pii, toxicity
 from rotativa.llm.common import table
-from rotativa.session import materialize
+from rotativa.session import BATCH_ROWS, materialize, short_batches
 
 
 # What the operators read; other columns travel under names that none of them uses.
 READ = ("doc_id", "text", "source", "lang", "n_chars")
+# An Arrow batch is held several times over, by an executor's JVM and by each of its Python workers.
+TEXT_ROWS = 512
 
 
 def aside(docs: DataFrame) -> DataFrame:
@@ -36,11 +41,13 @@ def back(made: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark, TEXT_ROWS)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return back(toxicity.score_toxicity(aside(docs), labels).filter("predicted = 0"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark, TEXT_ROWS)
     return back(near_dup.keep_first(aside(docs)), docs)
 
 
@@ -71,7 +78,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(BATCH_ROWS)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return STAGES[-1][1](spark, docs, sf_dir)

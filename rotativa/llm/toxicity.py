@@ -40,7 +40,7 @@ EPOCHS, BATCH, RATE, RARE = 5, 256, 0.03, 3
 WARM, CLEAR = 1, -4.0  # passes over all windows; the logit below which a clean text's window is learnt
 THRESHOLD = 0.7
 CACHED_WORDS = 1 << 18
-BATCH_WORDS = 120_000
+BATCH_WORDS, BATCH_WINDOWS = 120_000, 2048
 EDGES = " .,;:!?\"'()[]{}|%*#$&<>«»¡¿"
 
 
@@ -360,8 +360,8 @@ class Scorer:
         owner, at, real = windows_of(lengths)
         result = np.full(len(texts), -np.inf)
         inputs = {"f": self.kept["x"][:, : 3 * HIDDEN], "b": self.kept["x"][:, 3 * HIDDEN :]}
-        for i in range(0, len(owner), 8192):
-            some = slice(i, i + 8192)
+        for i in range(0, len(owner), BATCH_WINDOWS):
+            some = slice(i, i + BATCH_WINDOWS)
             np.maximum.at(result, owner[some], self.net.run(inputs, flat[at[some]], real[some]))
         return result
 

@@ -56,6 +56,12 @@ FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def short_batches(spark: SparkSession, rows: int) -> None:
+    """From now on the session sends at most so many rows to Python at once, or fewer if it says so."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) < rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def materialize(df: DataFrame, label: str, batch_rows: int = 0) -> DataFrame:
     """Write a table to the shared folder and read it again. The shuffle files of the write are deleted after it.
 
@@ -64,8 +70,8 @@ def materialize(df: DataFrame, label: str, batch_rows: int = 0) -> DataFrame:
     path, conf = shared_dir(df.sparkSession, label), df.sparkSession.conf
     before = {k: conf.get(k) for k in (FREE_SHUFFLES, BATCH_ROWS)}
     conf.set(FREE_SHUFFLES, "true")
-    if batch_rows and not 0 < int(before[BATCH_ROWS]) < batch_rows:
-        conf.set(BATCH_ROWS, str(batch_rows))
+    if batch_rows:
+        short_batches(df.sparkSession, batch_rows)
     try:
         df.write.parquet(path)
     finally:

@@ -6,12 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from rotativa.llm.packing import tokenizer_path
-from rotativa.session import materialize
+from rotativa.session import BATCH_ROWS, materialize
 from tests.llm.test_mixing import brute_targets
 from tests.llm.test_near_dup import brute_classes
 
@@ -90,6 +91,31 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(rows) == sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in stages["packing"])
 
 
+def test_whole_texts_reach_python_in_short_batches(spark, stages, monkeypatch):
+    """A stage's lazy result too; a smaller batch of the session wins, and a run puts the session's back."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    docs, seen = spark.read.parquet(f"{stages['sf']}/documents.parquet"), spark.conf.get(BATCH_ROWS)
+    nothing = docs.limit(0)
+    most = corpus_pipeline.TEXT_ROWS
+    try:
+        for own, left in (("10000", most), ("0", most), ("100", 100)):
+            for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_duplicates):
+                spark.conf.set(BATCH_ROWS, own)
+                stage(spark, nothing, stages["sf"])
+                table = spark.range(2000).coalesce(1).mapInArrow(sizes, "n bigint")
+                assert table.agg({"n": "max"}).first()[0] == left
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[0], ("last", lambda spark, docs, sf_dir: docs)])
+        spark.conf.set(BATCH_ROWS, "10000")
+        assert corpus_pipeline.run(spark, stages["sf"]).count() == len(stages["toxicity"])
+        assert spark.conf.get(BATCH_ROWS) == "10000"
+    finally:
+        spark.conf.set(BATCH_ROWS, seen)
+
+
 @pytest.fixture(scope="module")
 def no_labels(spark, tmp_path_factory):
     sf = str(tmp_path_factory.mktemp("unlabelled"))

@@ -166,6 +166,16 @@ def test_a_text_may_hold_more_words_than_are_kept(monkeypatch):
     assert np.allclose(narrow([text, "(w1) w2,"]), expected, atol=1e-6)
 
 
+def test_few_windows_are_run_at_once(monkeypatch):
+    """A long text's windows go through the network in parts."""
+    text, at_once, run = " ".join(f"w{i % 997}" for i in range(50_000)), [], toxicity.Network.run
+    monkeypatch.setattr(toxicity.Network, "run", lambda self, inputs, ids, real: at_once.append(len(ids)) or run(self, inputs, ids, real))
+    found = toxicity.Scorer(toxicity.Network(), "parts")([text, "w1 w2"])
+    assert max(at_once) == 2048 and sum(at_once) == len(toxicity.window_starts(50_000)) + 1
+    monkeypatch.setattr(toxicity, "BATCH_WINDOWS", 1 << 20)
+    assert np.allclose(found, toxicity.Scorer(toxicity.Network(), "whole")([text, "w1 w2"]), rtol=0, atol=1e-6)
+
+
 def test_a_text_reaches_python_once(spark):
     docs = spark.createDataFrame([(1, "some words", "x"), (2, None, "y")], "doc_id bigint, text string, source string")
     found = toxicity.with_logits(docs, toxicity.Network())
