@@ -443,7 +443,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, text: str = "tex
     del sample, learned
     spark = docs.sparkSession
     some = [(d, t) for d, t in kinds if d in held] or kinds
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text)).join(F.broadcast(spark.createDataFrame(some, "doc_id bigint, toxic int")), "doc_id")
+    # From an Arrow table, since from a list of rows every executor would start plain Python workers, which then stay.
+    some = pa.table({"doc_id": pa.array([d for d, _ in some], pa.int64()), "toxic": pa.array([t for _, t in some], pa.int32())})
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text)).join(F.broadcast(spark.createDataFrame(some)), "doc_id")
     rows = with_logits(chosen.select("doc_id", "toxic", text), net, text).select("row.toxic", "logit").filter("logit IS NOT NULL").collect()
     if len({r["toxic"] for r in rows}) < 2:
         return net, 1.0, 0.0

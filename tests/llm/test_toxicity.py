@@ -176,6 +176,16 @@ def test_few_windows_are_run_at_once(monkeypatch):
     assert np.allclose(found, toxicity.Scorer(toxicity.Network(), "whole")([text, "w1 w2"]), rtol=0, atol=1e-6)
 
 
+def test_the_fit_starts_no_plain_python_workers(spark, labelled, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("rows are sent through Python workers")
+
+    docs, labels = labelled.select("doc_id", "text").limit(60), labelled.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).limit(60)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refuse)
+    net, slope, shift = toxicity.fit(docs, labels, F.lit(True))
+    assert slope > 0 and np.isfinite(shift)
+
+
 def test_a_text_reaches_python_once(spark):
     docs = spark.createDataFrame([(1, "some words", "x"), (2, None, "y")], "doc_id bigint, text string, source string")
     found = toxicity.with_logits(docs, toxicity.Network())
