@@ -245,3 +245,43 @@ def test_written_tables_leave_no_shuffle_files(spark):
     before = files()
     assert materialize(spark.range(1000).groupBy((F.col("id") % 500).alias("g")).count(), "test").count() == 500
     assert files() <= before + 4  # those of the count itself
+
+
+def test_text_weights_are_term_weights(spark, written, monkeypatch):
+    """The same numbers with a row per text, whatever the size of the chunks; blank texts count and have no row."""
+    monkeypatch.setattr(terms, "CHUNK_TERMS", 500)
+    df = spark.createDataFrame([(str(k).encode(), t) for k, t in written], "node binary, text string").repartition(3)
+    rows = terms.text_weights(df, "node", "text").collect()
+    got = {}
+    for r in rows:
+        parts = (np.frombuffer(r[c], t) for c, t in (("terms", np.int64), ("dfs", np.int32), ("xs", np.float64)))
+        for term, often, x in zip(*parts, strict=True):
+            got[bytes(r["node"]), int(term)] = (int(often), x)
+    want = terms.term_weights(df, "node", "text").withColumn("term", F.xxhash64("term")).collect()
+    assert len(rows) == len({bytes(r["node"]) for r in rows}) and len(got) == len(want) > 1000
+    assert all(got[bytes(r["node"]), r["term"]] == (r["df"], pytest.approx(r["weight"], abs=1e-12)) for r in want)
+    assert terms.text_weights(df.limit(0), "node", "text").count() == 0
+
+
+def test_entries_meet_only_where_both_rests_allow(spark, monkeypatch):
+    """Unlike texts of common words: far fewer products than pairs in the lists that hold three quarters of each text's length."""
+    r = random.Random(7)
+    texts = [" ".join(sorted({f"w{int(2000 ** r.random())}" for _ in range(120)})) for _ in range(500)]
+    df = spark.createDataFrame([(f"{i:03}".encode(), t) for i, t in enumerate(texts)], "node binary, text string")
+    vectors = weights_of(texts)
+    often = Counter(w for v in vectors for w in v)
+    lists = Counter()
+    for v in vectors:
+        rest = {n: sum(x * x for w, x in v.items() if math.ceil(math.log2(often[w])) > n) ** 0.5 for n in range(12)}
+        last = min(n for n in rest if rest[n] < 0.75)
+        lists.update(w for w in v if math.ceil(math.log2(often[w])) <= last)
+    nobody = spark.createDataFrame([], "node binary, label binary")
+    stored = near.blocks_of(near.rare_lists(terms.text_weights(df, "node", "text"), 0.75), nobody).collect()
+    products, plain = [], near.ranges
+    monkeypatch.setattr(near, "ranges", lambda begin, size: products.append(int(size.sum())) or plain(begin, size))
+    assert len(stored) == 1 and stored[0]["strip"] == 0
+    block, floor = near.Block(memoryview(stored[0]["data"])), near.floor_of(0.75)
+    near.sharing(block, block, floor, 0.75 - floor)
+    # Behind the entries that meet, their products; both orders of a pair, and a text with itself, meet in one block.
+    before = sum(n * (n - 1) / 2 for n in lists.values())
+    assert before > 10_000 and sum(products[1:]) / 2 < before / 2
